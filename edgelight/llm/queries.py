@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding
+from . import mixing, packing, sharding, toxicity
 
 QUERIES = {
     "op2_feistel_shards": sharding.op2_feistel_shards,
+    "op8_toxicity_chain": toxicity.op8_toxicity_chain,
     "op9_ordered_packing": packing.op9_ordered_packing,
     "op10_source_mix": mixing.op10_source_mix,
 }
