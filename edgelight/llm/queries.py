@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, packing, sharding, toxicity
+from . import mixing, near_dup, packing, sharding, suffix_array, toxicity
 
 QUERIES = {
     "op2_feistel_shards": sharding.op2_feistel_shards,
+    "op3_suffix_array_dedup": suffix_array.op3_suffix_array_dedup,
     "op4_odd_sketch_near_dup": near_dup.op4_odd_sketch_near_dup,
     "op8_toxicity_chain": toxicity.op8_toxicity_chain,
     "op9_ordered_packing": packing.op9_ordered_packing,
