@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, packing, sharding, suffix_array, toxicity
+from . import mixing, near_dup, packing, sharding, suffix_array, suffix_tree, toxicity
 
 QUERIES = {
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op3_suffix_array_dedup": suffix_array.op3_suffix_array_dedup,
     "op4_odd_sketch_near_dup": near_dup.op4_odd_sketch_near_dup,
+    "op5_suffix_tree_dedup": suffix_tree.op5_suffix_tree_dedup,
     "op8_toxicity_chain": toxicity.op8_toxicity_chain,
     "op9_ordered_packing": packing.op9_ordered_packing,
     "op10_source_mix": mixing.op10_source_mix,

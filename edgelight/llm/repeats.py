@@ -22,11 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import staged
+from .common import free_column, staged
 from .hashing import BLOCK, U64, mix64
 
 _UP = hashing._powers(hashing._BASE, BLOCK + (1 << 12))
@@ -233,13 +233,13 @@ def find_shared(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
-    """mapInArrow over (id, bytes, shared anchors): (key, id, spans, blob). With blob: fragments for bucket key. Without: windows of one
+    """mapInArrow over (uid, bytes, shared anchors, id): (key, uid, id, spans, blob). With blob: fragments for bucket key. Without: windows of one
     document (starts and lengths of runs) that the batch itself has found repeated."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, data, offsets = text_columns(batch)
-            known = np.unique(unpack_lists(batch.column(2)))
+            known, own = np.unique(unpack_lists(batch.column(2))), batch.column(3).to_numpy(zero_copy_only=False)
             parts = []
             for piece in pieces(data, offsets, kind):
                 start, document, at, h = anchors(piece, kind)
@@ -263,12 +263,12 @@ def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
             if not parts:
                 continue
             row, first, windows, content, key, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((first, ids[row], content))
+            order = np.lexsort((first, own[row], content))
             row, first, windows, content, key, low, high = (x[order] for x in (row, first, windows, content, key, low, high))
             head = runs(content)
             n = np.diff(np.append(head, len(content)))
             if kind.earlier:  # ids rise within equal content: all but the smallest id's are repeats
-                sure = ids[row] != np.repeat(ids[row[head]], n)
+                sure = own[row] != np.repeat(own[row[head]], n)
                 sent = ~sure
             else:
                 sure = np.repeat(n > 1, n)
@@ -280,7 +280,7 @@ def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
             edge = np.append(runs(row[x]), len(x))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 y = x[a:b]
-                out.append((int(key[y[0]] % U64(buckets)), int(ids[row[y[0]]]), np.column_stack([first[y], windows[y]]).astype("<i8").tobytes(), None))
+                out.append((int(key[y[0]] % U64(buckets)), int(ids[row[y[0]]]), int(own[row[y[0]]]), np.column_stack([first[y], windows[y]]).astype("<i8").tobytes(), None))
             x = np.flatnonzero(sent)
             bucket = (key[x] % U64(buckets)).astype(np.int64)
             x = x[np.argsort(bucket, kind="stable")]
@@ -288,10 +288,10 @@ def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
             edge = np.append(runs(bucket), len(bucket))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 y = x[a:b]
-                head = struct.pack("<I", len(y)) + ids[row[y]].astype("<i8").tobytes() + first[y].astype("<i8").tobytes() + key[y].astype("<u8").tobytes() + (high[y] - low[y]).astype("<u4").tobytes()
-                out.append((int(bucket[a]), 0, None, head + b"".join(data[p:q].tobytes() for p, q in zip(low[y], high[y], strict=True))))
+                head = struct.pack("<I", len(y)) + ids[row[y]].astype("<i8").tobytes() + own[row[y]].astype("<i8").tobytes() + first[y].astype("<i8").tobytes() + key[y].astype("<u8").tobytes() + (high[y] - low[y]).astype("<u4").tobytes()
+                out.append((int(bucket[a]), 0, 0, None, head + b"".join(data[p:q].tobytes() for p, q in zip(low[y], high[y], strict=True))))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["key", "id", "spans", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "uid", "id", "spans", "blob"])
 
     return emit
 
@@ -305,21 +305,21 @@ Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.n
 
 
 def resolve_bucket(kind: Kind, resolver: Resolver) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of one bucket: (id, spans) with the windows that are repeated. resolver gets the bytes of some fragments, where they start
+    """Of one bucket: (uid, id, spans) with the windows that are repeated. resolver gets the bytes of some fragments, where they start
     (one more than there are) and their ids, and returns the fragment and the place of each repeated window."""
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        passed = group.loc[group["blob"].isna(), ["id", "spans"]]
+        passed = group.loc[group["blob"].isna(), ["uid", "id", "spans"]]
         heads, texts = [], []
         for blob in group["blob"].dropna():
             (n,) = struct.unpack_from("<I", blob)
-            size = np.frombuffer(blob, "<u4", n, 4 + 24 * n)
-            heads.append((np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<i8", n, 4 + 8 * n), np.frombuffer(blob, "<u8", n, 4 + 16 * n), size))
-            ends = 4 + 28 * n + np.cumsum(size.astype(np.int64))
+            size = np.frombuffer(blob, "<u4", n, 4 + 32 * n)
+            heads.append((*(np.frombuffer(blob, "<i8", n, 4 + 8 * n * k) for k in range(3)), np.frombuffer(blob, "<u8", n, 4 + 24 * n), size))
+            ends = 4 + 36 * n + np.cumsum(size.astype(np.int64))
             texts.extend(blob[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True))
         if not heads:
             return passed
-        ids, first, key, size = (np.concatenate(x) for x in zip(*heads, strict=True))
+        uid, ids, first, key, size = (np.concatenate(x) for x in zip(*heads, strict=True))
         # Equal windows have equal keys, so keys may be sorted apart; a part ends between two keys.
         order = np.argsort(key, kind="stable")
         total = np.cumsum(size[order].astype(np.int64))
@@ -329,45 +329,59 @@ def resolve_bucket(kind: Kind, resolver: Resolver) -> Callable[[pd.DataFrame], p
                 cuts.append(b)
                 limit = total[b - 1] + SORTED_BYTES
         cuts.append(len(order))
-        found_ids, found_starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found, found_starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             x = order[a:b]
             data = np.frombuffer(b"\n".join([texts[i] for i in x]) + b"\n", np.uint8)
             offsets = np.concatenate([[0], np.cumsum(size[x].astype(np.int64) + 1)])
             fragment, place = resolver(data, offsets, ids[x])
-            found_ids.append(ids[x][fragment])
+            found.append(x[fragment])
             found_starts.append(first[x][fragment] + place)
-        i, s = np.concatenate(found_ids), np.concatenate(found_starts)
-        order = np.lexsort((s, i))
-        i, s = i[order], s[order]
+        f, s = np.concatenate(found), np.concatenate(found_starts)
+        order = np.lexsort((s, ids[f], uid[f]))
+        f, s = f[order], s[order]
         out = []
-        edge = np.append(runs(i), len(i))
+        new = (uid[f][1:] != uid[f][:-1]) | (ids[f][1:] != ids[f][:-1])
+        edge = np.append(np.flatnonzero(np.concatenate([[True], new])), len(f)) if len(f) else np.zeros(1, np.int64)
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             own = np.unique(s[a:b])
             head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1] + 1]))
-            out.append((int(i[a]), np.column_stack([own[head], np.diff(np.append(head, len(own)))]).astype("<i8").tobytes()))
-        return pd.concat([passed, pd.DataFrame(out, columns=["id", "spans"])], ignore_index=True)
+            out.append((int(uid[f[a]]), int(ids[f[a]]), np.column_stack([own[head], np.diff(np.append(head, len(own)))]).astype("<i8").tobytes()))
+        return pd.concat([passed, pd.DataFrame(out, columns=["uid", "id", "spans"])], ignore_index=True)
 
     return resolve
 
 
+def row_key(id_column: str, text_column: str) -> Column:
+    """Rows of one id with different texts have different keys."""
+    return F.xxhash64(F.col(id_column).cast("long"), F.col(text_column))
+
+
 def repeated_windows(docs: DataFrame, kind: Kind, resolver: Resolver, id_column: str, text_column: str) -> DataFrame:
-    """(id, spans array<binary>): for each document with repeated windows, runs of their starts, in units."""
+    """(uid, id, spans array<binary>): for each row (row_key and id) with repeated windows, runs of their starts, in units."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text")).where("id is not null and text is not null")
+    narrow = docs.select(row_key(id_column, text_column).alias("uid"), F.col(text_column).cast("binary").alias("text"), F.col(id_column).cast("long").alias("id")).where("id is not null and text is not null")
     size = narrow.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
-    # Texts shorter than a window can't have one; for words this only leaves out what is certain.
+    # Texts too short for a window have none; of words this tells only what is certain.
     narrow = narrow.where(F.length("text") >= (2 * kind.width - 1 if kind.words else kind.width))
-    marked = narrow.mapInArrow(anchor_rows(kind, buckets), "key int, tag int, id long, blob binary")
+    marked = narrow.select("uid", "text").mapInArrow(anchor_rows(kind, buckets), "key int, tag int, id long, blob binary")
     shared = staged(marked.groupBy("key").applyInPandas(find_shared, "tag int, id long, blob binary"))
     # At most HOT_SHARE anchors of a bucket are hot.
     hot = np.unique(np.concatenate([np.zeros(0, U64), *[unpack40(bytes(r["blob"])) for r in shared.where("tag = 2").select("blob").collect()]]))
     lists = shared.where("tag = 1").groupBy(F.col("id").alias("of")).agg(F.collect_list("blob").alias("shared"))
-    marked_docs = narrow.join(lists, F.col("id") == F.col("of")).select("id", "text", "shared")
-    moved = marked_docs.mapInArrow(fragment_rows(kind, buckets, hot), "key int, id long, spans binary, blob binary")
-    spans = moved.groupBy("key").applyInPandas(resolve_bucket(kind, resolver), "id long, spans binary")
-    return staged(spans).groupBy("id").agg(F.collect_list("spans").alias("spans"))
+    marked_docs = narrow.join(lists, F.col("uid") == F.col("of")).select("uid", "text", "shared", "id")
+    moved = marked_docs.mapInArrow(fragment_rows(kind, buckets, hot), "key int, uid long, id long, spans binary, blob binary")
+    spans = moved.groupBy("key").applyInPandas(resolve_bucket(kind, resolver), "uid long, id long, spans binary")
+    return staged(spans).groupBy("uid", "id").agg(F.collect_list("spans").alias("spans"))
+
+
+def with_spans(docs: DataFrame, found: DataFrame, spans: str, id_column: str, text_column: str) -> DataFrame:
+    """docs with the spans that repeated_windows has found of each row, or null."""
+    uid, of, rid = (free_column(docs, c) for c in ("_uid", "_of", "_id"))
+    found = found.select(F.col("uid").alias(of), F.col("id").alias(rid), F.col("spans").alias(spans))
+    keyed = docs.withColumn(uid, row_key(id_column, text_column))
+    return keyed.join(found, (F.col(uid) == F.col(of)) & (F.col(id_column).cast("long") == F.col(rid)), "left").drop(uid, of, rid)
 
 
 def merged(spans: list[bytes] | None, width: int) -> np.ndarray:

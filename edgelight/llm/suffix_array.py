@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, free_column
-from .repeats import Kind, merged, repeated_windows
+from .repeats import Kind, merged, repeated_windows, with_spans
 
 Q = 8
 
@@ -71,7 +71,7 @@ def earlier_elsewhere(width: int):
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, spans): the windows of width bytes of each document that also start in a document with a smaller id."""
+    """(uid, id, spans): the windows of width bytes of each document that also start in a document with a smaller id."""
     return repeated_windows(docs, Kind(words=False, width=width, gram=min(16, width), earlier=True), earlier_elsewhere(width), id_column, text_column)
 
 
@@ -84,7 +84,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50, id_column: str = "doc_id", tex
     id none is smaller, so they do not affect each other. An empty table gives an empty result; all columns stay.
     """
     spans = free_column(docs, "_spans")
-    found = repeated_spans(docs, width, id_column, text_column).select(F.col("id").alias("_of"), F.col("spans").alias(spans))
+    found = repeated_spans(docs, width, id_column, text_column)
 
     @F.pandas_udf("kept_text string, removed array<struct<begin: long, end: long>>")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -100,7 +100,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50, id_column: str = "doc_id", tex
             out.append((kept(data, gone).decode(errors="ignore"), [{"begin": a, "end": b} for a, b in gone.tolist()]))
         return pd.DataFrame(out, columns=["kept_text", "removed"])
 
-    joined = docs.join(found, docs[id_column] == found["_of"], "left").drop("_of")
+    joined = with_spans(docs, found, spans, id_column, text_column)
     done = free_column(joined, "_cut")
     joined = joined.withColumn(done, cut(F.col(text_column), F.col(spans)))
     return joined.select(*docs.columns, F.col(done)["kept_text"].alias("kept_text"), F.col(done)["removed"].alias("removed"))
@@ -122,7 +122,7 @@ def kept(data: bytes, gone: np.ndarray) -> bytes:
 
 def op3_suffix_array_dedup(spark, sf_dir):
     docs, width = documents(spark, sf_dir).select("doc_id", "text"), 50
-    found = repeated_spans(docs, width).select(F.col("id").alias("of"), "spans")
+    found = repeated_spans(docs, width)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     def digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -133,5 +133,5 @@ def op3_suffix_array_dedup(spark, sf_dir):
             out.append((len(data), removed, len(gone), hashlib.sha256(kept(data, gone)).hexdigest()))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = docs.join(found, F.col("doc_id") == F.col("of"), "left")
+    joined = with_spans(docs, found, "spans", "doc_id", "text")
     return joined.select("doc_id", digest(F.col("text").cast("binary"), "spans").alias("d")).select("doc_id", "d.*")
