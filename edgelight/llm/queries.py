@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lattice, mixing, near_dup, packing, sharding, suffix_array, suffix_tree, toxicity
+from . import lattice, mixing, near_dup, order_minhash, packing, sharding, suffix_array, suffix_tree, toxicity
 
 QUERIES = {
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op3_suffix_array_dedup": suffix_array.op3_suffix_array_dedup,
     "op4_odd_sketch_near_dup": near_dup.op4_odd_sketch_near_dup,
     "op5_suffix_tree_dedup": suffix_tree.op5_suffix_tree_dedup,
+    "op6_order_minhash": order_minhash.op6_order_minhash,
     "op7_lattice_near_dup": lattice.op7_lattice_near_dup,
     "op8_toxicity_chain": toxicity.op8_toxicity_chain,
     "op9_ordered_packing": packing.op9_ordered_packing,
