@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lattice, mixing, near_dup, order_minhash, packing, sharding, suffix_array, suffix_tree, toxicity
+from . import lattice, mixing, near_dup, order_minhash, packing, sharding, suffix_array, suffix_tree, tool_calls, toxicity
 
 QUERIES = {
+    "op1_tool_call_links": tool_calls.op1_tool_call_links,
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op3_suffix_array_dedup": suffix_array.op3_suffix_array_dedup,
     "op4_odd_sketch_near_dup": near_dup.op4_odd_sketch_near_dup,
@@ -16,4 +17,44 @@ QUERIES = {
     "op10_source_mix": mixing.op10_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The turns of the chat tables as calls and results, linked: what op1 does, in SQL.
+TOOL_CALLS = """
+WITH calls AS (
+  SELECT conv_id, turn, role, text, conv_id::VARCHAR || '-' || turn::VARCHAR AS call_id,
+    CASE WHEN role = 'user' AND lag(turn) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) = turn - 2 THEN 0 ELSE 1 END AS fresh
+  FROM conversations WHERE role IN ('user', 'system')
+), islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM calls
+), deep AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth FROM islands
+), answers AS (
+  SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'
+), rows AS (
+  SELECT c.conv_id, c.call_id, c.turn, CASE c.role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, c.depth,
+    CASE WHEN a.turn IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+    list_filter([
+      CASE WHEN c.role = 'user' AND length(c.text) % 11 = 0 THEN 'missing:words' WHEN c.role = 'user' AND c.turn % 7 = 3 THEN 'type:words' END,
+      CASE WHEN c.role = 'user' AND c.turn % 5 = 4 THEN 'extra:zeal' END,
+      CASE WHEN c.role = 'user' AND c.turn >= 2 AND c.fresh = 1 THEN 'unknown_parent' END], lambda x: x IS NOT NULL) AS errors,
+    '{"text":' || to_json(coalesce(c.text, ''))::VARCHAR || CASE WHEN c.role <> 'user' OR length(c.text) % 11 = 0 THEN ''
+      WHEN c.turn % 7 = 3 THEN ',"words":"' || len(string_split(c.text, ' '))::VARCHAR || '"' ELSE ',"words":' || len(string_split(c.text, ' '))::VARCHAR END
+      || CASE WHEN c.role = 'user' AND c.turn % 5 = 4 THEN ',"zeal":1' ELSE '' END || '}' AS arguments,
+    a.text AS content, 0 AS kind
+  FROM deep c LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
+  UNION ALL
+  SELECT a.conv_id, a.conv_id::VARCHAR || '-' || (a.turn - 1)::VARCHAR, a.turn, NULL, NULL, 'orphan_result', [], NULL, a.text, 1
+  FROM answers a LEFT JOIN calls c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1 WHERE c.turn IS NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY kind, depth, turn, call_id) - 1 AS seq FROM rows
+)
+SELECT conv_id, call_id, turn, name, depth::BIGINT AS depth, seq::BIGINT AS seq, status, array_to_string(errors, ',') AS errors,
+  '{' || CASE WHEN arguments IS NULL THEN '' ELSE '"arguments":' || arguments || ',' END || '"call_id":' || to_json(call_id)::VARCHAR
+  || CASE WHEN len(errors) = 0 THEN '' ELSE ',"errors":' || to_json(errors)::VARCHAR END
+  || CASE WHEN name IS NULL THEN '' ELSE ',"name":' || to_json(name)::VARCHAR END
+  || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content)::VARCHAR END
+  || ',"seq":' || seq::VARCHAR || ',"status":' || to_json(status)::VARCHAR || '}' AS message
+FROM placed
+"""
+
+#: The other operators hash, sample, pack or learn, or are exact but slow in SQL on whole tables: tests/llm hold them to brute force.
+ORACLE_SQL: dict[str, str] = {"op1_tool_call_links": TOOL_CALLS}
