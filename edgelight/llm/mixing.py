@@ -86,17 +86,18 @@ def mix(docs: DataFrame, share: float = 1.0, max_epochs: int = 3, seed: int = 11
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as mix_epochs says, then the part of it that mix_extra covers (its first words)."""
+    """The mix itself: each document as often as mix_epochs says, then its first mix_extra words once more; n_chars follows the text."""
     own = [c for c in mixed.columns if not c.startswith("mix_")]
-    whole = mixed.where("mix_epochs > 0").withColumn("_mix_copy", F.explode(F.expr("sequence(1L, mix_epochs)"))).select(*own)
-    head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    # The words before the cut and the white space between them; the pattern has no bound of its own to outgrow.
-    parts = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.greatest(F.lit(1), F.col("mix_extra")).cast("int"))
-    cut = F.when(F.col("mix_extra") >= F.col("mix_size"), F.col("text")).otherwise(F.array_join(parts, ""))
-    extra = mixed.where("mix_extra > 0").withColumn("text", F.coalesce(cut, head))
+    copies = F.expr("sequence(1L, mix_epochs + if(mix_extra > 0, 1L, 0L))")
+    rows = mixed.where("mix_taken > 0 or mix_epochs > 0").withColumn("mix_copy", F.explode(copies))
+    partial = (F.col("mix_copy") > F.col("mix_epochs")) & (F.col("mix_extra") < F.col("mix_size"))
+    # A part is a word with the white space before it.
+    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.col("mix_extra")).cast("int")), "")
+    rows = rows.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
     if "n_chars" in own:
-        extra = extra.withColumn("n_chars", F.char_length("text").cast(mixed.schema["n_chars"].dataType))
-    return whole.unionByName(extra.select(*own))
+        rows = rows.withColumn("n_chars", F.when(partial, F.char_length("text").cast(mixed.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*own)
 
 
 def op10_source_mix(spark, sf_dir):

@@ -21,6 +21,8 @@ SKETCH_BITS = 512
 #: Five standard deviations of the estimate below the threshold that is asked for.
 ESTIMATE_SLACK = 0.2
 BLOCK = 1024
+#: Partners of a member in the first comparison between components, and by how much each further one takes more.
+FIRST_PARTNERS, MORE_PARTNERS = 2, 8
 
 _MULTIPLIERS = constants(SAMPLES, 5)
 
@@ -110,11 +112,12 @@ def sketched(pairs: DataFrame, sketches: DataFrame, flips: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close("sketch_a", "sketch_b")).select("a", "b")
 
 
-def across_components(members: DataFrame, sketches: DataFrame, flips: int) -> DataFrame:
-    """Pairs of members (key, id, leader, component) of one bucket that are in different components and have close sketches.
+def across_components(members: DataFrame, sketches: DataFrame, flips: int, most: int) -> DataFrame:
+    """(a, b, cut): pairs of members (key, id, leader, component) of one bucket in different components with close sketches.
 
-    Only buckets of several components count, and in them only pairs without the leader, which has been compared with all.
-    A bucket is cut into blocks of BLOCK members and a task compares two blocks, so no bucket lands in one task whole.
+    Only buckets of several components count, and in them only pairs without the leader, which has been compared with all. Of
+    each member come its `most` closest partners per block; cut says that it has more. A bucket is cut into blocks of BLOCK
+    members and a task compares two blocks, so no bucket lands in one task whole.
     """
     open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and n > 2")
     open_keys = open_keys.select(F.col("key").alias("open_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -124,21 +127,28 @@ def across_components(members: DataFrame, sketches: DataFrame, flips: int) -> Da
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
 
+    def closest(left: pd.DataFrame, right: pd.DataFrame) -> list[np.ndarray]:
+        a, b = (np.frombuffer(b"".join(x["sketch"]), U64).reshape(len(x), -1) for x in (left, right))
+        ids, components = right["id"].to_numpy(), right["component"].to_numpy()
+        found = []
+        for row, own, component in zip(a, left["id"].to_numpy(), left["component"].to_numpy(), strict=True):
+            apart = np.bitwise_count(b ^ row).sum(axis=1)
+            near = np.flatnonzero((apart <= flips) & (components != component))
+            cut = len(near) > most
+            near = near[np.argsort(apart[near], kind="stable")[:most]]
+            hit = ids[near]
+            found.append(np.column_stack([np.minimum(hit, own), np.maximum(hit, own), np.full(len(hit), cut)]))
+        return found
+
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         left, right = group[group["mine"] == i], group[group["mine"] == j]
-        a, b = (np.frombuffer(b"".join(x["sketch"]), U64).reshape(len(x), -1) for x in (left, right))
-        found = []
-        for k in range(len(left)):
-            near = np.bitwise_count(b ^ a[k]).sum(axis=1) <= flips
-            near &= right["component"].to_numpy() != left["component"].iloc[k]
-            hit = right["id"].to_numpy()[near]
-            found.append(np.column_stack([np.minimum(hit, left["id"].iloc[k]), np.maximum(hit, left["id"].iloc[k])]))
-        pairs = np.concatenate([*found, np.zeros((0, 2), np.int64)])
-        return pd.DataFrame(pairs, columns=["a", "b"]).drop_duplicates()
+        found = closest(left, right) + (closest(right, left) if i != j else [])
+        pairs = np.concatenate([*found, np.zeros((0, 3), np.int64)])
+        return pd.DataFrame(pairs, columns=["a", "b", "cut"]).drop_duplicates()
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, cut long").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -146,9 +156,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 
     Equal sets are one representative, the smallest id. Representatives that share a band of MinHash samples are candidates.
     First each is compared with the smallest of its bucket only; what that links is one component and needs no further
-    comparison inside it. Then pairs of one bucket in different components are compared, all of them. Odd sketches drop
-    the pairs that are clearly below the threshold, the full sets of whole texts decide on the rest. So a bucket of any
-    size costs a pair per member where it is one cluster, and no bucket is capped.
+    comparison inside it. Then members of one bucket in different components are compared: first with their closest partners
+    by sketch, as that joins most components, and after each joining with more, until no pair between components is left. Odd
+    sketches drop the pairs that are clearly below the threshold, the full sets of whole texts decide on the rest. So a
+    bucket costs a few pairs per member where it is one cluster, and no bucket is capped.
 
     Returns id, n_shingles, component (smallest id reachable). Rows with a null or wordless text have no shingles and are
     alone; a null id is kept, as its own component; rows of one id count as copies of it if their sets agree. An empty
@@ -166,15 +177,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("led"), "leader")
     members = staged(bands.join(leaders, F.col("key") == F.col("led")).select("key", "id", "leader"))
     stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    # Only texts of candidates are compared; they are set apart once, so that later joins move no others.
+    candidates = members.select(F.col("id").alias("candidate")).distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    texts = staged(texts.join(candidates, F.col("id") == F.col("candidate"), "left_semi"))
     links = checkpoint(confirmed(sketched(stars, sketches, flips), texts, percent))
     nodes = members.select(F.col("id").alias("node")).distinct()
     found = connected_components(nodes, links)
-    placed = members.join(found, F.col("id") == F.col("node")).select("key", "id", "leader", "component")
-    more = checkpoint(across_components(placed, sketches, flips).join(links, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = links.unionByName(confirmed(more, texts, percent))
+    tested, most = None, FIRST_PARTNERS
+    while True:
+        placed = members.join(found, F.col("id") == F.col("node")).select("key", "id", "leader", "component")
+        near = checkpoint(across_components(placed, sketches, flips, most))
+        row = near.agg(F.count(F.lit(1)).alias("n"), F.max("cut").alias("cut")).first()
+        if not row["n"]:
+            break
+        new = near.select("a", "b") if tested is None else near.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        tested = near.select("a", "b") if tested is None else checkpoint(tested.union(new))
+        links = checkpoint(links.unionByName(confirmed(new, texts, percent)))
         found = connected_components(nodes, links)
+        if not row["cut"]:
+            break
+        most *= MORE_PARTNERS
     reached = firsts.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "rep").alias("component"))
     out = signed.join(reached, F.col("set_hash") == F.col("of"), "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
