@@ -1,4 +1,72 @@
-"""From documents to packed training sequences, in stages."""
+"""From documents to packed training sequences: drop toxic and near-duplicate documents, cut repeats, mix sources, pack.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and reads
+it again for the next stage. All but the last return the columns of documents. Rows with a null doc_id or text pass through
+the first four stages as far as the mix takes them; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from edgelight.llm import mixing, near_dup, packing, suffix_array, toxicity
+from edgelight.llm.common import documents, free_column, staged
+
+#: Which tokens the last stage packs, and how many to a sequence.
+VOCABULARY, SEQUENCE = "byte_bpe_50k.json", 2048
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier chain, fitted on those with labels, does not call toxic."""
+    chain = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.categories())
+    return toxicity.score(docs, chain).where(~F.col("is_toxic")).select(*docs.columns)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest id; of rows that repeat an id and a text, one."""
+    groups = near_dup.near_duplicates(docs)
+    firsts = groups.where("id = component").select(F.col("id").alias("kept_id")).distinct()
+    kept = docs.join(firsts, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    nth = free_column(docs, "_nth")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    return kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 50 bytes and more that a smaller doc_id has as well; documents of which nothing is left go."""
+    cut = suffix_array.dedup_bytes(docs).where("text is null or text = '' or kept_text <> ''")
+    shorter = F.size("removed") > 0
+    return cut.select(*[F.col("kept_text").alias(c) if c == "text" else F.when(shorter, F.char_length("kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target weights: documents in whole repetitions, and the fraction that is left over."""
+    return mixing.repeated(mixing.mix(docs))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), SEQUENCE)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_dedup", one_of_near_duplicates),
+    ("suffix_array_dedup", without_repeats),
+    ("source_mix", mixed_sources),
+    ("packing", packed_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir))
+    return docs
+
+
+#: A classifier, an iterated search and a packing plan are not for SQL; tests/llm check the stages against plain Python.
 ORACLE_SQL = None
