@@ -35,6 +35,9 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # Shuffle files of the step are deleted when the driver's JVM collects the objects that stand for them, which a driver
+    # with little to do puts off for as long as its heap has room, while the executors' disks fill.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
             break
         most *= MORE_PARTNERS
     reached = firsts.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "rep").alias("component"))
-    out = signed.join(reached, F.col("set_hash") == F.col("of"), "left")
+    out = signed.join(reached, (F.col("set_hash") == F.col("of")) & F.col("id").isNotNull(), "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 

@@ -33,7 +33,7 @@ _UP = hashing._powers(hashing._BASE, BLOCK + (1 << 12))
 _DOWN = hashing._powers(pow(hashing._BASE, -1, 1 << 64), BLOCK + (1 << 12))
 _POSITION = U64((1 << 19) - 1)
 #: Text that one bucket stands for, and the bytes of fragments that are sorted at once.
-BUCKET_BYTES, SORTED_BYTES = 16 << 20, 1 << 20
+BUCKET_BYTES, SORTED_BYTES = 16 << 20, 1 << 19
 HOT_SHARE, HOT_LEAST = 8, 256
 
 
@@ -243,18 +243,23 @@ def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
             parts = []
             for piece in pieces(data, offsets, kind):
                 start, document, at, h = anchors(piece, kind)
-                keep = np.isin(h, known)
-                start, document, at, h = start[keep], document[keep], at[keep], h[keep]
-                if not len(start):
-                    continue
-                alone = np.isin(h, hot)
-                new = np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]) | alone
-                new |= np.concatenate([[True], alone[:-1]])
+                # Runs of windows with one anchor; only their heads are looked up.
+                new = np.ones(len(start), bool)
+                new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
                 first = np.flatnonzero(new)
                 windows = np.diff(np.append(first, len(start)))
+                keep = found_in(h[first], known)
+                first, windows = first[keep], windows[keep]
+                if not len(first):
+                    continue
+                alone = found_in(h[first], hot)
+                if alone.any():  # each window of a hot anchor by itself
+                    times = np.where(alone, windows, 1)
+                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    first, windows, alone = np.repeat(first, times) + step, np.repeat(np.where(alone, 1, windows), times), np.repeat(alone, times)
                 s, d = start[first], document[first]
                 content = stretch_hashes(piece.units, s, windows + kind.width - 1)
-                key = np.where(alone[first], content, mix64(h[first]))
+                key = np.where(alone, content, mix64(h[first]))
                 if kind.words:
                     low, high = piece.begin[s], piece.end[s + windows + kind.width - 2]
                 else:
@@ -283,19 +288,52 @@ def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
                 out.append((int(key[y[0]] % U64(buckets)), int(ids[row[y[0]]]), int(own[row[y[0]]]), np.column_stack([first[y], windows[y]]).astype("<i8").tobytes(), None))
             x = np.flatnonzero(sent)
             bucket = (key[x] % U64(buckets)).astype(np.int64)
-            x = x[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket, kind="stable")
+            order = np.lexsort((row[x], bucket))
+            x, bucket = x[order], bucket[order]
             edge = np.append(runs(bucket), len(bucket))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                y = x[a:b]
-                head = struct.pack("<I", len(y)) + ids[row[y]].astype("<i8").tobytes() + own[row[y]].astype("<i8").tobytes() + first[y].astype("<i8").tobytes() + key[y].astype("<u8").tobytes() + (high[y] - low[y]).astype("<u4").tobytes()
-                out.append((int(bucket[a]), 0, 0, None, head + b"".join(data[p:q].tobytes() for p, q in zip(low[y], high[y], strict=True))))
+                out.append((int(bucket[a]), 0, 0, None, pack_fragments(kind, x[a:b], ids, own, row, first, windows, key, low, high, data)))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "uid", "id", "spans", "blob"])
 
     return emit
 
 
+def found_in(values: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Which values are among members, which rise."""
+    if not len(members):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(members, values), len(members) - 1)
+    return members[at] == values
+
+
+def pack_fragments(kind: Kind, x: np.ndarray, ids, own, row, first, windows, key, low, high, data) -> bytes:
+    """Fragments x, sorted by row: their documents once each, then where each begins, its windows, key and bytes."""
+    head = runs(row[x])
+    documents = row[x[head]]
+    each = np.diff(np.append(head, len(x)))
+    sizes = (high[x] - low[x]).astype("<u4").tobytes() if kind.words else b""
+    parts = [struct.pack("<II", len(head), len(x)), ids[documents].astype("<i8").tobytes(), own[documents].astype("<i8").tobytes(), each.astype("<u4").tobytes()]
+    parts += [first[x].astype("<u4").tobytes(), (key[x] >> U64(32)).astype("<u4").tobytes(), windows[x].astype("<u4").tobytes(), sizes]
+    # One gather for all bytes.
+    n = (high[x] - low[x]).astype(np.int64)
+    index = np.arange(n.sum()) + np.repeat(low[x] - (np.cumsum(n) - n), n)
+    return b"".join([*parts, data[index].tobytes()])
+
+
+def unpack_fragments(kind: Kind, blob: bytes) -> tuple[np.ndarray, ...]:
+    """uid, id, first, key and size of each fragment, and the bytes of all."""
+    documents, n = struct.unpack_from("<II", blob)
+    at = 8
+    columns = []
+    for type_, count in (("<i8", documents), ("<i8", documents), ("<u4", documents), *[("<u4", n)] * (4 if kind.words else 3)):
+        columns.append(np.frombuffer(blob, type_, count, at))
+        at += int(type_[2]) * count
+    uid, own, each, first, key, windows = columns[:6]
+    size = columns[6].astype(np.int64) if kind.words else windows.astype(np.int64) + kind.width - 1
+    return np.repeat(uid, each), np.repeat(own, each), first.astype(np.int64), key, size, np.frombuffer(blob, np.uint8, -1, at)
+
+
 def unpack_lists(column: pa.Array) -> np.ndarray:
     values = column.flatten()
     return np.concatenate([np.zeros(0, U64), *[unpack40(v) for v in values.to_pylist()]])
@@ -310,30 +348,28 @@ def resolve_bucket(kind: Kind, resolver: Resolver) -> Callable[[pd.DataFrame], p
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
         passed = group.loc[group["blob"].isna(), ["uid", "id", "spans"]]
-        heads, texts = [], []
-        for blob in group["blob"].dropna():
-            (n,) = struct.unpack_from("<I", blob)
-            size = np.frombuffer(blob, "<u4", n, 4 + 32 * n)
-            heads.append((*(np.frombuffer(blob, "<i8", n, 4 + 8 * n * k) for k in range(3)), np.frombuffer(blob, "<u8", n, 4 + 24 * n), size))
-            ends = 4 + 36 * n + np.cumsum(size.astype(np.int64))
-            texts.extend(blob[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True))
+        heads = [unpack_fragments(kind, blob) for blob in group["blob"].dropna()]
         if not heads:
             return passed
-        uid, ids, first, key, size = (np.concatenate(x) for x in zip(*heads, strict=True))
+        uid, ids, first, key, size, text = (np.concatenate(x) for x in zip(*heads, strict=True))
+        del heads
+        begin = np.cumsum(size) - size
         # Equal windows have equal keys, so keys may be sorted apart; a part ends between two keys.
         order = np.argsort(key, kind="stable")
-        total = np.cumsum(size[order].astype(np.int64))
+        total = np.cumsum(size[order] + 1)
         breaks, cuts, limit = runs(key[order]), [0], SORTED_BYTES
-        for b in breaks[1:].tolist():
-            if total[b - 1] > limit:
+        for b, done in zip(breaks[1:].tolist(), total[breaks[1:] - 1].tolist(), strict=True):
+            if done > limit:
                 cuts.append(b)
-                limit = total[b - 1] + SORTED_BYTES
+                limit = done + SORTED_BYTES
         cuts.append(len(order))
         found, found_starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             x = order[a:b]
-            data = np.frombuffer(b"\n".join([texts[i] for i in x]) + b"\n", np.uint8)
-            offsets = np.concatenate([[0], np.cumsum(size[x].astype(np.int64) + 1)])
+            offsets = np.concatenate([[0], np.cumsum(size[x] + 1)])
+            data = np.full(offsets[-1], 10, np.uint8)
+            inside = np.arange(size[x].sum()) + np.repeat(np.arange(len(x)), size[x])
+            data[inside] = text[np.arange(size[x].sum()) + np.repeat(begin[x] - (np.cumsum(size[x]) - size[x]), size[x])]
             fragment, place = resolver(data, offsets, ids[x])
             found.append(x[fragment])
             found_starts.append(first[x][fragment] + place)

@@ -12,59 +12,72 @@ from pyspark.sql import functions as F
 from .common import documents, free_column
 from .repeats import Kind, merged, repeated_windows, with_spans
 
-Q = 8
+#: Bytes that the first buckets are made by. Two pointers or Q bytes, and a position, share 64 bits where the data are short.
+Q, POINTER_BITS = 5, 20
+
+
+def _sorted(major: np.ndarray, minor: np.ndarray | None, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (major, minor), and where equal ones begin; short data are sorted as one packed number each."""
+    n = len(major)
+    if total <= 1 << POINTER_BITS:
+        shift = np.uint64(POINTER_BITS)
+        key = major.astype(np.uint64) if minor is None else (major.astype(np.uint64) << shift) | minor.astype(np.uint64)
+        packed = np.sort((key << shift) | np.arange(n, dtype=np.uint64))
+        order, key = (packed & np.uint64((1 << POINTER_BITS) - 1)).astype(np.int64), packed >> shift
+        new = key[1:] != key[:-1]
+    else:
+        order = np.argsort(major, kind="stable") if minor is None else np.lexsort((minor, major))
+        new = major[order][1:] != major[order][:-1]
+        if minor is not None:
+            new |= minor[order][1:] != minor[order][:-1]
+    return order, np.flatnonzero(np.concatenate([[True], new])) if n else np.zeros(0, np.int64)
 
 
 def equal_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows of width bytes inside the strings that offsets part (each ends in one byte more), and a number
-    per window that is the same for equal windows only.
+    """The windows of width bytes that occur more than once inside the strings that offsets part (each ends in one byte more):
+    starts, equal windows together, and where in them each group begins.
 
     Suffixes fall into buckets by their first Q bytes. A bucket is then refined by sorting its suffixes on the buckets of
     the suffixes `depth` later; since those have been refined to the same depth by then, each round doubles the depth. A
     suffix alone in its bucket keeps its pointer and is sorted no more.
     """
-    ends = np.repeat(offsets[1:] - 1, np.diff(offsets))
-    room = ends - np.arange(len(data))  # bytes to the end of the own string
+    room = np.repeat(offsets[1:] - 1, np.diff(offsets)) - np.arange(len(data))  # bytes to the end of the own string
     padded = np.concatenate([data, np.zeros(Q, np.uint8)])
     prefix = np.zeros(len(data), np.uint64)
-    for j in range(Q):
+    for j in range(min(Q, width)):
         prefix = (prefix << np.uint64(8)) | padded[j : j + len(data)]
+    depth = min(Q, width)
+    active = np.flatnonzero(room >= depth)
     pointer = np.full(len(data), -1, np.int64)
-    active = np.flatnonzero(room >= Q)
-    depth, keys, later = Q, prefix[active], None
+    major, minor = prefix[active], None
     while True:
-        order = np.argsort(keys, kind="stable") if later is None else np.lexsort((later, keys))
+        order, first = _sorted(major, minor, len(data))
         active = active[order]
-        same = keys[order][1:] == keys[order][:-1]
-        if later is not None:
-            same &= later[order][1:] == later[order][:-1]
-        first = np.flatnonzero(np.concatenate([[True], ~same])) if len(active) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(active)))
-        # A bucket's pointer is where it begins; the smallest of its suffixes names it, which no other bucket can have.
-        name = np.minimum.reduceat(active, first) if len(active) else first
-        pointer[active] = np.repeat(name, size)
+        # One of its suffixes names a bucket: no other bucket can have that name, however often it is refined.
+        pointer[active] = np.repeat(active[first], size)
+        shared = np.repeat(size > 1, size)
         if depth >= width:
-            break
+            size = size[size > 1]
+            return active[shared], np.cumsum(size) - size
         step = min(depth, width - depth)
         depth += step
-        alone = np.repeat(size == 1, size)
-        active = active[~alone & (room[active] >= depth)]
-        keys, later = pointer[active], pointer[active + step]
-    starts = np.flatnonzero(room >= width)
-    return starts, pointer[starts]
+        active = active[shared]
+        active = active[room[active] >= depth]
+        major, minor = pointer[active], pointer[active + step]
 
 
 def earlier_elsewhere(width: int):
     """A resolver: windows that also start in a document with a smaller id."""
 
     def resolve(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, bucket = equal_windows(data, offsets, width)
-        fragment = np.searchsorted(offsets, starts, "right") - 1
+        starts, first = equal_windows(data, offsets, width)
+        if not len(starts):
+            return starts, starts
+        fragment = np.repeat(np.arange(len(ids)), np.diff(offsets))[starts]
         own = ids[fragment]
-        order = np.lexsort((own, bucket))
-        head = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-        smallest = np.repeat(own[order][head], np.diff(np.append(head, len(order))))
-        found = order[own[order] > smallest]
+        smallest = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
+        found = np.flatnonzero(own > smallest)
         return fragment[found], starts[found] - offsets[fragment[found]]
 
     return resolve
