@@ -19,7 +19,7 @@ from .common import documents, free_column
 #: Tokens of padding that a cut inside a document is worth: after a sentence, and anywhere else.
 SENTENCE_CUT, HARD_CUT = 8, 32
 #: Where a sentence is longer than this, it may be cut after as many tokens.
-HARD_STEP = 256
+HARD_STEP = 32
 #: Tokens that are planned at once, and the last windows of a plan that the next one may change.
 PLAN_TOKENS, REPLANNED = 1 << 18, 4
 
