@@ -20,9 +20,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Five standard deviations of the estimate below the threshold that is asked for.
 ESTIMATE_SLACK = 0.2
-BLOCK = 1024
-#: Partners of a member in the first comparison between components, and by how much each further one takes more.
-FIRST_PARTNERS, MORE_PARTNERS = 2, 8
+#: Members of a bucket, and shingles of them in all, that one side of a comparison between components holds at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
 
 _MULTIPLIERS = constants(SAMPLES, 5)
 
@@ -112,43 +111,93 @@ def sketched(pairs: DataFrame, sketches: DataFrame, flips: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close("sketch_a", "sketch_b")).select("a", "b")
 
 
-def across_components(members: DataFrame, sketches: DataFrame, flips: int, most: int) -> DataFrame:
-    """(a, b, cut): pairs of members (key, id, leader, component) of one bucket in different components with close sketches.
+def contested(members: DataFrame, sketches: DataFrame, flips: int) -> DataFrame:
+    """(key, i, j, id, component, mine): members (key, id, leader, n_shingles, component) of one bucket whose full sets must be compared.
 
-    Only buckets of several components count, and in them only pairs without the leader, which has been compared with all. Of
-    each member come its `most` closest partners per block; cut says that it has more. A bucket is cut into blocks of BLOCK
-    members and a task compares two blocks, so no bucket lands in one task whole.
+    Only buckets of several components count, and in them only pairs without the leader, which has been compared with all. A
+    bucket is cut into blocks of at most BLOCK members and BLOCK_SHINGLES shingles, and a task looks at two blocks (i, j). A
+    pair counts if its components differ, its sketches are close and no earlier band has brought it together; the pairs
+    themselves stay in the task, which names the members that have one.
     """
-    open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and n > 2")
-    open_keys = open_keys.select(F.col("key").alias("open_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high and n > 2")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    open_keys = open_keys.select(F.col("key").alias("open_key"), blocks.alias("blocks"))
     rows = members.where("id <> leader").join(open_keys, F.col("key") == F.col("open_key")).select("key", "id", "component", "blocks")
-    rows = rows.join(sketches.select(F.col("id").alias("of"), "sketch"), F.col("id") == F.col("of")).drop("of")
+    rows = rows.join(sketches.select(F.col("id").alias("of"), "sketch", "bands"), F.col("id") == F.col("of")).drop("of")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-
-    def closest(left: pd.DataFrame, right: pd.DataFrame) -> list[np.ndarray]:
-        a, b = (np.frombuffer(b"".join(x["sketch"]), U64).reshape(len(x), -1) for x in (left, right))
-        ids, components = right["id"].to_numpy(), right["component"].to_numpy()
-        found = []
-        for row, own, component in zip(a, left["id"].to_numpy(), left["component"].to_numpy(), strict=True):
-            apart = np.bitwise_count(b ^ row).sum(axis=1)
-            near = np.flatnonzero((apart <= flips) & (components != component))
-            cut = len(near) > most
-            near = near[np.argsort(apart[near], kind="stable")[:most]]
-            hit = ids[near]
-            found.append(np.column_stack([np.minimum(hit, own), np.maximum(hit, own), np.full(len(hit), cut)]))
-        return found
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "component", "mine", "sketch", "bands")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        columns = ["key", "i", "j", "id", "component", "mine"]
+        left, right = (group[group["mine"] == group[side].iloc[0]] for side in ("i", "j"))
+        if not len(left) or not len(right):
+            return group[columns].head(0)
+        (sa, ba), (sb, bb) = ((np.frombuffer(b"".join(x["sketch"]), U64).reshape(len(x), -1), np.stack(x["bands"].to_list())) for x in (left, right))
+        near = left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+        for band in range(int(np.flatnonzero(ba[0] == group["key"].iloc[0])[0])):
+            near &= ba[:, band][:, None] != bb[:, band][None, :]
+        apart = np.zeros(near.shape, np.uint16)
+        for word in range(sa.shape[1]):
+            apart += np.bitwise_count(sa[:, word][:, None] ^ sb[:, word][None, :])
+        near &= apart <= flips
+        return pd.concat([left[near.any(axis=1)], right[near.any(axis=0)]])[columns].drop_duplicates("id")
+
+    return rows.groupBy("key", "i", "j").applyInPandas(meet, "key long, i int, j int, id long, component long, mine int")
+
+
+def common_items(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The sizes of the intersections of each set of left with each of right: products of 0/1 matrices, width items at a time."""
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    sides = []
+    for sets in (left, right):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(both, flat)
+        inside = np.flatnonzero((at < len(both)) & (both[np.minimum(at, max(0, len(both) - 1))] == flat)) if len(both) else np.zeros(0, np.int64)
+        inside = inside[np.argsort(at[inside], kind="stable")]
+        sides.append((row[inside], at[inside]))
+    out = np.zeros((len(left), len(right)))
+    for low in range(0, len(both), width):
+        parts = []
+        for sets, (row, at) in zip((left, right), sides, strict=True):
+            a, b = np.searchsorted(at, [low, low + width])
+            dense = np.zeros((len(sets), min(width, len(both) - low)), np.float32)
+            dense[row[a:b], at[a:b] - low] = 1
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def joined_components(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that the full sets of two contested members link; per task as few as join what it has found to belong together."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", kind="stable")
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        left, right = group[group["mine"] == i], group[group["mine"] == j]
-        found = closest(left, right) + (closest(right, left) if i != j else [])
-        pairs = np.concatenate([*found, np.zeros((0, 3), np.int64)])
-        return pd.DataFrame(pairs, columns=["a", "b", "cut"]).drop_duplicates()
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, cut long").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        left, right = (group[group["mine"] == group[side].iloc[0]] for side in ("i", "j"))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        (ca, sa), (cb, sb) = ((x["component"].to_numpy(), [shingles(t) for t in x["text"]]) for x in (left, right))
+        both = common_items(sa, sb)
+        union = np.array([len(x) for x in sa])[:, None] + np.array([len(x) for x in sb])[None, :] - both
+        x, y = np.nonzero((100 * both >= percent * union) & (ca[:, None] != cb[None, :]))
+        pairs = np.unique(np.column_stack([np.minimum(ca[x], cb[y]), np.maximum(ca[x], cb[y])]), axis=0)
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        kept = []
+        for a, b in pairs.tolist():
+            low, high = sorted((root(a), root(b)))
+            if low != high:
+                parent[high] = low
+                kept.append((a, b))
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    texts = texts.select(F.col("id").alias("of"), "text")
+    rows = members.join(texts, F.col("id") == F.col("of")).select("key", "i", "j", "component", "mine", "text")
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -156,10 +205,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 
     Equal sets are one representative, the smallest id. Representatives that share a band of MinHash samples are candidates.
     First each is compared with the smallest of its bucket only; what that links is one component and needs no further
-    comparison inside it. Then members of one bucket in different components are compared: first with their closest partners
-    by sketch, as that joins most components, and after each joining with more, until no pair between components is left. Odd
-    sketches drop the pairs that are clearly below the threshold, the full sets of whole texts decide on the rest. So a
-    bucket costs a few pairs per member where it is one cluster, and no bucket is capped.
+    comparison inside it. Then members of one bucket in different components are compared, block by block and each pair in the
+    first band that brings it together. Odd sketches drop the pairs that are clearly below the threshold, the full sets of whole texts
+    decide on the rest. Pairs never leave a task: it returns the components that it joins. No bucket is capped.
 
     Returns id, n_shingles, component (smallest id reachable). Rows with a null or wordless text have no shingles and are
     alone; a null id is kept, as its own component; rows of one id count as copies of it if their sets agree. An empty
@@ -171,11 +219,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     firsts = real.groupBy("set_hash").agg(F.min("id").alias("rep"))
     firsts = checkpoint(firsts)
     reps = real.join(firsts.withColumnRenamed("set_hash", "of"), (F.col("set_hash") == F.col("of")) & (F.col("id") == F.col("rep"))).dropDuplicates(["id", "set_hash"])
-    reps = staged(reps.select("id", "bands", "sketch"))
-    sketches = reps.select("id", "sketch")
-    bands = reps.select("id", F.explode("bands").alias("key"))
+    reps = staged(reps.select("id", "n_shingles", "bands", "sketch"))
+    sketches = reps.select("id", "sketch", "bands")
+    bands = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
     leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("led"), "leader")
-    members = staged(bands.join(leaders, F.col("key") == F.col("led")).select("key", "id", "leader"))
+    members = staged(bands.join(leaders, F.col("key") == F.col("led")).select("key", "id", "leader", "n_shingles"))
     stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     # Only texts of candidates are compared; they are set apart once, so that later joins move no others.
     candidates = members.select(F.col("id").alias("candidate")).distinct()
@@ -184,20 +232,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     links = checkpoint(confirmed(sketched(stars, sketches, flips), texts, percent))
     nodes = members.select(F.col("id").alias("node")).distinct()
     found = connected_components(nodes, links)
-    tested, most = None, FIRST_PARTNERS
-    while True:
-        placed = members.join(found, F.col("id") == F.col("node")).select("key", "id", "leader", "component")
-        near = checkpoint(across_components(placed, sketches, flips, most))
-        row = near.agg(F.count(F.lit(1)).alias("n"), F.max("cut").alias("cut")).first()
-        if not row["n"]:
-            break
-        new = near.select("a", "b") if tested is None else near.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        tested = near.select("a", "b") if tested is None else checkpoint(tested.union(new))
-        links = checkpoint(links.unionByName(confirmed(new, texts, percent)))
-        found = connected_components(nodes, links)
-        if not row["cut"]:
-            break
-        most *= MORE_PARTNERS
+    placed = members.join(found, F.col("id") == F.col("node")).select("key", "id", "leader", "n_shingles", "component")
+    joins = checkpoint(joined_components(checkpoint(contested(placed, sketches, flips)), texts, percent))
+    ends = joins.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    lower = connected_components(ends, joins).select(F.col("node").alias("was"), F.col("component").alias("lowest"))
+    found = found.join(lower, F.col("component") == F.col("was"), "left").select("node", F.coalesce("lowest", "component").alias("component"))
     reached = firsts.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "rep").alias("component"))
     out = signed.join(reached, (F.col("set_hash") == F.col("of")) & F.col("id").isNotNull(), "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
