@@ -159,7 +159,8 @@ def runs(values: np.ndarray) -> np.ndarray:
 
 def anchor_rows(kind: Kind, buckets: int) -> Callable:
     """mapInArrow over (id, bytes): (key, tag, id, blob). Tag 0: anchors of a batch for bucket key, each once, with the number of
-    documents that have it. Tag 1: anchors of one document that the batch has seen twice."""
+    documents that have it. Tag 1: anchors of one document that the batch has seen twice; the document chooses the bucket, which
+    only passes them on, as the anchors of many copies of one text would all choose the same."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +188,7 @@ def anchor_rows(kind: Kind, buckets: int) -> Callable:
             edge = np.append(runs(row[known]), len(known))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 r = row[known[a]]
-                out.append((int(h[known[a]] % U64(buckets)), 1, int(ids[r]), pack40(h[known[a:b]])))
+                out.append((int(ids[r]) % buckets, 1, int(ids[r]), pack40(h[known[a:b]])))
             row, h = row[head], h[head]
             key = (h % U64(buckets)).astype(np.int64)
             order = np.lexsort((row, key))
@@ -234,7 +235,7 @@ def find_shared(group: pd.DataFrame) -> pd.DataFrame:
 
 def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
     """mapInArrow over (uid, bytes, shared anchors, id): (key, uid, id, spans, blob). With blob: fragments for bucket key. Without: windows of one
-    document (starts and lengths of runs) that the batch itself has found repeated."""
+    document (starts and lengths of runs) that the batch itself has found repeated; the document chooses the bucket, which only passes them on."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,10 +283,14 @@ def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
             out: list[tuple] = []
             x = np.flatnonzero(sure)
             x = x[np.lexsort((first[x], row[x]))]
-            edge = np.append(runs(row[x]), len(x))
+            r, begin, end = row[x], first[x], first[x] + windows[x]
+            # Windows of a row are in one run each, so runs that touch are one.
+            head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (begin[1:] != end[:-1])])) if len(x) else x
+            r, spans = r[head], np.column_stack([begin[head], end[np.append(head[1:], len(x)) - 1] - begin[head]]).astype("<i8")
+            edge = np.append(runs(r), len(r))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                y = x[a:b]
-                out.append((int(key[y[0]] % U64(buckets)), int(ids[row[y[0]]]), int(own[row[y[0]]]), np.column_stack([first[y], windows[y]]).astype("<i8").tobytes(), None))
+                uid = int(ids[r[a]])
+                out.append((uid % buckets, uid, int(own[r[a]]), spans[a:b].tobytes(), None))
             x = np.flatnonzero(sent)
             bucket = (key[x] % U64(buckets)).astype(np.int64)
             order = np.lexsort((row[x], bucket))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from cases import SCHEMA, byte_digest, covered_bytes, frame, near_components, prose, table, word_digests
 from pyspark.sql import functions as F
@@ -133,6 +134,22 @@ def test_hot_passages_are_spread_and_still_found(spark, monkeypatch, kind):
         assert [sum(s["end"] - s["begin"] for s in r["removed"]) for r in out] == [sum(g) for _, g in covered_bytes(known(rows))]
 
 
+@pytest.mark.parametrize("kind", [repeats.Kind(False, 50, 16, True), repeats.Kind(True, 35, 8, False)])
+def test_what_a_batch_knows_of_copies_is_short_and_spread(kind):
+    text, buckets = prose(400, 22).encode(), 64
+    uids = np.random.default_rng(6).integers(-(1 << 62), 1 << 62, 200)
+    ids, texts = pa.array(np.arange(200)), pa.array([text] * 200, pa.binary())
+    (marked,) = repeats.anchor_rows(kind, buckets)([pa.RecordBatch.from_arrays([pa.array(uids), texts], names=["uid", "text"])])
+    rows = [r for r in marked.to_pylist() if r["tag"] == 1]
+    assert {r["id"] for r in rows} == set(uids.tolist()) and pd.Series([r["key"] for r in rows]).value_counts().max() < 20
+    shared = pa.array([[r["blob"]] for r in rows[:1]] + [[]] * 199, pa.list_(pa.binary()))
+    (moved,) = repeats.fragment_rows(kind, buckets, np.zeros(0, np.uint64))([pa.RecordBatch.from_arrays([pa.array(uids), texts, shared, ids], names=["uid", "text", "shared", "id"])])
+    rows = [r for r in moved.to_pylist() if r["spans"] is not None]
+    n = (400 if kind.words else len(text)) - kind.width + 1
+    assert {r["id"] for r in rows} == set(range(kind.earlier, 200)) and pd.Series([r["key"] for r in rows]).value_counts().max() < 20
+    assert all(np.frombuffer(r["spans"], "<i8").tolist() == [0, n] for r in rows)
+
+
 def test_clashing_columns(spark):
     wide = frame(spark).selectExpr("*", "1 as uid", "2 as spans", "3 as _spans", "4 as of", "5 as id", "6 as key", "7 as _cut", "8 as _uid")
     assert suffix_array.dedup_bytes(wide).columns[:-2] == wide.columns
