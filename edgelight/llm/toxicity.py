@@ -44,8 +44,9 @@ class Rows:
         kept = []
         for x in lists:
             at = np.searchsorted(vocabulary, x)
-            at = at[(at < len(vocabulary))]
-            kept.append(np.sort(at[np.isin(vocabulary[at], x)]) if len(at) else at)
+            inside = at < len(vocabulary)
+            at, x = at[inside], x[inside]
+            kept.append(np.unique(at[vocabulary[at] == x]))
         return cls(np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([0, *map(len, kept)]), len(vocabulary), dense)
 
     def take(self, rows: np.ndarray) -> Rows:

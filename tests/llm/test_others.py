@@ -169,6 +169,15 @@ def test_chain_on_held_out_texts(spark):
     assert all(r["p_toxic"] == 0 and not r["is_toxic"] for r in scored if r["doc_id"] < 0)
 
 
+def test_unknown_words_leave_a_feature_row_alone():
+    rng = np.random.default_rng(7)
+    vocabulary, known = np.array([10, 20, 4_000_000_000], np.uint32), np.array([20, 4_000_000_000], np.uint32)
+    unknown = [np.array([15, 12, 4_000_000_001], np.uint32), rng.integers(21, 4_000_000_000, 3000).astype(np.uint32)]
+    lists = [known, *[rng.permutation(np.concatenate([known, u])) for u in unknown], unknown[0], np.array([20, 20], np.uint32), known[:0]]
+    x = toxicity.Rows.of(lists, vocabulary, np.ones((len(lists), 1)))
+    assert [x.ids[a:b].tolist() for a, b in zip(x.starts[:-1], x.starts[1:], strict=True)] == [[1, 2], [1, 2], [1, 2], [], [1], []]
+
+
 def test_chain_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
