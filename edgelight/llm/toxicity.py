@@ -120,7 +120,7 @@ def fit_chain(lists: list[np.ndarray], targets: dict[str, np.ndarray], weight: n
 
     The model of a category sees, beside the words, the probabilities of the categories before it. In training these are
     out-of-fold ones: what a model says of rows it was not fitted on, as it will be for new texts. They also choose the
-    threshold of each category, the one with the best F1.
+    threshold of each category, the one with the best F1; it is infinite for a category that lacks one of its classes.
     """
     names, ys = list(targets), list(targets.values())
     vocabulary = choose_features(lists, ys, most)
@@ -135,7 +135,7 @@ def fit_chain(lists: list[np.ndarray], targets: dict[str, np.ndarray], weight: n
             inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             if len(outside) and len(inside):
                 held_out[outside] = sigmoid(x.take(outside).times(fit_linear(x.take(inside), y[inside], weight[inside])))
-        thresholds.append(best_threshold(held_out, y, weight))
+        thresholds.append(best_threshold(held_out, y, weight) if y.any() and not y.all() else float("inf"))
         done.append(held_out)
     return Chain(names, vocabulary, coefficients, thresholds, done)
 

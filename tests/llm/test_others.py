@@ -185,6 +185,15 @@ def test_chain_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none, toxicity.categories())).count() == 0
 
 
+@pytest.mark.parametrize("labels", [[], [(77, 1, 1)], [(1, None, 1), (2, None, 0)], [(1, 0, 1), (2, 0, 1)], [(1, 1, 0), (2, 1, 0)]])
+def test_nothing_is_toxic_without_labels_of_both_classes(spark, labels):
+    docs = spark.createDataFrame([(1, "some text"), (2, "more of it"), (3, None)], "doc_id long, text string")
+    chain = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.categories())
+    scored = toxicity.score(docs, chain).collect()
+    assert len(scored) == 3 and not any(r["is_toxic"] or r["is_low_quality"] for r in scored)
+    assert all(r["is_toxic"] is False and 0 <= r["p_toxic"] <= 1 for r in scored)
+
+
 # ---- vectors ---------------------------------------------------------------------------------------------------------
 
 
