@@ -124,17 +124,24 @@ def fit_chain(lists: list[np.ndarray], targets: dict[str, np.ndarray], weight: n
     """
     names, ys = list(targets), list(targets.values())
     vocabulary = choose_features(lists, ys, most)
-    fold = np.arange(len(lists)) % folds
+    # Texts of the same words must not be on both sides of a fold: the words choose it. Nor may a row choose the features of
+    # the model that judges it.
+    fold = np.array([zlib.crc32(np.sort(x).tobytes()) for x in lists], np.int64) % folds
+    parts = []
+    for k in range(folds):
+        inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(outside) and len(inside):
+            own = choose_features([lists[i] for i in inside], [y[inside] for y in ys], most)
+            parts.append((inside, outside, Rows.of(lists, own, np.ones((len(lists), 1)))))
     done: list[np.ndarray] = []
     coefficients, thresholds = [], []
     for y in ys:
         x = Rows.of(lists, vocabulary, np.column_stack([*done, np.ones(len(lists))]))
         coefficients.append(fit_linear(x, y, weight) if len(y) else np.zeros(len(vocabulary) + len(done) + 1))
         held_out = np.zeros(len(lists))
-        for k in range(folds):
-            inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            if len(outside) and len(inside):
-                held_out[outside] = sigmoid(x.take(outside).times(fit_linear(x.take(inside), y[inside], weight[inside])))
+        for inside, outside, own in parts:
+            own.dense = x.dense
+            held_out[outside] = sigmoid(own.take(outside).times(fit_linear(own.take(inside), y[inside], weight[inside])))
         thresholds.append(best_threshold(held_out, y, weight) if y.any() and not y.all() else float("inf"))
         done.append(held_out)
     return Chain(names, vocabulary, coefficients, thresholds, done)
@@ -180,11 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows:
     got = found.where("_text is not null").select("_id", "_class", hashed("_text").alias("_x"), *columns).dropna().toPandas()
     got = got.sort_values(["_id", "_class"], kind="stable")
     lists = [np.frombuffer(x, np.uint32) for x in got["_x"]]
-    # Equal texts must not be on both sides of a fold: rows are dealt out by content.
-    order = np.argsort([zlib.crc32(x) for x in got["_x"]], kind="stable")
-    lists = [lists[i] for i in order]
-    weight = np.array([stands_for[c] for c in got["_class"]], float)[order]
-    targets = {n: got[f"_y{i}"].to_numpy()[order] for i, n in enumerate(categories)}
+    weight = np.array([stands_for[c] for c in got["_class"]], float)
+    targets = {n: got[f"_y{i}"].to_numpy() for i, n in enumerate(categories)}
     return fit_chain(lists, targets, weight)
 
 

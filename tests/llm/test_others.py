@@ -185,6 +185,17 @@ def test_chain_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none, toxicity.categories())).count() == 0
 
 
+def test_out_of_fold_rows_are_not_seen_by_their_model():
+    # The label of a text is chance, and each text comes thirty times: only a model that has seen a copy of it can tell its label.
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 1 << 32, 30).astype(np.uint32) for _ in range(40)]
+    y = np.repeat(rng.permutation(np.arange(40) % 2), 30).astype(float)
+    chain = toxicity.fit_chain([rng.permutation(t) for t in texts for _ in range(30)], {"toxic": y}, np.ones(1200))
+    p = chain.out_of_fold[0].reshape(40, 30)
+    assert np.ptp(p, axis=1).max() < 1e-9
+    assert ((p > 0.5) == (y.reshape(40, 30) > 0.5)).mean() < 0.7
+
+
 @pytest.mark.parametrize("labels", [[], [(77, 1, 1)], [(1, None, 1), (2, None, 0)], [(1, 0, 1), (2, 0, 1)], [(1, 1, 0), (2, 1, 0)]])
 def test_nothing_is_toxic_without_labels_of_both_classes(spark, labels):
     docs = spark.createDataFrame([(1, "some text"), (2, "more of it"), (3, None)], "doc_id long, text string")
