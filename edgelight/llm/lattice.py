@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import checkpoint, connected_components
+from .common import connected_components, staged
 from .hashing import U64, mix64
 
 #: Tables, E8 blocks in each, cells that a vector looks into per table, edge of the lattice. For cosine 0.9 a pair meets in a
@@ -119,8 +119,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_column: str = "v
     sound &= F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.when(sound, vector).alias("vector"))
     real = rows.where("vector is not null and id is not null")
-    reps = checkpoint(real.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    keyed = checkpoint(hashed(reps, tables, probes, scale))
+    reps = staged(real.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    keyed = staged(hashed(reps, tables, probes, scale))
     per_table = keyed.select("id", F.explode("cells").alias("cells"))
     entered = per_table.select(F.col("id").alias("a"), F.get("cells", F.lit(0)).alias("cell"))
     looking = per_table.select(F.col("id").alias("b"), F.explode("cells").alias("looks"))
@@ -140,7 +140,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_column: str = "v
 
     left = reps.select(F.col("id").alias("a"), F.col("vector").alias("va"))
     right = reps.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    links = checkpoint(pairs.join(left, "a").join(right, "b").where(close("va", "vb")).select("a", "b"))
+    links = staged(pairs.join(left, "a").join(right, "b").where(close("va", "vb")).select("a", "b"))
     return rows, reps, links
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, global_rank, word_count
+from .common import documents, global_rank, staged, word_count
 
 CYCLE = (5, 2, 1)
 
@@ -54,11 +54,11 @@ def mix(docs: DataFrame, share: float = 1.0, max_epochs: int = 3, seed: int = 11
     words = word_count(F.col("text")) if size is None else size
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     sized = docs.withColumns({"mix_size": words, "_mix_hash": order, "_mix_bucket": F.pmod(order, F.lit(buckets)).cast("int")})
-    cells = checkpoint(sized.groupBy("source", "_mix_bucket").agg(F.sum("mix_size").alias("_mix_cell")))
+    cells = staged(sized.groupBy("source", "_mix_bucket").agg(F.sum("mix_size").alias("_mix_cell")))
     totals = cells.groupBy("source").agg(F.sum("_mix_cell").alias("source_size"))
     ranked = global_rank(totals, [F.col("source").asc_nulls_last()])
     weights = F.array(*[F.lit(float(w)) for w in cycle])
-    sources = checkpoint(ranked.withColumn("weight", F.get(weights, F.pmod(F.col("rank"), F.lit(len(cycle))).cast("int"))))
+    sources = staged(ranked.withColumn("weight", F.get(weights, F.pmod(F.col("rank"), F.lit(len(cycle))).cast("int"))))
     total = float(sources.agg(F.sum("source_size")).first()[0] or 0) * share
     filled = water_fill(sources, total, max_epochs)
     # Whole repetitions, and the words still missing from the target.
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, share: float = 1.0, max_epochs: int = 3, seed: int = 11
     before = Window.partitionBy("source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("_mix_start", F.coalesce(F.sum("_mix_cell").over(before), F.lit(0)))
     filled = filled.select(F.col("source").alias("_mix_source"), "source_size", "target", "_mix_whole", "_mix_rest")
-    plan = checkpoint(starts.join(filled, F.col("source").eqNullSafe(F.col("_mix_source"))).select(F.col("_mix_source"), F.col("_mix_bucket").alias("_mix_b"), "_mix_start", "source_size", "target", "_mix_whole", "_mix_rest"))
+    plan = staged(starts.join(filled, F.col("source").eqNullSafe(F.col("_mix_source"))).select(F.col("_mix_source"), F.col("_mix_bucket").alias("_mix_b"), "_mix_start", "source_size", "target", "_mix_whole", "_mix_rest"))
     within = Window.partitionBy("source", "_mix_bucket").orderBy("_mix_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     summed = sized.withColumn("_mix_before", F.coalesce(F.sum("mix_size").over(within), F.lit(0)))
     joined = summed.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bucket") == F.col("_mix_b")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import checkpoint, connected_components, documents, staged
+from .common import connected_components, discard, documents, staged
 from .hashing import U64, constants, mix64, shingles
 
 #: At a similarity of 0.75 all 32 bands of four samples miss a pair with probability 5e-6.
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     signed = staged(signatures(docs, id_column, text_column))
     real = signed.where("set_hash is not null and id is not null")
     firsts = real.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    firsts = checkpoint(firsts)
+    firsts = staged(firsts)
     reps = real.join(firsts.withColumnRenamed("set_hash", "of"), (F.col("set_hash") == F.col("of")) & (F.col("id") == F.col("rep"))).dropDuplicates(["id", "set_hash"])
     reps = staged(reps.select("id", "n_shingles", "bands", "sketch"))
     sketches = reps.select("id", "sketch", "bands")
@@ -229,11 +229,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     candidates = members.select(F.col("id").alias("candidate")).distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     texts = staged(texts.join(candidates, F.col("id") == F.col("candidate"), "left_semi"))
-    links = checkpoint(confirmed(sketched(stars, sketches, flips), texts, percent))
+    links = staged(confirmed(sketched(stars, sketches, flips), texts, percent))
     nodes = members.select(F.col("id").alias("node")).distinct()
     found = connected_components(nodes, links)
     placed = members.join(found, F.col("id") == F.col("node")).select("key", "id", "leader", "n_shingles", "component")
-    joins = checkpoint(joined_components(checkpoint(contested(placed, sketches, flips)), texts, percent))
+    joins = staged(joined_components(staged(contested(placed, sketches, flips)), texts, percent))
     ends = joins.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     lower = connected_components(ends, joins).select(F.col("node").alias("was"), F.col("component").alias("lowest"))
     found = found.join(lower, F.col("component") == F.col("was"), "left").select("node", F.coalesce("lowest", "component").alias("component"))

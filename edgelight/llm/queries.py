@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 from . import lattice, mixing, near_dup, order_minhash, packing, sharding, suffix_array, suffix_tree, tool_calls, toxicity
+from .common import bounded_batches
+
+
+def bounded(query):
+    """The query in a session that hands rows to Python in bounded batches."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_tool_call_links": tool_calls.op1_tool_call_links,
@@ -16,6 +31,7 @@ QUERIES = {
     "op9_ordered_packing": packing.op9_ordered_packing,
     "op10_source_mix": mixing.op10_source_mix,
 }
+QUERIES = {name: bounded(query) for name, query in QUERIES.items()}
 
 #: The turns of the chat tables as calls and results, linked: what op1 does, in SQL.
 TOOL_CALLS = """

@@ -5,12 +5,16 @@ A repeat is a window of `width` units (bytes or words) that occurs twice. Each w
 windows mostly share theirs, so about one unit in (width - gram) / 2 is an anchor. Two steps follow.
 
 1. `shared_anchors`: which anchors occur in two documents, or twice in one. Anchors go to buckets by hash, packed, each
-   anchor once per batch; a batch knows of repeats inside itself at once.
+   anchor once per slice of a batch; a slice knows of repeats inside itself at once. Hashes only choose: what they claim
+   is repeated is a candidate, and what they miss cannot be repeated.
 2. `fragments`: the stretch of text that the windows of a shared anchor cover goes to the anchor's bucket, equal stretches
-   of a batch once. An anchor that holds an eighth of its bucket or more is hot: there each window travels by itself, to a
-   bucket by a hash of the whole window, so that a passage in a third of all documents is spread and merged map-side.
+   of a slice once (compared byte by byte). An anchor in HOT_LEAST documents or more is hot: there each window travels by
+   itself, to a bucket by a hash of the whole window, so that a passage in a third of all documents is spread and merged
+   map-side. At most the HOT_MOST most frequent anchors are hot, so that their table has a fixed size; any choice of hot
+   anchors gives the same result. Which anchors of a document are shared reaches it by a join on its key.
 
-A resolver then sorts the fragments of one bucket and says which windows are repeated.
+In a bucket, fragments of equal bytes are one entry with several owners. A finder (suffix array or suffix tree) goes over
+all entries and says which windows are equal; the owners then tell which occurrences are repeats.
 """
 
 from __future__ import annotations
@@ -20,21 +24,21 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import free_column, staged
+from .common import discard, free_column, staged
 from .hashing import BLOCK, U64, mix64
 
 _UP = hashing._powers(hashing._BASE, BLOCK + (1 << 12))
 _DOWN = hashing._powers(pow(hashing._BASE, -1, 1 << 64), BLOCK + (1 << 12))
 _POSITION = U64((1 << 19) - 1)
-#: Text that one bucket stands for, and the bytes of fragments that are sorted at once.
-BUCKET_BYTES, SORTED_BYTES = 16 << 20, 1 << 19
-HOT_SHARE, HOT_LEAST = 8, 256
+#: Text that one bucket stands for, and that a task looks at at once.
+BUCKET_BYTES, SLICE_BYTES = 16 << 20, 8 << 20
+#: Documents that make an anchor hot, and how many anchors may be (five bytes each in every task).
+HOT_LEAST, HOT_MOST = 1 << 14, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -134,13 +138,35 @@ def anchors(piece: Piece, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return start, document[start], at, g[at] >> U64(24)
 
 
+def bytes40(h: np.ndarray) -> np.ndarray:
+    """Five bytes per hash, one hash after the other."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
+
+
 def pack40(h: np.ndarray) -> bytes:
-    return (h & U64(0xFFFFFFFF)).astype("<u4").tobytes() + (h >> U64(32)).astype("u1").tobytes()
+    return bytes40(h).tobytes()
 
 
 def unpack40(blob: bytes) -> np.ndarray:
-    n = len(blob) // 5
-    return np.frombuffer(blob, "<u4", n).astype(U64) | (np.frombuffer(blob, "u1", n, 4 * n).astype(U64) << U64(32))
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(U64)
+
+
+def binary_column(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The byte strings between neighbouring edges of data."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of SLICE_BYTES of their second column (a longer text alone), so that memory does not follow the batch size."""
+    for batch in batches:
+        _, _, offsets = text_columns(batch)
+        row = 0
+        while row < batch.num_rows:
+            last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+            yield batch.slice(row, last - row)
+            row = last
 
 
 def text_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +189,7 @@ def anchor_rows(kind: Kind, buckets: int) -> Callable:
     only passes them on, as the anchors of many copies of one text would all choose the same."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, data, offsets = text_columns(batch)
             rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
             for piece in pieces(data, offsets, kind):
@@ -206,11 +232,13 @@ def anchor_rows(kind: Kind, buckets: int) -> Callable:
     return emit
 
 
-def find_shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: tag 1, (id, anchors that are shared); tag 2, anchors that are hot."""
-    passed = group[group["tag"] == 1][["tag", "id", "blob"]]
+def find_shared(table: pa.Table) -> pa.Table:
+    """Of one bucket: (tag, id, blob): tag 1, anchors of id that are shared; tag 2, a hot anchor and, as id, in how many documents it is."""
+    tags = table.column("tag").to_numpy()
+    passed = table.select(["tag", "id", "blob"]).filter(pa.array(tags == 1))
     ids, counts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-    for blob in group.loc[group["tag"] == 0, "blob"]:
+    for blob in table.column("blob").filter(pa.array(tags == 0)):
+        blob = memoryview(blob.as_buffer())
         documents, n = struct.unpack_from("<II", blob)
         at = 8 + 8 * documents
         each = np.frombuffer(blob, "<u4", documents, at)
@@ -218,29 +246,30 @@ def find_shared(group: pd.DataFrame) -> pd.DataFrame:
         counts.append(np.frombuffer(blob, "<u2", n, at + 4 * documents).astype(np.int64))
         hashes.append(unpack40(blob[at + 4 * documents + 2 * n :]))
     i, c, h = np.concatenate(ids), np.concatenate(counts), np.concatenate(hashes)
+    del ids, counts, hashes
     order = np.argsort(h, kind="stable")
     i, c, h = i[order], c[order], h[order]
     head = runs(h)
     batches = np.diff(np.append(head, len(h)))
     documents = np.add.reduceat(c, head) if len(head) else batches
-    hot = h[head[documents >= max(HOT_LEAST, c.sum() / HOT_SHARE)]]
-    shared = np.flatnonzero(np.repeat(batches > 1, batches))
-    shared = shared[np.argsort(i[shared], kind="stable")]
-    edge = np.append(runs(i[shared]), len(shared))
-    out = [(1, int(i[shared[a]]), pack40(h[shared[a:b]])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    if len(hot):
-        out.append((2, 0, pack40(hot)))
-    return pd.concat([passed, pd.DataFrame(out, columns=["tag", "id", "blob"])], ignore_index=True)
+    x = np.flatnonzero(np.repeat(batches > 1, batches))
+    x = x[np.argsort(i[x], kind="stable")]
+    edge = np.append(runs(i[x]), len(x))
+    out = pa.table({"tag": pa.array(np.full(len(edge) - 1, 1), pa.int32()), "id": pa.array(i[x[edge[:-1]]]), "blob": binary_column(bytes40(h[x]), 5 * edge)})
+    hot = np.flatnonzero(documents >= HOT_LEAST)
+    hot = pa.table({"tag": pa.array(np.full(len(hot), 2), pa.int32()), "id": pa.array(documents[hot]), "blob": binary_column(bytes40(h[head[hot]]), 5 * np.arange(len(hot) + 1))})
+    return pa.concat_tables([passed, out, hot])
 
 
 def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
-    """mapInArrow over (uid, bytes, shared anchors, id): (key, uid, id, spans, blob). With blob: fragments for bucket key. Without: windows of one
-    document (starts and lengths of runs) that the batch itself has found repeated; the document chooses the bucket, which only passes them on."""
+    """mapInArrow over (uid, bytes, shared anchors array<binary>, id): (key, uid, id, spans, blob). With blob: fragments for bucket key. Without:
+    windows of one document (starts and lengths of runs) that the slice itself has found repeated; the document chooses the bucket, which only
+    passes them on."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, data, offsets = text_columns(batch)
-            known, own = np.unique(unpack_lists(batch.column(2))), batch.column(3).to_numpy(zero_copy_only=False)
+            known, own = np.unique(unpack_lists(batch.column(2).flatten())), batch.column(3).to_numpy(zero_copy_only=False)
             parts = []
             for piece in pieces(data, offsets, kind):
                 start, document, at, h = anchors(piece, kind)
@@ -266,44 +295,71 @@ def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
                 else:
                     low, high = s + piece.origin, s + piece.origin + windows + kind.width - 1
                 parts.append((piece.rows[d], s - piece.bounds[d] + piece.base, windows, content, key, low, high))
-            if not parts:
-                continue
-            row, first, windows, content, key, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((first, own[row], content))
-            row, first, windows, content, key, low, high = (x[order] for x in (row, first, windows, content, key, low, high))
-            head = runs(content)
-            n = np.diff(np.append(head, len(content)))
-            if kind.earlier:  # ids rise within equal content: all but the smallest id's are repeats
-                sure = own[row] != np.repeat(own[row[head]], n)
-                sent = ~sure
-            else:
-                sure = np.repeat(n > 1, n)
-                sent = np.zeros(len(content), bool)
-                sent[head] = True
-            out: list[tuple] = []
-            x = np.flatnonzero(sure)
-            x = x[np.lexsort((first[x], row[x]))]
-            r, begin, end = row[x], first[x], first[x] + windows[x]
-            # Windows of a row are in one run each, so runs that touch are one.
-            head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (begin[1:] != end[:-1])])) if len(x) else x
-            r, spans = r[head], np.column_stack([begin[head], end[np.append(head[1:], len(x)) - 1] - begin[head]]).astype("<i8")
-            edge = np.append(runs(r), len(r))
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                uid = int(ids[r[a]])
-                out.append((uid % buckets, uid, int(own[r[a]]), spans[a:b].tobytes(), None))
-            x = np.flatnonzero(sent)
-            bucket = (key[x] % U64(buckets)).astype(np.int64)
-            order = np.lexsort((row[x], bucket))
-            x, bucket = x[order], bucket[order]
-            edge = np.append(runs(bucket), len(bucket))
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                out.append((int(bucket[a]), 0, 0, None, pack_fragments(kind, x[a:b], ids, own, row, first, windows, key, low, high, data)))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "uid", "id", "spans", "blob"])
+            if parts:
+                yield from packed_fragments(kind, buckets, ids, own, data, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return emit
 
 
+def packed_fragments(kind: Kind, buckets: int, ids, own, data, row, first, windows, content, key, low, high) -> Iterator[pa.RecordBatch]:
+    """The rows of fragment_rows for one slice: row by row of it, where fragments begin (units), their windows, hashes, and bytes [low, high)."""
+    order = np.lexsort((first, own[row], content))
+    row, first, windows, content, key, low, high = (x[order] for x in (row, first, windows, content, key, low, high))
+    text = memoryview(data)
+    head = runs(content)
+    n = np.diff(np.append(head, len(content)))
+    # What the hash calls equal is compared with the first of its run.
+    at = np.repeat(head, n)
+    same = np.repeat(n > 1, n)
+    pairs = np.flatnonzero(same)
+    edges = (x.tolist() for x in (low[at[pairs]], high[at[pairs]], low[pairs], high[pairs]))
+    same[pairs] = [text[a:b] == text[c:d] for a, b, c, d in zip(*edges, strict=True)]
+    later = same & (np.arange(len(at)) != at)
+    if kind.earlier:  # ids rise within equal content: all but the smallest id's are repeats
+        sure = later & (own[row] != own[row[at]])
+        sent = ~sure
+    else:
+        sure = later.copy()
+        sure[at[later]] = True
+        sent = ~later
+    del edges, same
+    x = np.flatnonzero(sure)
+    uid, own_ids, edge, spans = merged_runs(ids[row[x]], own[row[x]], first[x], windows[x])
+    yield fragment_batch(uid % buckets, uid, own_ids, binary_column(spans.astype("<i8").view(np.uint8).ravel(), 16 * edge), None)
+    x = np.flatnonzero(sent)
+    bucket = (key[x] % U64(buckets)).astype(np.int64)
+    order = np.lexsort((row[x], bucket))
+    x, bucket = x[order], bucket[order]
+    edge = np.append(runs(bucket), len(bucket))
+    for some in range(0, len(edge) - 1, 256):
+        of = list(zip(edge[some : min(some + 256, len(edge) - 1)], edge[some + 1 : some + 257], strict=True))
+        blobs = pa.array([pack_fragments(kind, x[a:b], ids, own, row, first, windows, key, low, high, text) for a, b in of], pa.binary())
+        zero = np.zeros(len(of), np.int64)
+        yield fragment_batch(np.array([bucket[a] for a, _ in of]), zero, zero, None, blobs)
+
+
+def fragment_batch(key: np.ndarray, uid: np.ndarray, ids: np.ndarray, spans: pa.Array | None, blobs: pa.Array | None) -> pa.RecordBatch:
+    none = pa.nulls(len(key), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(uid, pa.int64()), pa.array(ids, pa.int64()), none if spans is None else spans, none if blobs is None else blobs], names=["key", "uid", "id", "spans", "blob"])
+
+
+def merged_runs(uid: np.ndarray, ids: np.ndarray, first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per document (uid and id) its runs of windows, those that touch as one: uid, id, where each document's runs begin (one more), and the
+    runs as (start, windows)."""
+    order = np.lexsort((first, ids, uid))
+    uid, ids, first, end = uid[order], ids[order], first[order], (first + windows)[order]
+    new = np.ones(len(uid), bool)
+    new[1:] = (uid[1:] != uid[:-1]) | (ids[1:] != ids[:-1])
+    # A window is in one run of a document only, but rows that repeat an id and a text may bring each run twice.
+    gap = new.copy()
+    gap[1:] |= first[1:] > end[:-1]
+    head = np.flatnonzero(gap)
+    last = np.maximum.reduceat(end, head) if len(head) else end
+    spans = np.column_stack([first[head], last - first[head]])
+    mine = np.flatnonzero(new[head])
+    return uid[head][mine], ids[head][mine], np.append(mine, len(head)), spans
+
+
 def found_in(values: np.ndarray, members: np.ndarray) -> np.ndarray:
     """Which values are among members, which rise."""
     if not len(members):
@@ -312,83 +368,125 @@ def found_in(values: np.ndarray, members: np.ndarray) -> np.ndarray:
     return members[at] == values
 
 
-def pack_fragments(kind: Kind, x: np.ndarray, ids, own, row, first, windows, key, low, high, data) -> bytes:
-    """Fragments x, sorted by row: their documents once each, then where each begins, its windows, key and bytes."""
+def pack_fragments(kind: Kind, x: np.ndarray, ids, own, row, first, windows, key, low, high, text: memoryview) -> bytes:
+    """Fragments x, sorted by row: their documents once each, then where each begins, its key's part, windows and bytes; compressed."""
     head = runs(row[x])
     documents = row[x[head]]
     each = np.diff(np.append(head, len(x)))
     sizes = (high[x] - low[x]).astype("<u4").tobytes() if kind.words else b""
     parts = [struct.pack("<II", len(head), len(x)), ids[documents].astype("<i8").tobytes(), own[documents].astype("<i8").tobytes(), each.astype("<u4").tobytes()]
-    parts += [first[x].astype("<u4").tobytes(), (key[x] >> U64(32)).astype("<u4").tobytes(), windows[x].astype("<u4").tobytes(), sizes]
-    # One gather for all bytes.
-    n = (high[x] - low[x]).astype(np.int64)
-    index = np.arange(n.sum()) + np.repeat(low[x] - (np.cumsum(n) - n), n)
-    return b"".join([*parts, data[index].tobytes()])
+    parts += [first[x].astype("<u4").tobytes(), (key[x] >> U64(56)).astype("u1").tobytes(), windows[x].astype("<u2").tobytes(), sizes]
+    raw = b"".join([*parts, *[text[a:b] for a, b in zip(low[x].tolist(), high[x].tolist(), strict=True)]])
+    return struct.pack("<I", len(raw)) + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def unpack_fragments(kind: Kind, blob: bytes) -> tuple[np.ndarray, ...]:
-    """uid, id, first, key and size of each fragment, and the bytes of all."""
+def unpack_fragments(kind: Kind, blob: memoryview) -> tuple[np.ndarray, ...]:
+    """uid, id, first, part, windows and size of each fragment, and the bytes of all."""
+    (length,) = struct.unpack_from("<I", blob)
+    blob = pa.Codec("zstd").decompress(blob[4:], length, asbytes=True)
     documents, n = struct.unpack_from("<II", blob)
     at = 8
     columns = []
-    for type_, count in (("<i8", documents), ("<i8", documents), ("<u4", documents), *[("<u4", n)] * (4 if kind.words else 3)):
+    for type_, count in (("<i8", documents), ("<i8", documents), ("<u4", documents), ("<u4", n), ("<u1", n), ("<u2", n), *[("<u4", n)] * kind.words):
         columns.append(np.frombuffer(blob, type_, count, at))
         at += int(type_[2]) * count
-    uid, own, each, first, key, windows = columns[:6]
-    size = columns[6].astype(np.int64) if kind.words else windows.astype(np.int64) + kind.width - 1
-    return np.repeat(uid, each), np.repeat(own, each), first.astype(np.int64), key, size, np.frombuffer(blob, np.uint8, -1, at)
-
+    uid, own, each, first, part, windows = columns[:6]
+    size = columns[6].astype(np.int32) if kind.words else windows.astype(np.int32) + (kind.width - 1)
+    return np.repeat(uid, each), np.repeat(own, each), first.astype(np.int64), part, windows.astype(np.int32), size, np.frombuffer(blob, np.uint8, -1, at)
 
-def unpack_lists(column: pa.Array) -> np.ndarray:
-    values = column.flatten()
-    return np.concatenate([np.zeros(0, U64), *[unpack40(v) for v in values.to_pylist()]])
 
+def unpack_lists(blobs: pa.Array) -> np.ndarray:
+    return unpack40(b"".join(blobs.to_pylist()))
 
-Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-
-def resolve_bucket(kind: Kind, resolver: Resolver) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of one bucket: (uid, id, spans) with the windows that are repeated. resolver gets the bytes of some fragments, where they start
-    (one more than there are) and their ids, and returns the fragment and the place of each repeated window."""
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        passed = group.loc[group["blob"].isna(), ["uid", "id", "spans"]]
-        heads = [unpack_fragments(kind, blob) for blob in group["blob"].dropna()]
+@dataclass
+class Entries:
+    """The fragments of a bucket, those of equal content as one entry."""
+
+    part: np.ndarray  # of its key: equal windows are in one part
+    windows: np.ndarray
+    least: np.ndarray  # the smallest id of its owners
+    owners: np.ndarray  # how many there are
+    text: np.ndarray  # bytes, or numbers of words
+    bounds: np.ndarray  # where each begins in text, one more than entries
+
+
+#: Says of each entry's windows which are repeated for the owners with the entry's smallest id: (entry, place).
+Finder = Callable[[Entries], tuple[np.ndarray, np.ndarray]]
+
+
+def numbered_words(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings that bounds part, none of which begins or ends in white space: their words as numbers (equal for equal words, from a
+    dictionary of the words themselves), where each string's words begin, the bytes with one space after each word, and where words begin there."""
+    space = hashing._SPACE[text]
+    first = np.zeros(len(text) + 1, bool)
+    first[bounds] = True
+    before = np.ones(len(text), bool)
+    before[1:] = space[:-1]
+    begin = np.flatnonzero(~space & (before | first[:-1]))
+    after = np.ones(len(text), bool)
+    after[:-1] = space[1:]
+    end = np.flatnonzero(~space & (after | first[1:])) + 1
+    # Each word moves left by the white space before it that goes; a space is put after it.
+    edges = np.concatenate([[0], np.cumsum(end - begin + 1)])
+    plain = np.full(edges[-1], 32, np.uint8)
+    stays = np.ones(edges[-1], bool)
+    stays[edges[1:] - 1] = False
+    plain[stays] = text[~space]
+    codes = binary_column(plain, edges).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return codes, np.searchsorted(begin, bounds), plain, edges
+
+
+def collapse(kind: Kind, ids: np.ndarray, part: np.ndarray, windows: np.ndarray, size: np.ndarray, text: np.ndarray) -> tuple[Entries, np.ndarray]:
+    """The entries of some fragments, and the entry of each fragment. A dictionary of whole contents tells which are equal."""
+    bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    words = None
+    if kind.words:
+        codes, words, text, edges = numbered_words(text, bounds)
+        bounds = edges[words]
+    entry = binary_column(text, bounds).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    n = int(entry.max()) + 1 if len(entry) else 0
+    some = np.zeros(n, np.int64)
+    some[entry[::-1]] = np.arange(len(entry))[::-1]  # the first fragment of each entry
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, entry, ids)
+    source, bounds = (codes, words) if kind.words else (text, bounds)
+    lengths = np.diff(bounds)[some]
+    # First fragments rise, so that their units can be picked by a mask.
+    picked = np.zeros(len(bounds) - 1, bool)
+    picked[some] = True
+    return Entries(part[some], windows[some], least, np.bincount(entry, minlength=n), source[np.repeat(picked, np.diff(bounds))], np.concatenate([[0], np.cumsum(lengths)])), entry
+
+
+def resolve_bucket(kind: Kind, finder: Finder) -> Callable[[pa.Table], pa.Table]:
+    """Of one bucket: (uid, id, spans) with the windows that are repeated."""
+
+    def resolve(table: pa.Table) -> pa.Table:
+        decided = table.column("blob").is_null()
+        passed = table.select(["uid", "id", "spans"]).filter(decided)
+        heads = [unpack_fragments(kind, memoryview(blob.as_buffer())) for blob in table.column("blob").drop_null()]
         if not heads:
             return passed
-        uid, ids, first, key, size, text = (np.concatenate(x) for x in zip(*heads, strict=True))
+        uid, ids, first, part, windows, size, text = (np.concatenate(x) for x in zip(*heads, strict=True))
         del heads
-        begin = np.cumsum(size) - size
-        # Equal windows have equal keys, so keys may be sorted apart; a part ends between two keys.
-        order = np.argsort(key, kind="stable")
-        total = np.cumsum(size[order] + 1)
-        breaks, cuts, limit = runs(key[order]), [0], SORTED_BYTES
-        for b, done in zip(breaks[1:].tolist(), total[breaks[1:] - 1].tolist(), strict=True):
-            if done > limit:
-                cuts.append(b)
-                limit = done + SORTED_BYTES
-        cuts.append(len(order))
-        found, found_starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            x = order[a:b]
-            offsets = np.concatenate([[0], np.cumsum(size[x] + 1)])
-            data = np.full(offsets[-1], 10, np.uint8)
-            inside = np.arange(size[x].sum()) + np.repeat(np.arange(len(x)), size[x])
-            data[inside] = text[np.arange(size[x].sum()) + np.repeat(begin[x] - (np.cumsum(size[x]) - size[x]), size[x])]
-            fragment, place = resolver(data, offsets, ids[x])
-            found.append(x[fragment])
-            found_starts.append(first[x][fragment] + place)
-        f, s = np.concatenate(found), np.concatenate(found_starts)
-        order = np.lexsort((s, ids[f], uid[f]))
-        f, s = f[order], s[order]
-        out = []
-        new = (uid[f][1:] != uid[f][:-1]) | (ids[f][1:] != ids[f][:-1])
-        edge = np.append(np.flatnonzero(np.concatenate([[True], new])), len(f)) if len(f) else np.zeros(1, np.int64)
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            own = np.unique(s[a:b])
-            head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1] + 1]))
-            out.append((int(uid[f[a]]), int(ids[f[a]]), np.column_stack([own[head], np.diff(np.append(head, len(own)))]).astype("<i8").tobytes()))
-        return pd.concat([passed, pd.DataFrame(out, columns=["uid", "id", "spans"])], ignore_index=True)
+        entries, entry = collapse(kind, ids, part, windows, size, text)
+        del text, size, part
+        # Owners beside the first repeat all that the entry holds.
+        more = ids > entries.least[entry] if kind.earlier else entries.owners[entry] > 1
+        at, place = finder(entries)
+        times = np.bincount(at, minlength=len(entries.part))
+        begin = np.cumsum(times) - times
+        others = np.flatnonzero(~more & (times[entry] > 0))
+        each = times[entry[others]]
+        step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        places = place[np.argsort(at, kind="stable")][np.repeat(begin[entry[others]], each) + step]
+        others = np.repeat(others, each)
+        f = np.concatenate([np.flatnonzero(more), others])
+        start = first[f] + np.concatenate([np.zeros(more.sum(), np.int64), places])
+        count = np.concatenate([windows[more], np.ones(len(others), np.int32)])
+        uid, ids, edge, spans = merged_runs(uid[f], ids[f], start, count)
+        found = pa.table({"uid": pa.array(uid), "id": pa.array(ids), "spans": binary_column(spans.astype("<i8").view(np.uint8).ravel(), 16 * edge)})
+        return pa.concat_tables([passed, found])
 
     return resolve
 
@@ -398,7 +496,7 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.xxhash64(F.col(id_column).cast("long"), F.col(text_column))
 
 
-def repeated_windows(docs: DataFrame, kind: Kind, resolver: Resolver, id_column: str, text_column: str) -> DataFrame:
+def repeated_windows(docs: DataFrame, kind: Kind, finder: Finder, id_column: str, text_column: str) -> DataFrame:
     """(uid, id, spans array<binary>): for each row (row_key and id) with repeated windows, runs of their starts, in units."""
     spark = docs.sparkSession
     narrow = docs.select(row_key(id_column, text_column).alias("uid"), F.col(text_column).cast("binary").alias("text"), F.col(id_column).cast("long").alias("id")).where("id is not null and text is not null")
@@ -407,14 +505,15 @@ def repeated_windows(docs: DataFrame, kind: Kind, resolver: Resolver, id_column:
     # Texts too short for a window have none; of words this tells only what is certain.
     narrow = narrow.where(F.length("text") >= (2 * kind.width - 1 if kind.words else kind.width))
     marked = narrow.select("uid", "text").mapInArrow(anchor_rows(kind, buckets), "key int, tag int, id long, blob binary")
-    shared = staged(marked.groupBy("key").applyInPandas(find_shared, "tag int, id long, blob binary"))
-    # At most HOT_SHARE anchors of a bucket are hot.
-    hot = np.unique(np.concatenate([np.zeros(0, U64), *[unpack40(bytes(r["blob"])) for r in shared.where("tag = 2").select("blob").collect()]]))
+    shared = staged(marked.groupBy("key").applyInArrow(find_shared, "tag int, id long, blob binary"))
+    hottest = shared.where("tag = 2").orderBy(F.col("id").desc(), "blob").limit(HOT_MOST).select("blob").collect()
+    hot = np.unique(unpack40(b"".join(bytes(r["blob"]) for r in hottest)))
     lists = shared.where("tag = 1").groupBy(F.col("id").alias("of")).agg(F.collect_list("blob").alias("shared"))
     marked_docs = narrow.join(lists, F.col("uid") == F.col("of")).select("uid", "text", "shared", "id")
     moved = marked_docs.mapInArrow(fragment_rows(kind, buckets, hot), "key int, uid long, id long, spans binary, blob binary")
-    spans = moved.groupBy("key").applyInPandas(resolve_bucket(kind, resolver), "uid long, id long, spans binary")
-    return staged(spans).groupBy("uid", "id").agg(F.collect_list("spans").alias("spans"))
+    spans = staged(moved.groupBy("key").applyInArrow(resolve_bucket(kind, finder), "uid long, id long, spans binary"))
+    discard(shared)
+    return spans.groupBy("uid", "id").agg(F.collect_list("spans").alias("spans"))
 
 
 def with_spans(docs: DataFrame, found: DataFrame, spans: str, id_column: str, text_column: str) -> DataFrame:

@@ -10,77 +10,151 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, free_column
-from .repeats import Kind, merged, repeated_windows, with_spans
+from .repeats import Entries, Kind, merged, repeated_windows, runs, with_spans
 
-#: Bytes that the first buckets are made by. Two pointers or Q bytes, and a position, share 64 bits where the data are short.
-Q, POINTER_BITS = 5, 20
+#: Bytes whose suffixes are sorted at once (more only where the fragments of one anchor have more), and suffixes of the buckets
+#: that are refined together.
+SORTED_BYTES, CHUNK = 1 << 19, 1 << 14
 
 
-def _sorted(major: np.ndarray, minor: np.ndarray | None, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of (major, minor), and where equal ones begin; short data are sorted as one packed number each."""
-    n = len(major)
-    if total <= 1 << POINTER_BITS:
-        shift = np.uint64(POINTER_BITS)
-        key = major.astype(np.uint64) if minor is None else (major.astype(np.uint64) << shift) | minor.astype(np.uint64)
-        packed = np.sort((key << shift) | np.arange(n, dtype=np.uint64))
-        order, key = (packed & np.uint64((1 << POINTER_BITS) - 1)).astype(np.int64), packed >> shift
-        new = key[1:] != key[:-1]
-    else:
-        order = np.argsort(major, kind="stable") if minor is None else np.lexsort((minor, major))
-        new = major[order][1:] != major[order][:-1]
-        if minor is not None:
-            new |= minor[order][1:] != minor[order][:-1]
-    return order, np.flatnonzero(np.concatenate([[True], new])) if n else np.zeros(0, np.int64)
+def packed_order(*keys: tuple[np.ndarray, int]) -> np.ndarray:
+    """The stable order by several (numbers, bits they need), the first most significant; in one sort of packed numbers where they fit."""
+    n = len(keys[0][0])
+    places = max(1, n - 1).bit_length()
+    if sum(bits for _, bits in keys) + places > 64:
+        return np.lexsort([x for x, _ in keys[::-1]])
+    packed = np.zeros(n, np.uint64)
+    for x, bits in keys:
+        packed = (packed << np.uint64(bits)) | x.astype(np.uint64)
+    packed = np.sort((packed << np.uint64(places)) | np.arange(n, dtype=np.uint64))
+    return (packed & np.uint64((1 << places) - 1)).astype(np.int64)
 
 
-def equal_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of width bytes that occur more than once inside the strings that offsets part (each ends in one byte more):
-    starts, equal windows together, and where in them each group begins.
+def initial_buckets(data: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, int]:
+    """The number of each suffix's bucket, in lexicographic order, by its first q bytes, and q: as many as fit into a word beside a place.
 
-    Suffixes fall into buckets by their first Q bytes. A bucket is then refined by sorting its suffixes on the buckets of
-    the suffixes `depth` later; since those have been refined to the same depth by then, each round doubles the depth. A
-    suffix alone in its bucket keeps its pointer and is sorted no more.
+    A string's end counts as the smallest byte, so that a suffix shorter than q has a bucket as well.
+    """
+    code = np.cumsum(np.bincount(data, minlength=256) > 0).astype(np.uint64)
+    width = int(code[-1]).bit_length()
+    places = max(1, len(data) - 1).bit_length()
+    q = max(1, (64 - places) // width)
+    padded = np.concatenate([np.where(room > 0, code[data], np.uint64(0)), np.zeros(q, np.uint64)])
+    key = np.zeros(len(data), np.uint64)
+    for j in range(q):
+        key = (key << np.uint64(width)) | padded[j : j + len(data)]
+    short = np.flatnonzero(room < q)
+    key[short] &= ~((np.uint64(1) << ((q - room[short]) * width).astype(np.uint64)) - np.uint64(1))
+    order = packed_order((key, 64 - places))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    bucket = np.empty(len(data), np.int64)
+    bucket[order] = np.cumsum(new) - 1
+    return bucket, q
+
+
+def suffix_array(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """The suffixes of at least width bytes of the strings that offsets part (each ends in one byte more), sorted by their first width bytes
+    at least.
+
+    Bucket-pointer refinement: suffixes fall into buckets by their first q bytes, and pointers lead from suffixes to buckets. The
+    buckets are taken in order, small ones together. A bucket of common prefix d is sorted by the pointers of the suffixes d
+    later, which parts it into smaller ones of a longer prefix, and so on until each has a single suffix or a prefix of width.
+    Pointers are updated at once: where all the suffixes d later are in buckets that are done, their pointers tell them apart
+    entirely and one sort ends it; else the initial buckets add q bytes a time. Pointers rise in lexicographic order in either case.
     """
-    room = np.repeat(offsets[1:] - 1, np.diff(offsets)) - np.arange(len(data))  # bytes to the end of the own string
-    padded = np.concatenate([data, np.zeros(Q, np.uint8)])
-    prefix = np.zeros(len(data), np.uint64)
-    for j in range(min(Q, width)):
-        prefix = (prefix << np.uint64(8)) | padded[j : j + len(data)]
-    depth = min(Q, width)
-    active = np.flatnonzero(room >= depth)
-    pointer = np.full(len(data), -1, np.int64)
-    major, minor = prefix[active], None
-    while True:
-        order, first = _sorted(major, minor, len(data))
-        active = active[order]
-        size = np.diff(np.append(first, len(active)))
-        # One of its suffixes names a bucket: no other bucket can have that name, however often it is refined.
-        pointer[active] = np.repeat(active[first], size)
-        shared = np.repeat(size > 1, size)
-        if depth >= width:
-            size = size[size > 1]
-            return active[shared], np.cumsum(size) - size
-        step = min(depth, width - depth)
-        depth += step
-        active = active[shared]
-        active = active[room[active] >= depth]
-        major, minor = pointer[active], pointer[active + step]
+    room = np.repeat(offsets[1:] - 1, np.diff(offsets)) - np.arange(len(data))
+    suffixes = np.flatnonzero(room >= width)
+    if not len(suffixes):
+        return suffixes
+    initial, q = initial_buckets(data, room)
+    bits = (len(data) + 1).bit_length()
+    suffixes = suffixes[packed_order((initial[suffixes], bits))]
+    pointer, done = np.zeros(len(data) + width, np.int64), np.zeros(len(data) + width, bool)
+    initial = np.concatenate([initial, np.zeros(width, np.int64)])
+    heads = np.append(runs(initial[suffixes]), len(suffixes))
+    low = 0
+    while low < len(suffixes):
+        high = int(heads[max(np.searchsorted(heads, low, "right"), np.searchsorted(heads, low + CHUNK, "right") - 1)])
+        slots = np.arange(low, high)
+        own = heads[(heads >= low) & (heads <= high)]
+        bucket = np.repeat(own[:-1], np.diff(own))
+        depth = np.full(high - low, q)
+        while True:
+            # Suffixes that are alone or agree in width bytes have their last pointer.
+            head = runs(bucket)
+            size = np.diff(np.append(head, len(bucket)))
+            members = suffixes[slots]
+            pointer[members] = bucket
+            ended = np.repeat(size == 1, size) | (depth >= width)
+            done[members[ended]] = True
+            slots, bucket, depth = slots[~ended], bucket[~ended], depth[~ended]
+            if not len(slots):
+                break
+            head = runs(bucket)
+            size = np.diff(np.append(head, len(bucket)))
+            members = suffixes[slots]
+            later = members + depth
+            entire = np.repeat(np.logical_and.reduceat(done[later], head), size)
+            key = np.where(entire, pointer[later], initial[later])
+            order = packed_order((np.repeat(np.arange(len(head)), size), len(head).bit_length()), (key, bits))
+            suffixes[slots] = members[order]
+            key, entire = key[order], entire[order]
+            new = np.zeros(len(slots), bool)
+            new[head] = True
+            new[1:] |= key[1:] != key[:-1]
+            head = np.flatnonzero(new)
+            bucket = np.repeat(slots[head], np.diff(np.append(head, len(slots))))
+            depth = np.where(entire, width, depth + q)
+        low = high
+    return suffixes
 
 
-def earlier_elsewhere(width: int):
-    """A resolver: windows that also start in a document with a smaller id."""
+def equal_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of width bytes inside the strings that offsets part (each ends in one byte more): starts, equal windows together, and
+    where in them each group begins. Neighbours in the suffix array are compared byte by byte, eight at a time."""
+    order = suffix_array(data, offsets, width)
+    step = min(8, width)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(data), "<u8", padded, strides=(1,)) & np.uint64((1 << (8 * step)) - 1)
+    same = np.arange(1, len(order))
+    for at in sorted({*range(0, width - step, step), width - step}):
+        same = same[words[order[same] + at] == words[order[same - 1] + at]]
+    new = np.ones(len(order), bool)
+    new[same] = False
+    return order, np.flatnonzero(new)
 
-    def resolve(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, first = equal_windows(data, offsets, width)
-        if not len(starts):
-            return starts, starts
-        fragment = np.repeat(np.arange(len(ids)), np.diff(offsets))[starts]
-        own = ids[fragment]
-        smallest = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
-        found = np.flatnonzero(own > smallest)
-        return fragment[found], starts[found] - offsets[fragment[found]]
 
-    return resolve
+def earlier_elsewhere(width: int):
+    """A finder: windows that also start in a document with a smaller id."""
+
+    def find(entries: Entries) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(entries.part, kind="stable")
+        size = np.diff(entries.bounds)
+        total = np.cumsum(size[order] + 1)
+        cuts, limit = [0], SORTED_BYTES
+        for b in runs(entries.part[order])[1:].tolist():
+            if total[b - 1] > limit:
+                cuts.append(b)
+                limit = total[b - 1] + SORTED_BYTES
+        cuts.append(len(order))
+        text, begin, end = entries.text.tobytes(), entries.bounds[:-1].tolist(), entries.bounds[1:].tolist()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            x = order[a:b]
+            data = np.frombuffer(b"\n".join([*[text[begin[i] : end[i]] for i in x.tolist()], b""]), np.uint8)
+            offsets = np.concatenate([[0], np.cumsum(size[x] + 1)])
+            starts, first = equal_windows(data, offsets, width)
+            if not len(starts):
+                continue
+            entry = np.repeat(np.arange(len(x)), size[x] + 1)[starts]
+            own = entries.least[x][entry]
+            smallest = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
+            repeated = np.flatnonzero(own > smallest)
+            found.append((x[entry[repeated]], starts[repeated] - offsets[entry[repeated]]))
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+    return find
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -98,6 +172,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50, id_column: str = "doc_id", tex
     """
     spans = free_column(docs, "_spans")
     found = repeated_spans(docs, width, id_column, text_column)
+    names = [free_column(docs, n) for n in ("kept_text", "removed")]
 
     @F.pandas_udf("kept_text string, removed array<struct<begin: long, end: long>>")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -116,7 +191,7 @@ def dedup_bytes(docs: DataFrame, width: int = 50, id_column: str = "doc_id", tex
     joined = with_spans(docs, found, spans, id_column, text_column)
     done = free_column(joined, "_cut")
     joined = joined.withColumn(done, cut(F.col(text_column), F.col(spans)))
-    return joined.select(*docs.columns, F.col(done)["kept_text"].alias("kept_text"), F.col(done)["removed"].alias("removed"))
+    return joined.select(*docs.columns, *[F.col(done)[c].alias(n) for c, n in zip(("kept_text", "removed"), names, strict=True)])
 
 
 def shrink(data: bytes, begin: int, end: int) -> tuple[int, int]:
@@ -133,8 +208,9 @@ def kept(data: bytes, gone: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
 
 
-def op3_suffix_array_dedup(spark, sf_dir):
-    docs, width = documents(spark, sf_dir).select("doc_id", "text"), 50
+def digests(docs: DataFrame, width: int = 50) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document under the removal that dedup_bytes describes, byte by byte."""
+    docs = docs.select("doc_id", "text")
     found = repeated_spans(docs, width)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -148,3 +224,7 @@ def op3_suffix_array_dedup(spark, sf_dir):
 
     joined = with_spans(docs, found, "spans", "doc_id", "text")
     return joined.select("doc_id", digest(F.col("text").cast("binary"), "spans").alias("d")).select("doc_id", "d.*")
+
+
+def op3_suffix_array_dedup(spark, sf_dir):
+    return digests(documents(spark, sf_dir))

@@ -3,72 +3,106 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hashing
 from .common import WORD, documents, free_column
-from .hashing import U64, mix64
-from .repeats import Kind, merged, repeated_windows, with_spans
+from .repeats import Entries, Kind, merged, repeated_windows, runs, with_spans
 
-#: Words that head a group of suffixes; in groups too large for a task the whole window does (see repeats).
-PREFIX = 8
+#: Words of an anchor (see repeats), and suffixes of a prefix group, whose subtree is built at once.
+ANCHOR, GROUP = 8, 1 << 16
 _WORDS = re.compile(WORD.encode())
 
 
-def fragment_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of strings that white space parts, and where each string's begin (one more than strings)."""
-    begin, end = hashing.word_bounds(data)
-    return hashing.range_hashes(data, begin, end, fold=False), np.searchsorted(begin, offsets)
+def prefix_groups(words: np.ndarray, suffix: np.ndarray, depth: int = 0, width: int = 35, limit: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Suffixes in groups of at most limit: (suffixes, the number of the prefix of each, the prefixes' length in words).
 
-
-def deep_nodes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The internal nodes at depth width or more of the suffix tree of some word strings: the suffixes below them, by start,
-    and the number of the node above each.
-
-    The tree grows from its root by edges of several words. A node's suffixes part by what the edge says next; those left
-    alone are leaves and done, so only repeats reach further down, and a node with two suffixes at depth width heads a
-    repeat of at least that many words.
+    A prefix that too many suffixes share is lengthened by a word, and again where that is not enough; prefixes of few suffixes
+    travel together. Where all width words agree there is nothing to lengthen, and a group is a single node however large.
     """
-    room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(words))
-    suffix = np.flatnonzero(room >= width)
-    node = np.zeros(len(suffix), np.int64)
-    depth, edge = 0, PREFIX
+    if len(suffix) <= limit or depth >= width:
+        yield suffix, np.zeros(len(suffix), np.int64), depth
+        return
+    order = np.argsort(words[suffix + depth], kind="stable")
+    suffix = suffix[order]
+    head = runs(words[suffix + depth])
+    size = np.diff(np.append(head, len(suffix)))
+    small = np.repeat(size <= limit, size)
+    for i in np.flatnonzero(size > limit):
+        yield from prefix_groups(words, suffix[head[i] : head[i] + size[i]], depth + 1, width, limit)
+    number, size = np.repeat(np.arange(len(size)), size)[small], size[size <= limit]
+    suffix, low, total = suffix[small], 0, np.cumsum(size)
+    while low < len(suffix):
+        high = int(total[np.searchsorted(total, low + limit, "right") - 1])
+        yield suffix[low:high], number[low:high], depth + 1
+        low = high
+
+
+def subtree(words: np.ndarray, room: np.ndarray, suffix: np.ndarray, prefix: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The deep internal nodes of the suffix tree below some prefixes: those at a depth of width words or more with none such above.
+
+    Returns the suffixes below them, node by node, where each node's begin, and each node's depth. A node's suffixes part by
+    the next words, as many as fit into a number; one left alone is a leaf and done. What is together at depth width is below one
+    deep node, and its edge goes on for as long as all its suffixes agree: the node's string is a maximal repeat.
+    """
+    each = max(1, 62 // max(1, int(words.max(initial=0)).bit_length()))
+    size = np.bincount(prefix, minlength=1)
+    suffix, prefix = suffix[size[prefix] > 1], prefix[size[prefix] > 1]
     while depth < width and len(suffix):
-        edge = min(edge, width - depth)
-        label = np.zeros(len(suffix), U64)
-        with np.errstate(over="ignore"):
-            for j in range(depth, depth + edge):
-                label = mix64(label * U64(0x9E3779B97F4A7C15) + words[suffix + j])
-        order = np.lexsort((label, node))
-        suffix, node, label = suffix[order], node[order], label[order]
-        first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (label[1:] != label[:-1])]))
-        size = np.diff(np.append(first, len(suffix)))
-        branch = np.repeat(size > 1, size)
-        suffix, node = suffix[branch], np.repeat(np.arange(len(first)), size)[branch]
-        depth += edge
-        edge *= 2
-    return suffix, node
+        step = min(each, width - depth)
+        label = np.zeros(len(suffix), np.int64)
+        for j in range(depth, depth + step):
+            label = (label << (62 // each)) | words[suffix + j]
+        order = np.lexsort((label, prefix))
+        suffix, prefix, label = suffix[order], prefix[order], label[order]
+        new = np.ones(len(suffix), bool)
+        new[1:] = (prefix[1:] != prefix[:-1]) | (label[1:] != label[:-1])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(suffix)))
+        inner = np.repeat(size > 1, size)
+        suffix, prefix = suffix[inner], np.repeat(np.arange(len(head)), size)[inner]
+        depth += step
+    first = runs(prefix)
+    size = np.diff(np.append(first, len(suffix)))
+    depths = np.full(len(first), depth)
+    going = np.arange(len(first))
+    while len(going):
+        rows = np.repeat(first[going], size[going]) + np.arange(size[going].sum()) - np.repeat(np.cumsum(size[going]) - size[going], size[going])
+        x, edges = suffix[rows], np.cumsum(size[going]) - size[going]
+        inside = room[x] > depth
+        following = np.where(inside, words[np.minimum(x + depth, len(words) - 1)], -1)
+        agree = np.logical_and.reduceat(inside, edges) & (np.minimum.reduceat(following, edges) == np.maximum.reduceat(following, edges))
+        going = going[agree]
+        depth += 1
+        depths[going] = depth
+    return suffix, first, depths
+
+
+def deep_nodes(words: np.ndarray, bounds: np.ndarray, width: int, limit: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What subtree() returns for each group of prefixes of some strings of words (as numbers), which bounds part."""
+    room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(words))
+    for group in prefix_groups(words, np.flatnonzero(room >= width), 0, width, limit):
+        yield subtree(words, room, *group, width)
 
 
 def repeated_anywhere(width: int):
-    """A resolver: windows that start anywhere else as well."""
+    """A finder: windows that start anywhere else as well."""
 
-    def resolve(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words, bounds = fragment_words(data, offsets)
-        suffix, _ = deep_nodes(words, bounds, width)
-        fragment = np.searchsorted(bounds, suffix, "right") - 1
-        return fragment, suffix - bounds[fragment]
+    def find(entries: Entries) -> tuple[np.ndarray, np.ndarray]:
+        suffix = np.concatenate([np.zeros(0, np.int64), *[s for s, _, _ in deep_nodes(entries.text.astype(np.int64), entries.bounds, width)]])
+        entry = np.searchsorted(entries.bounds, suffix, "right") - 1
+        return entry, suffix - entries.bounds[entry]
 
-    return resolve
+    return find
 
 
 def repeated_spans(docs: DataFrame, width: int = 35, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(uid, id, spans): the windows of width words of each document that also start anywhere else, in it or in another."""
-    return repeated_windows(docs, Kind(words=True, width=width, gram=min(PREFIX, width), earlier=False), repeated_anywhere(width), id_column, text_column)
+    return repeated_windows(docs, Kind(words=True, width=width, gram=min(ANCHOR, width), earlier=False), repeated_anywhere(width), id_column, text_column)
 
 
 def dedup_words(docs: DataFrame, width: int = 35, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -77,11 +111,13 @@ def dedup_words(docs: DataFrame, width: int = 35, id_column: str = "doc_id", tex
     Words are longest runs without space and the control characters 9 to 13, unchanged; kept words are joined by one space.
     Every copy of a repeat goes, the first as well. A null text has no words and an empty kept_text, as has a text that is
     white space; texts of fewer than width words and rows with a null id only lose the white space between words. Rows that
-    share an id are told apart by their text, so that repeats between them count. An empty table gives an empty result;
-    all columns stay.
+    share an id are told apart by their text, so that repeats between them count, and rows that repeat an id and a text repeat
+    each other. An empty table gives an empty result; all columns stay, and an added name that docs has already gets underscores
+    in front.
     """
     spans = free_column(docs, "_spans")
     found = repeated_spans(docs, width, id_column, text_column)
+    names = [free_column(docs, n) for n in ("n_words", "n_removed", "kept_text")]
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -96,7 +132,7 @@ def dedup_words(docs: DataFrame, width: int = 35, id_column: str = "doc_id", tex
     joined = with_spans(docs, found, spans, id_column, text_column)
     done = free_column(joined, "_cut")
     joined = joined.withColumn(done, cut(F.col(text_column), F.col(spans)))
-    return joined.select(*docs.columns, *[F.col(done)[c].alias(c) for c in ("n_words", "n_removed", "kept_text")])
+    return joined.select(*docs.columns, *[F.col(done)[c].alias(n) for c, n in zip(("n_words", "n_removed", "kept_text"), names, strict=True)])
 
 
 def op5_suffix_tree_dedup(spark, sf_dir):
@@ -104,4 +140,4 @@ def op5_suffix_tree_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-__all__ = ["dedup_words", "deep_nodes", "op5_suffix_tree_dedup", "repeated_spans"]
+__all__ = ["dedup_words", "deep_nodes", "prefix_groups", "subtree", "op5_suffix_tree_dedup", "repeated_spans"]

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, global_rank
+from .common import global_rank, staged
 
 #: name of a tool: {argument: (type, required)}; types as JSON names them.
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -30,7 +30,7 @@ def depths(calls: DataFrame) -> DataFrame:
     known = calls.select(F.col("conv_id").alias("pc"), F.col("call_id").alias("pi"))
     same = F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("parent_id") == F.col("pi"))
     linked = calls.join(known, same, "left").select("conv_id", "call_id", F.col("pi").alias("up"), F.when(F.col("pi").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    linked, left = checkpoint(linked), None
+    linked, left = staged(linked), None
     while True:
         now = linked.where("up is not null").count()
         if now == 0 or now == left:
@@ -38,7 +38,7 @@ def depths(calls: DataFrame) -> DataFrame:
         left = now
         target = linked.select(F.col("conv_id").alias("pc"), F.col("call_id").alias("pi"), F.col("up").alias("next"), F.col("depth").alias("more"))
         on = F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("up") == F.col("pi"))
-        linked = checkpoint(linked.join(target, on, "left").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        linked = staged(linked.join(target, on, "left").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
     return linked.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
@@ -85,7 +85,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "parent_id")
     results = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content")
     calls = first_of(calls, ["conv_id", "call_id"], [F.col("turn").asc_nulls_last(), F.col("arguments"), F.col("name"), F.col("parent_id")], "is_call")
-    calls = checkpoint(calls.withColumn("is_call", F.col("is_call") & F.col("call_id").isNotNull()))
+    calls = staged(calls.withColumn("is_call", F.col("is_call") & F.col("call_id").isNotNull()))
     results = first_of(results, ["conv_id", "call_id"], [F.col("result_turn").asc_nulls_last(), F.col("content")], "is_result")
     real, named = calls.where("is_call"), results.where("is_result and call_id is not null")
     deep = depths(real).select(F.col("conv_id").alias("dc"), F.col("call_id").alias("di"), "depth")

@@ -101,17 +101,56 @@ def test_bucket_refinement_finds_equal_windows(seed, monkeypatch):
     data = np.concatenate([np.append(s, 10) for s in strings]).astype(np.uint8)
     offsets = np.cumsum([0, *(len(s) + 1 for s in strings)])
     if seed % 2:
-        monkeypatch.setattr(suffix_array, "POINTER_BITS", 4)  # the path for long data
+        monkeypatch.setattr(suffix_array, "CHUNK", 5)
     for width in (3, 5, 13, 50):
         starts, first = suffix_array.equal_windows(data, offsets, width)
         groups = {}
         for a, b in zip(offsets[:-1], offsets[1:] - 1, strict=True):
             for i in range(a, b - width + 1):
                 groups.setdefault(bytes(data[i : i + width]), set()).add(i)
-        want = sorted(sorted(g) for g in groups.values() if len(g) > 1)
+        want = sorted(sorted(g) for g in groups.values())
         assert sorted(sorted(x.tolist()) for x in np.split(starts, first[1:]) if len(x)) == want
 
 
+@pytest.mark.parametrize("limit", [3, 20, 1 << 16])
+def test_deep_nodes_are_maximal_repeats(limit):
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        strings = [rng.integers(1, 2 + rng.integers(1, 5), rng.integers(0, 90)) for _ in range(30)] + [np.full(60, 1)] * 2
+        words, bounds = np.concatenate(strings), np.cumsum([0, *map(len, strings)])
+        for width in (1, 5, 13, 35):
+            groups = {}
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for i in range(a, b - width + 1):
+                    groups.setdefault(tuple(words[i : i + width]), []).append((i, b))
+            want = []
+            for g in groups.values():
+                depth = width
+                while len(g) > 1 and all(i + depth < b for i, b in g) and len({words[i + depth] for i, b in g}) == 1:
+                    depth += 1
+                if len(g) > 1:
+                    want.append((sorted(i for i, _ in g), depth))
+            got = [(sorted(x.tolist()), d) for s, first, depths in suffix_tree.deep_nodes(words, bounds, width, limit) for x, d in zip(np.split(s, first[1:]), depths.tolist(), strict=False) if len(x)]
+            assert sorted(got) == sorted(want)
+
+
+def test_prefixes_are_lengthened_where_groups_are_large():
+    words = np.concatenate([np.tile([1, 2, 3], 200), np.arange(4, 300)])
+    suffix = np.arange(len(words) - 40)
+    groups = list(suffix_tree.prefix_groups(words, suffix, 0, 35, 64))
+    assert sorted(np.concatenate([s for s, _, _ in groups])) == suffix.tolist()
+    assert {d for _, _, d in groups} >= {1, 35} and all(len(s) <= 64 or d == 35 for s, _, d in groups)
+    for s, number, depth in groups:
+        assert len({(n, *words[i : i + depth]) for i, n in zip(s, number, strict=True)}) == len(set(number.tolist()))
+
+
+def test_query_columns_of_op3(spark):
+    rows = [r for r in table() if r[0] is not None]
+    want = sorted((k, *byte_digest(*x)) for (k, _), x in zip(known(rows), covered_bytes(known(rows)), strict=True))
+    out = suffix_array.digests(frame(spark)).where("doc_id is not null")
+    assert sorted(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == want
+
+
 def test_suffix_tree_dedup(spark):
     rows = [r for r in table() if r[0] is not None]
     want = sorted((repr(k), repr(t), *d) for (k, t), d in zip(known(rows), word_digests(known(rows)), strict=True))
@@ -123,7 +162,6 @@ def test_suffix_tree_dedup(spark):
 @pytest.mark.parametrize("kind", [repeats.Kind(False, 50, 16, True), repeats.Kind(True, 35, 8, False)])
 def test_hot_passages_are_spread_and_still_found(spark, monkeypatch, kind):
     monkeypatch.setattr(repeats, "HOT_LEAST", 3)
-    monkeypatch.setattr(repeats, "HOT_SHARE", 1_000_000)
     passage = prose(90, 21)
     rows = [(i, f"{prose(20, i)} {passage} {prose(20, 1000 + i)}", "en", "a", 1) for i in range(30)]
     if kind.words:
@@ -143,8 +181,8 @@ def test_what_a_batch_knows_of_copies_is_short_and_spread(kind):
     rows = [r for r in marked.to_pylist() if r["tag"] == 1]
     assert {r["id"] for r in rows} == set(uids.tolist()) and pd.Series([r["key"] for r in rows]).value_counts().max() < 20
     shared = pa.array([[r["blob"]] for r in rows[:1]] + [[]] * 199, pa.list_(pa.binary()))
-    (moved,) = repeats.fragment_rows(kind, buckets, np.zeros(0, np.uint64))([pa.RecordBatch.from_arrays([pa.array(uids), texts, shared, ids], names=["uid", "text", "shared", "id"])])
-    rows = [r for r in moved.to_pylist() if r["spans"] is not None]
+    moved = repeats.fragment_rows(kind, buckets, np.zeros(0, np.uint64))([pa.RecordBatch.from_arrays([pa.array(uids), texts, shared, ids], names=["uid", "text", "shared", "id"])])
+    rows = [r for batch in moved for r in batch.to_pylist() if r["spans"] is not None]
     n = (400 if kind.words else len(text)) - kind.width + 1
     assert {r["id"] for r in rows} == set(range(kind.earlier, 200)) and pd.Series([r["key"] for r in rows]).value_counts().max() < 20
     assert all(np.frombuffer(r["spans"], "<i8").tolist() == [0, n] for r in rows)
