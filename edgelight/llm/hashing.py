@@ -82,8 +82,8 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: b
         return mix64(out ^ ((ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15)))
 
 
-def word_hashes(data: bytes, fold: bool) -> np.ndarray:
-    array = np.frombuffer(data, np.uint8)
+def word_hashes(data: bytes | np.ndarray, fold: bool) -> np.ndarray:
+    array = data if isinstance(data, np.ndarray) else np.frombuffer(data, np.uint8)
     return range_hashes(array, *word_bounds(array), fold)
 
 
@@ -99,9 +99,9 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return mix64(out)
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
+def shingles(text: str | np.ndarray | None, width: int = 5) -> np.ndarray:
     """The set of hashed shingles of a text, sorted: width words each, or one of all words if there are fewer."""
-    words = word_hashes((text or "").encode(), fold=True)
+    words = word_hashes(text if isinstance(text, np.ndarray) else (text or "").encode(), fold=True)
     if not len(words):
         return words
     if len(words) < width:

@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .common import connected_components, discard, documents, staged
 from .hashing import U64, constants, mix64, shingles
+from .repeats import row_key, slices, text_columns
 
 #: At a similarity of 0.75 all 32 bands of four samples miss a pair with probability 5e-6.
 BANDS, ROWS = 32, 4
@@ -51,29 +53,28 @@ def most_flips(threshold: float) -> int:
     return int(np.ceil(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - j) / SKETCH_BITS))))
 
 
-def signatures(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, n_shingles, set_hash, bands, sketch) per row; without words n_shingles is 0 and the rest null."""
-    schema = "id long, n_shingles long, set_hash string, bands array<long>, sketch binary"
+def signatures(docs: DataFrame) -> DataFrame:
+    """(key, id, n_shingles, set_hash, bands, sketch) per row of (key, text as bytes, id); without words n_shingles is 0 and the rest null."""
+    schema = "key long, id long, n_shingles long, set_hash string, bands array<long>, sketch binary"
     band_mix = constants(ROWS, 6)
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                part, rows = batch.iloc[i : i + 500], []
-                for text in part["text"]:
-                    items = shingles(text)
-                    if not len(items):
-                        rows.append((0, None, None, None))
-                        continue
-                    samples = minhash(items)
-                    with np.errstate(over="ignore"):
-                        keys = mix64((samples.reshape(BANDS, ROWS) * band_mix).sum(axis=1, dtype=U64) + np.arange(BANDS, dtype=U64))
-                    rows.append((len(items), hashlib.blake2b(items.tobytes(), digest_size=16).hexdigest(), keys.view(np.int64), odd_sketch(samples)))
-                out = pd.DataFrame(rows, columns=["n_shingles", "set_hash", "bands", "sketch"])
-                out.insert(0, "id", part["id"].to_numpy())
-                yield out
-
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInPandas(signed, schema)
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            _, data, offsets = text_columns(batch)
+            n, hashes, bands, sketches = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+            for i in range(batch.num_rows):
+                items = shingles(data[offsets[i] : offsets[i + 1]])
+                n[i] = len(items)
+                if not len(items):
+                    continue
+                samples = minhash(items)
+                with np.errstate(over="ignore"):
+                    keys = mix64((samples.reshape(BANDS, ROWS) * band_mix).sum(axis=1, dtype=U64) + np.arange(BANDS, dtype=U64))
+                hashes[i], bands[i], sketches[i] = hashlib.blake2b(items.tobytes(), digest_size=16).hexdigest(), keys.view(np.int64), odd_sketch(samples)
+            columns = [batch.column(0), batch.column(2), pa.array(n), pa.array(hashes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n_shingles", "set_hash", "bands", "sketch"])
+
+    return docs.select("key", F.col("text").cast("binary").alias("text"), "id").mapInArrow(signed, schema)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -203,23 +204,26 @@ def joined_components(members: DataFrame, texts: DataFrame, percent: int) -> Dat
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Components of documents linked by 100 * |A and B| >= percent * |A or B| over their sets of five-word shingles.
 
-    Equal sets are one representative, the smallest id. Representatives that share a band of MinHash samples are candidates.
-    First each is compared with the smallest of its bucket only; what that links is one component and needs no further
+    Equal sets are one representative. Representatives that share a band of MinHash samples are candidates.
+    First each is compared with one leader of its bucket only; what that links is one component and needs no further
     comparison inside it. Then members of one bucket in different components are compared, block by block and each pair in the
     first band that brings it together. Odd sketches drop the pairs that are clearly below the threshold, the full sets of whole texts
     decide on the rest. Pairs never leave a task: it returns the components that it joins. No bucket is capped.
 
-    Returns id, n_shingles, component (smallest id reachable). Rows with a null or wordless text have no shingles and are
-    alone; a null id is kept, as its own component; rows of one id count as copies of it if their sets agree. An empty
-    table gives an empty result. Other columns are left out.
+    Returns key (row_key: rows that share an id are told apart by their text), id, n_shingles, component (smallest id reachable) and
+    keeper (the key of the row that stands for the component: of its rows with that id the one with the smallest key). Rows with a
+    null or wordless text have no shingles and are alone; a null id is kept, as its own component. Rows that repeat an id and a text
+    have one key. An empty table gives an empty result. Other columns are left out.
     """
     flips = most_flips(percent / 100)
-    signed = staged(signatures(docs, id_column, text_column))
+    rows = docs.select(row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"), F.col(id_column).cast("long").alias("id"))
+    signed = staged(signatures(rows))
     real = signed.where("set_hash is not null and id is not null")
-    firsts = real.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    firsts = staged(firsts)
-    reps = real.join(firsts.withColumnRenamed("set_hash", "of"), (F.col("set_hash") == F.col("of")) & (F.col("id") == F.col("rep"))).dropDuplicates(["id", "set_hash"])
-    reps = staged(reps.select("id", "n_shingles", "bands", "sketch"))
+    # In what follows a set is named by the key of one of its rows.
+    sets = staged(real.groupBy("set_hash").agg(F.min("key").alias("node"), F.min(F.struct("id", "key")).alias("first")))
+    named = sets.select("node", F.col("set_hash").alias("of"))
+    reps = real.join(named, (F.col("set_hash") == F.col("of")) & (F.col("key") == F.col("node"))).dropDuplicates(["node"])
+    reps = staged(reps.select(F.col("node").alias("id"), "n_shingles", "bands", "sketch"))
     sketches = reps.select("id", "sketch", "bands")
     bands = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
     leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("led"), "leader")
@@ -227,19 +231,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     # Only texts of candidates are compared; they are set apart once, so that later joins move no others.
     candidates = members.select(F.col("id").alias("candidate")).distinct()
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    texts = staged(texts.join(candidates, F.col("id") == F.col("candidate"), "left_semi"))
+    texts = staged(rows.select(F.col("key").alias("id"), "text").join(candidates, F.col("id") == F.col("candidate"), "left_semi"))
     links = staged(confirmed(sketched(stars, sketches, flips), texts, percent))
     nodes = members.select(F.col("id").alias("node")).distinct()
-    found = connected_components(nodes, links)
+    found = staged(connected_components(nodes, links))
     placed = members.join(found, F.col("id") == F.col("node")).select("key", "id", "leader", "n_shingles", "component")
-    joins = staged(joined_components(staged(contested(placed, sketches, flips)), texts, percent))
+    rivals = staged(contested(placed, sketches, flips))
+    joins = staged(joined_components(rivals, texts, percent))
+    discard(reps, members, texts, links, rivals)
     ends = joins.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     lower = connected_components(ends, joins).select(F.col("node").alias("was"), F.col("component").alias("lowest"))
     found = found.join(lower, F.col("component") == F.col("was"), "left").select("node", F.coalesce("lowest", "component").alias("component"))
-    reached = firsts.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "rep").alias("component"))
+    reached = sets.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("set_hash", "first", F.coalesce("component", "node").alias("component"))
+    smallest = reached.groupBy("component").agg(F.min("first").alias("first")).withColumnRenamed("component", "of")
+    reached = reached.join(smallest.withColumnRenamed("first", "smallest"), F.col("component") == F.col("of")).select(F.col("set_hash").alias("of"), "smallest")
     out = signed.join(reached, (F.col("set_hash") == F.col("of")) & F.col("id").isNotNull(), "left")
-    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    return out.select("key", "id", "n_shingles", F.coalesce("smallest.id", "id").alias("component"), F.coalesce("smallest.key", "key").alias("keeper"))
 
 
 def op4_odd_sketch_near_dup(spark, sf_dir):

@@ -157,43 +157,56 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return at
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: int, seed: int, id_column: str, text_column: str) -> tuple[DataFrame, dict[int, float]]:
-    """At most rows labelled documents of each class of target, chosen by a hash of the id, and how many rows each stands for."""
-    labels = labels.dropna(subset=[id_column]).withColumn("_class", target.cast("int")).where("_class is not null")
+def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int, seed: int, id_column: str, text_column: str) -> tuple[DataFrame, dict[int, float]]:
+    """(_text, _id, _class, _y0, ...): at most rows labelled documents of each class of the last category, chosen by a hash of the id, and how
+    many rows each stands for. Labels with a null in a category are left out before anything else is looked at."""
+    columns = [c.cast("double").alias(f"_y{i}") for i, c in enumerate(categories.values())]
+    labels = labels.select(F.col(id_column).alias("_id"), list(categories.values())[-1].cast("int").alias("_class"), *columns).dropna()
     totals = {r["_class"]: r["count"] for r in labels.groupBy("_class").count().collect()}
-    order = [F.xxhash64(F.lit(seed), F.col(id_column)), F.col(id_column)]
+    order = [F.xxhash64(F.lit(seed), F.col("_id")), F.col("_id"), *[F.col(f"_y{i}") for i in range(len(columns))]]
     parts = [labels.where(F.col("_class") == c).orderBy(*order).limit(rows) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     # The sample has 2 * rows rows at most, whatever the input: small enough for every executor.
-    found = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col(id_column))
+    texts = docs.select(F.col(id_column).alias("_of"), F.col(text_column).alias("_text")).where("_text is not null")
+    found = texts.join(F.broadcast(chosen), F.col("_of") == F.col("_id")).drop("_of")
     return found, {c: totals.get(c, 0) / max(1, min(rows, totals.get(c, 0))) for c in (0, 1)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = SAMPLE_ROWS, seed: int = 3, id_column: str = "doc_id", text_column: str = "text") -> Chain:
     """A chain over categories (name: 0/1 column of labels, in order), fitted on a bounded sample of labelled documents.
 
-    The sample has at most rows documents of each class of the last category; executors turn their whole texts into
-    hashed features and only those come to the driver. Rows with a null id, label or text are left out. With no labelled
-    rows, or none of a class, a category's probability is the same for all texts and its threshold is not passed.
+    The sample has at most rows documents of each class of the last category; executors turn the whole texts of those, and of
+    no others, into hashed features and only these come to the driver. Rows with a null id, label or text are left out, repeated
+    labels or documents count each; the order of rows, of equal ones as well, makes no difference. Other columns of docs and
+    labels are not read. With no labelled rows (an empty table is such a case), or none of a class, a category's
+    probability is the same for all texts and its threshold is not passed.
     """
-    last = list(categories.values())[-1]
-    found, stands_for = labelled_sample(docs, labels, last, rows, seed, id_column, text_column)
+    found, stands_for = labelled_sample(docs, labels, categories, rows, seed, id_column, text_column)
 
     @F.pandas_udf(BinaryType())
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t).tobytes() for t in texts])
+        return pd.Series([np.sort(features(t)).tobytes() for t in texts])
 
-    columns = [c.cast("double").alias(f"_y{i}") for i, c in enumerate(categories.values())]
-    got = found.where("_text is not null").select("_id", "_class", hashed("_text").alias("_x"), *columns).dropna().toPandas()
-    got = got.sort_values(["_id", "_class"], kind="stable")
+    ys = [f"_y{i}" for i in range(len(categories))]
+    got = found.select("_id", "_class", *ys, hashed("_text").alias("_x")).toPandas()
+    got = got.sort_values(["_id", "_class", *ys, "_x"], kind="stable")
     lists = [np.frombuffer(x, np.uint32) for x in got["_x"]]
     weight = np.array([stands_for[c] for c in got["_class"]], float)
-    targets = {n: got[f"_y{i}"].to_numpy() for i, n in enumerate(categories)}
-    return fit_chain(lists, targets, weight)
+    return fit_chain(lists, {n: got[y].to_numpy(float) for n, y in zip(categories, ys, strict=True)}, weight)
+
+
+def score_columns(docs: DataFrame, names: list[str]) -> dict[str, str]:
+    """What score() calls its columns: p_<category> and is_<category>, with underscores in front where docs has such a column."""
+    return {f"{kind}_{n}": free_column(docs, f"{kind}_{n}") for n in names for kind in ("p", "is")}
 
 
 def score(docs: DataFrame, chain: Chain, text_column: str = "text") -> DataFrame:
-    """docs with p_<category> double and is_<category> boolean for each category of the chain; null text: 0 and false."""
+    """docs with p_<category> double and is_<category> boolean for each category of the chain (see score_columns).
+
+    A null text, an empty one and one without letters are 0 and false in all. Each row is judged by its whole text alone, however
+    long: equal texts have equal scores, and null ids, ties and repeated rows need no care. All columns of docs stay as they are;
+    an empty table gives an empty result.
+    """
     schema = StructType([StructField(n, DoubleType()) for n in chain.names])
 
     @F.pandas_udf(schema)
@@ -202,11 +215,10 @@ def score(docs: DataFrame, chain: Chain, text_column: str = "text") -> DataFrame
         parts = [chain.scores(texts.iloc[i : i + 256]) for i in range(0, len(texts), 256)]
         return pd.DataFrame(np.concatenate([*parts, np.zeros((0, len(chain.names)))]), columns=chain.names)
 
-    at = free_column(docs, "_scores")
+    at, called = free_column(docs, "_scores"), score_columns(docs, chain.names)
     out = docs.withColumn(at, scored(F.col(text_column)))
-    for n, t in zip(chain.names, chain.thresholds, strict=True):
-        out = out.withColumns({f"p_{n}": F.col(at)[n], f"is_{n}": F.col(at)[n] >= F.lit(t)})
-    return out.drop(at)
+    parts = [(F.col(at)[n].alias(called[f"p_{n}"]), (F.col(at)[n] >= F.lit(t)).alias(called[f"is_{n}"])) for n, t in zip(chain.names, chain.thresholds, strict=True)]
+    return out.select(*docs.columns, *[c for pair in parts for c in pair])
 
 
 def categories() -> dict[str, Column]:
