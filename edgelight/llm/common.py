@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a longest run of bytes other than space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of rows that a Python worker is handed at once by the queries.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ _UP = hashing._powers(hashing._BASE, BLOCK + (1 << 12))
 _DOWN = hashing._powers(pow(hashing._BASE, -1, 1 << 64), BLOCK + (1 << 12))
 _POSITION = U64((1 << 19) - 1)
 #: Text that one bucket stands for, and that a task looks at at once.
-BUCKET_BYTES, SLICE_BYTES = 16 << 20, 8 << 20
+BUCKET_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
 #: Documents that make an anchor hot, and how many anchors may be (five bytes each in every task).
 HOT_LEAST, HOT_MOST = 1 << 14, 1 << 18
 
