@@ -458,12 +458,28 @@ def collapse(kind: Kind, ids: np.ndarray, part: np.ndarray, windows: np.ndarray,
     return Entries(part[some], windows[some], least, np.bincount(entry, minlength=n), source[np.repeat(picked, np.diff(bounds))], np.concatenate([[0], np.cumsum(lengths)])), entry
 
 
+#: A run of windows as one number: where it starts, and in the low bits how many there are; longer ones come in parts.
+RUN_BITS = 20
+
+
+def run_rows(uid: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> pa.Table:
+    """(uid, id, run), a row for each of the runs (start, windows): as many as there are repeats, whatever the number of buckets."""
+    most = (1 << RUN_BITS) - 1
+    parts = -(-spans[:, 1] // most)
+    step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+    start, windows = np.repeat(spans[:, 0], parts) + step, np.minimum(np.repeat(spans[:, 1], parts) - step, most)
+    return pa.table({"uid": pa.array(np.repeat(uid, parts)), "id": pa.array(np.repeat(ids, parts)), "run": pa.array((start << RUN_BITS) | windows)})
+
+
 def resolve_bucket(kind: Kind, finder: Finder) -> Callable[[pa.Table], pa.Table]:
-    """Of one bucket: (uid, id, spans) with the windows that are repeated."""
+    """Of one bucket: (uid, id, run) with the windows that are repeated."""
 
     def resolve(table: pa.Table) -> pa.Table:
         decided = table.column("blob").is_null()
-        passed = table.select(["uid", "id", "spans"]).filter(decided)
+        known = table.filter(decided).combine_chunks()
+        spans = np.frombuffer(b"".join(known.column("spans").to_pylist()), "<i8").reshape(-1, 2)
+        times = np.array([len(x) // 16 for x in known.column("spans").to_pylist()], np.int64)
+        passed = run_rows(np.repeat(known.column("uid").to_numpy(), times), np.repeat(known.column("id").to_numpy(), times), spans)
         heads = [unpack_fragments(kind, memoryview(blob.as_buffer())) for blob in table.column("blob").drop_null()]
         if not heads:
             return passed
@@ -485,8 +501,8 @@ def resolve_bucket(kind: Kind, finder: Finder) -> Callable[[pa.Table], pa.Table]
         start = first[f] + np.concatenate([np.zeros(more.sum(), np.int64), places])
         count = np.concatenate([windows[more], np.ones(len(others), np.int32)])
         uid, ids, edge, spans = merged_runs(uid[f], ids[f], start, count)
-        found = pa.table({"uid": pa.array(uid), "id": pa.array(ids), "spans": binary_column(spans.astype("<i8").view(np.uint8).ravel(), 16 * edge)})
-        return pa.concat_tables([passed, found])
+        times = np.diff(edge)
+        return pa.concat_tables([passed, run_rows(np.repeat(uid, times), np.repeat(ids, times), spans)])
 
     return resolve
 
@@ -497,7 +513,7 @@ def row_key(id_column: str, text_column: str) -> Column:
 
 
 def repeated_windows(docs: DataFrame, kind: Kind, finder: Finder, id_column: str, text_column: str) -> DataFrame:
-    """(uid, id, spans array<binary>): for each row (row_key and id) with repeated windows, runs of their starts, in units."""
+    """(uid, id, spans array<long>): for each row (row_key and id) with repeated windows, runs of their starts, in units."""
     spark = docs.sparkSession
     narrow = docs.select(row_key(id_column, text_column).alias("uid"), F.col(text_column).cast("binary").alias("text"), F.col(id_column).cast("long").alias("id")).where("id is not null and text is not null")
     size = narrow.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -511,9 +527,9 @@ def repeated_windows(docs: DataFrame, kind: Kind, finder: Finder, id_column: str
     lists = shared.where("tag = 1").groupBy(F.col("id").alias("of")).agg(F.collect_list("blob").alias("shared"))
     marked_docs = narrow.join(lists, F.col("uid") == F.col("of")).select("uid", "text", "shared", "id")
     moved = marked_docs.mapInArrow(fragment_rows(kind, buckets, hot), "key int, uid long, id long, spans binary, blob binary")
-    spans = staged(moved.groupBy("key").applyInArrow(resolve_bucket(kind, finder), "uid long, id long, spans binary"))
+    spans = staged(moved.groupBy("key").applyInArrow(resolve_bucket(kind, finder), "uid long, id long, run long"))
     discard(shared)
-    return spans.groupBy("uid", "id").agg(F.collect_list("spans").alias("spans"))
+    return spans.groupBy("uid", "id").agg(F.collect_list("run").alias("spans"))
 
 
 def with_spans(docs: DataFrame, found: DataFrame, spans: str, id_column: str, text_column: str) -> DataFrame:
@@ -524,12 +540,12 @@ def with_spans(docs: DataFrame, found: DataFrame, spans: str, id_column: str, te
     return keyed.join(found, (F.col(uid) == F.col(of)) & (F.col(id_column).cast("long") == F.col(rid)), "left").drop(uid, of, rid)
 
 
-def merged(spans: list[bytes] | None, width: int) -> np.ndarray:
+def merged(spans: np.ndarray | None, width: int) -> np.ndarray:
     """The units that runs of windows cover, as rising separate (begin, end); adjoining ones are one."""
     if spans is None or not len(spans):
         return np.zeros((0, 2), np.int64)
-    x = np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in spans])
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    begin, end = x[:, 0], np.maximum.accumulate(x[:, 0] + x[:, 1] + width - 1)
+    x = np.sort(np.asarray(spans, np.int64))
+    begin = x >> RUN_BITS
+    end = np.maximum.accumulate(begin + (x & ((1 << RUN_BITS) - 1)) + width - 1)
     head = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
     return np.column_stack([begin[head], end[np.append(head[1:] - 1, len(x) - 1)]])
