@@ -5,16 +5,22 @@ Blank, unparsable and absent cells mean different things to the metrics, so none
 
 from __future__ import annotations
 
+import math
+import re
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters that count as white space at the ends of a cell.
-SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-NUMBER = r"^[+-]?(Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: What counts as a number, with the bases by their prefixes.
+NUMBER = r"[+-]?(Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
+PREFIXED = {16: "0[xX][0-9a-fA-F]+", 8: "0[oO][0-7]+", 2: "0[bB][01]+"}
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lower(c: Column) -> Column:
@@ -41,11 +47,31 @@ def number(c: Column) -> Column:
 
 
 def trimmed_number(t: Column) -> Column:
-    """number() of a cell that is trimmed already. t stands here several times: let it be a column, not an expression."""
+    """number() of a cell that is trimmed already. Nearly all cells are told by one pattern and one cast; t stands here several times, so let
+    it be a column or a cheap expression."""
     digits = F.substring(t, 3, 1 << 30)
-    prefixed = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(digits, 16, 10)).when(t.rlike("^0[oO][0-7]+$"), F.conv(digits, 8, 10)).when(t.rlike("^0[bB][01]+$"), F.conv(digits, 2, 10))
-    decimal = F.when(t.rlike(NUMBER), t).otherwise(prefixed)
-    return F.when(t == "", 0.0).otherwise(F.coalesce(decimal.try_cast("double"), F.lit(float("nan"))))
+    other = F.lit(None).cast("string")
+    for base, pattern in PREFIXED.items():
+        other = F.when(t.rlike(f"^{pattern}$"), F.conv(digits, base, 10)).otherwise(other)
+    other = F.when(t.rlike("^0[xXoObB]"), F.coalesce(other.try_cast("double"), F.lit(float("nan")))).otherwise(float("nan"))
+    return F.when(t.rlike(f"^({NUMBER})?$"), F.coalesce(t.try_cast("double"), F.lit(0.0))).otherwise(other)
+
+
+def read_number(value: Any) -> float:
+    """A value of a request by the same rules: a list of one counts as what it holds, an empty one as blank; what is no number is NaN."""
+    if isinstance(value, list | tuple):
+        return 0.0 if not value else read_number(value[0]) if len(value) == 1 else math.nan
+    if isinstance(value, bool | int | float):
+        return float(value)
+    if value is None:
+        return 0.0
+    if not isinstance(value, str):
+        return math.nan
+    t = value.strip(SPACES)
+    for base, pattern in PREFIXED.items():
+        if re.fullmatch(pattern, t):
+            return float(int(t[2:], base))
+    return (float(t) if t else 0.0) if re.fullmatch(f"({NUMBER})?", t, re.ASCII) else math.nan
 
 
 def number_text(c: Column) -> Column:
@@ -57,5 +83,10 @@ def number_text(c: Column) -> Column:
 
 
 def finite(c: Column) -> Column:
-    """Whether a double is there and neither NaN nor infinite."""
-    return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    """Whether a double is there and neither NaN (which is above all numbers) nor infinite."""
+    return F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+
+
+def no_nan(c: Column) -> Column:
+    """Null for NaN. Unlike a condition with isnan this names the column once, so a filter on it stays small wherever it is pushed."""
+    return F.nanvl(c, F.lit(None).cast("double"))

@@ -48,17 +48,6 @@ def plain(value: Any) -> str:
     return str(value)
 
 
-def bound(value: Any) -> float:
-    """A bound as a number; text that is none is NaN, which no value passes."""
-    if isinstance(value, str):
-        t = value.strip()
-        try:
-            return float(t) if t else 0.0
-        except ValueError:
-            return math.nan
-    return float(value)
-
-
 def number_equals(number: Column, wanted: str) -> Column:
     """Whether a number, written as the log's numbers are, reads as a lower-case text; blank and absent ones are empty.
 
@@ -105,7 +94,7 @@ def predicate(logs: Logs, item: Any) -> Column | None:
         keep = text.finite(value)
         for limit, compare in ((f.min, lambda b: value >= b), (f.max, lambda b: value <= b)):
             if limit is not None:
-                b = bound(limit)
+                b = text.read_number(limit)
                 keep &= F.lit(False) if math.isnan(b) else compare(F.lit(b))
         return keep
     if f.type == "eq":

@@ -25,12 +25,11 @@ def kpis(logs: Logs) -> DataFrame:
     Percentiles are exact, with linear interpolation. Errors are all statuses from 500 on, also above 599.
     """
     cache, status = logs.value("edge_cache_hit"), F.col("edge_status")
-    bad_status = status.isNotNull() & ~F.isnan(status) & (status >= 500)
     sums = logs.frame.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(cache == 1).alias("hit_count"),
         F.count_if(cache == 0).alias("miss_count"),
-        F.count_if(bad_status).alias("error_count"),
+        F.count_if(is_error(status)).alias("error_count"),
         F.count_if(~text.finite(status)).alias("missing_edge_status"),
         F.percentile(latency(logs), F.array(F.lit(0.95), F.lit(0.99))).alias("p"),
     )
@@ -51,12 +50,17 @@ def kpis(logs: Logs) -> DataFrame:
 
 def status_counts(logs: Logs) -> DataFrame:
     """(code, count) by code; blank and unparsable statuses are left out."""
-    known = logs.frame.where("edge_status is not null and not isnan(edge_status)")
+    known = logs.frame.where(text.no_nan(F.col("edge_status")).isNotNull())
     return known.groupBy(F.col("edge_status").alias("code")).agg(F.count(F.lit(1)).alias("count")).orderBy("code")
 
 
+def is_error(status: Column) -> Column:
+    """Whether a status is a number from 500 on; null where there is none."""
+    return text.no_nan(status) >= 500
+
+
 def errors(logs: Logs) -> Logs:
-    return logs.with_frame(logs.frame.where("edge_status is not null and not isnan(edge_status) and edge_status >= 500"))
+    return logs.with_frame(logs.frame.where(is_error(F.col("edge_status"))))
 
 
 def _value(column: str) -> Column:
@@ -90,11 +94,10 @@ def timeseries(logs: Logs, bucket_seconds: int | None = None) -> DataFrame:
     The bucket's width follows the span of the rows themselves unless it is given. An error here is 500 to 599.
     """
     rows = logs.frame.where("ts_ms is not null")
-    width = F.lit(bucket_seconds) if bucket_seconds else F.col("bucket_seconds")
-    if not bucket_seconds:
-        rows = rows.join(F.broadcast(span(logs).select("bucket_seconds")))
+    width = F.lit(bucket_seconds) if bucket_seconds else span(logs).select("bucket_seconds").scalar()
+    rows = rows.withColumn("bucket_ms", times.bucket_ms(F.col("ts_ms"), width))
     status = F.col("edge_status")
-    sums = rows.groupBy(times.bucket_ms(F.col("ts_ms"), width).alias("bucket_ms")).agg(
+    sums = rows.groupBy("bucket_ms").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if((status >= 500) & (status < 600)).alias("errors_5xx"),
         F.percentile(latency(logs), F.array(F.lit(0.95), F.lit(0.99))).alias("p"),

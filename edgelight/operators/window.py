@@ -18,13 +18,12 @@ def anchor(logs: Logs, minutes: float) -> DataFrame:
 def in_window(logs: Logs, minutes: float, anchor_ms: int | None = None) -> Logs:
     """Rows whose time is in [anchor - minutes, anchor], both ends included; rows without a time are out.
 
-    With anchor_ms the bounds are literals, which reach the scan of a table that has ts_ms; without, one row is broadcast.
+    With anchor_ms the bounds are literals, which reach the scan of a table that has ts_ms. Without, the start is a scalar subquery that reads
+    nothing but the times; it is a filter like any other, so that of rows outside the window no other cell is parsed.
     """
     if anchor_ms is not None:
         return logs.with_frame(logs.frame.where(F.col("ts_ms").between(anchor_ms - int(minutes * 60_000), anchor_ms)))
-    bounds = anchor(logs, minutes).select("start_ms", "end_ms")
-    joined = logs.frame.join(F.broadcast(bounds), F.col("ts_ms").between(F.col("start_ms"), F.col("end_ms")))
-    return logs.with_frame(joined.drop("start_ms", "end_ms"))
+    return logs.with_frame(logs.frame.where(F.col("ts_ms") >= anchor(logs, minutes).select("start_ms").scalar()))
 
 
 def span(logs: Logs) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from ..functions.text import read_number
+
 DEFAULT_MINUTES, MOST_COMMAND_MINUTES = 60, 240
 
 #: What chat and forms may choose from.
@@ -57,10 +59,7 @@ def decode_filters(filters: Any) -> tuple[Any, ...]:
 
 def from_form(form: Mapping[str, Any]) -> TriageRequest:
     """Form fields: a window must be a positive number, filters proper JSON."""
-    try:
-        minutes = float(str(form.get("windowMinutes") or DEFAULT_MINUTES))
-    except ValueError:
-        minutes = math.nan
+    minutes = read_number(form.get("windowMinutes") or DEFAULT_MINUTES)
     if not math.isfinite(minutes) or minutes <= 0:
         raise RequestError("windowMinutes must be a positive number.")
     filters: Any = ()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import times
+from .functions import text, times
 from .operators import charts, metrics, quality, window
 from .plans.request import TriageRequest, parse_chat, parse_command
 from .plans.triage import Triage
@@ -173,8 +173,8 @@ query("error_rate", within(MONTH) + f"SELECT ({BAD})::BIGINT AS error_count, {ra
 query("url_region_pop", LOGS + "SELECT row_id, region, pop FROM rows")(lambda s, d: triage(s, d).logs.frame.select("row_id", "region", "pop"))
 query("crc_class_map", LOGS + "SELECT crc, crc_class, count(*)::BIGINT AS count FROM rows GROUP BY ALL")(lambda s, d: triage(s, d).logs.frame.groupBy("crc", "crc_class").agg(F.count(F.lit(1)).alias("count")))
 query("service_canonical", LOGS + "SELECT service, count(*)::BIGINT AS count FROM rows GROUP BY ALL")(lambda s, d: triage(s, d).logs.frame.groupBy("service").agg(F.count(F.lit(1)).alias("count")))
-query("status_alias", LOGS + "SELECT row_id, status AS edge_status FROM rows WHERE raw_status = '' OR raw_status = '600'")(lambda s, d: triage(s, d).logs.frame.where("row_id % 83 = 0 or edge_status = 600").select("row_id", "edge_status"))
-query("latency_alias", LOGS + "SELECT row_id, ttms AS ttms_ms FROM rows WHERE row_id % 71 = 0 OR row_id % 139 = 0")(lambda s, d: (lambda t: t.logs.frame.where("row_id % 71 = 0 or row_id % 139 = 0").select("row_id", metrics.latency(t.logs).alias("ttms_ms")))(triage(s, d)))
+query("status_alias", LOGS + "SELECT row_id, status AS edge_status FROM rows")(lambda s, d: triage(s, d).logs.frame.select("row_id", text.no_nan(F.col("edge_status")).alias("edge_status")))
+query("latency_alias", LOGS + "SELECT row_id, ttms AS ttms_ms FROM rows")(lambda s, d: (lambda t: t.logs.frame.select("row_id", metrics.latency(t.logs).alias("ttms_ms")))(triage(s, d)))
 query("iso_format", LOGS + "SELECT row_id, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM rows WHERE ts_ms IS NOT NULL")(lambda s, d: triage(s, d).logs.frame.where("ts_ms is not null").select("row_id", times.iso(F.col("ts_ms")).alias("iso")))
 
 

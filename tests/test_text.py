@@ -24,6 +24,13 @@ def test_number(spark):
         assert g == w or math.isnan(g) and math.isnan(w)
 
 
+def test_request_numbers_follow_the_rules_of_cells(spark):
+    given = ["0x1F4", "5e2", "500d", "inf", "Infinity", "abc", " 500 ", "", "-.5", "5.", "0b101", "0o17", "1_0", "NaN"]
+    for g, w in zip(given, values(spark, text.number, given), strict=True):
+        assert text.read_number(g) == w or math.isnan(text.read_number(g)) and math.isnan(w)
+    assert [text.read_number(v) for v in ([], ["7"], True, 3, None)] == [0, 7, 1, 3, 0] and math.isnan(text.read_number([1, 2])) and math.isnan(text.read_number({}))
+
+
 def test_number_text(spark):
     assert values(spark, text.number_text, [200.0, 12.5, 1e7, 0.1, 12345678.5, math.nan, math.inf], "double") == ["200", "12.5", "10000000", "0.1", "12345678.5", "NaN", "Infinity"]
 
