@@ -110,7 +110,8 @@ def hashed(vectors: DataFrame, tables: int, probes: int, scale: float) -> DataFr
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding", tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all rows, representatives, links): links (a, b) with a < b between representatives of cosine >= threshold.
 
-    Equal vectors are one representative, the smallest id. Each vector is entered into its own cell in each table and looks
+    Equal vectors are one representative, with a number of its own as id (rows that share an id may differ) and their smallest id as
+    least. Each vector is entered into its own cell in each table and looks
     into the nearest cells around it; pairs that meet are told apart once, and the cosine of whole vectors in double
     precision decides. A cell of many members is split by AQE, its links are the result itself and come in pairs.
     """
@@ -119,7 +120,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_column: str = "v
     sound &= F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.when(sound, vector).alias("vector"))
     real = rows.where("vector is not null and id is not null")
-    reps = staged(real.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    reps = real.groupBy("vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    reps = staged(reps.withColumn("id", F.monotonically_increasing_id()))
     keyed = staged(hashed(reps, tables, probes, scale))
     per_table = keyed.select("id", F.explode("cells").alias("cells"))
     entered = per_table.select(F.col("id").alias("a"), F.get("cells", F.lit(0)).alias("cell"))
@@ -148,8 +150,8 @@ def vector_components(vectors: DataFrame, threshold: float = 0.9, id_column: str
     """(id, n_links, component): how many other vectors each links to directly, and the smallest id that links lead to.
 
     Vectors that are null, empty or zero, or hold a null or a number that is not finite, link with nothing, nor do vectors
-    of different lengths; a null id is alone. Copies of a vector link with each other and with all that it links to. An
-    empty table gives an empty result. Other columns are left out.
+    of different lengths; a null id is alone. Copies of a vector link with each other and with all that it links to, repeated rows
+    among them; rows that share an id are told apart by their vectors. An empty table gives an empty result. Other columns are left out.
     """
     rows, reps, links = near_vectors(vectors, threshold, id_column, vector_column, **index)
     copies = reps.select(F.col("id").alias("of"), "copies")
@@ -157,9 +159,12 @@ def vector_components(vectors: DataFrame, threshold: float = 0.9, id_column: str
     linked = both.join(copies, F.col("b") == F.col("of")).groupBy("a").agg(F.sum("copies").alias("n"))
     found = connected_components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
     known = reps.join(linked, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("node"), "left")
-    known = known.select(F.col("vector").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    known = known.select("vector", "least", "copies", "n", F.coalesce("component", "id").alias("component"))
+    smallest = known.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("smallest"))
+    known = known.join(smallest, F.col("component") == F.col("of"))
+    known = known.select(F.col("vector").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "smallest")
     out = rows.join(known, (F.col("vector") == F.col("v")) & F.col("id").isNotNull(), "left")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "id").alias("component"))
 
 
 def op7_lattice_near_dup(spark, sf_dir):
