@@ -16,9 +16,12 @@ Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
 TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
 
 
-def first_of(rows: DataFrame, keys: list[str], order: list[Column], flag: str) -> DataFrame:
-    """rows with a boolean: whether it is the first of its keys."""
-    return rows.withColumn(flag, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+def first_of(rows: DataFrame, order: list[str], flag: str) -> DataFrame:
+    """rows with a boolean: whether it is the first of its conversation and identifier. Rows without an identifier, which may be a large
+    part of a conversation, are first of nothing and dealt by their content, so that they are not gathered."""
+    apart = F.when(F.col("call_id").isNull(), F.xxhash64(*order))
+    place = F.row_number().over(Window.partitionBy("conv_id", "call_id", apart).orderBy(F.col(order[0]).asc_nulls_last(), *order[1:]))
+    return rows.withColumn(flag, F.col("call_id").isNotNull() & (place == 1))
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -77,17 +80,17 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
 
     status: ok; no_result; early_result (its turn is not after the call's); duplicate_call (not the first of its identifier by
     turn, arguments and name; takes no result); orphan_result (no such call, or not the first result of its call). Errors are those
-    of argument_errors, and unknown_parent and circle. A null identifier links with nothing: its call has no result, its
+    of argument_errors, and unknown_parent and circle. Arguments that are not JSON stand in the message as they are, under
+    raw_arguments. A null identifier links with nothing: its call has no result, its
     result is an orphan. A null conversation is one like others; null arguments, names or contents are checked or kept as
     such. Equal rows are duplicates of each other. Empty tables give an empty result; other columns are left out. No
     conversation is gathered in a task: ranks come from a range partitioning of all rows.
     """
     calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "parent_id")
     results = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content")
-    calls = first_of(calls, ["conv_id", "call_id"], [F.col("turn").asc_nulls_last(), F.col("arguments"), F.col("name"), F.col("parent_id")], "is_call")
-    calls = staged(calls.withColumn("is_call", F.col("is_call") & F.col("call_id").isNotNull()))
-    results = first_of(results, ["conv_id", "call_id"], [F.col("result_turn").asc_nulls_last(), F.col("content")], "is_result")
-    real, named = calls.where("is_call"), results.where("is_result and call_id is not null")
+    calls = staged(first_of(calls, ["turn", "arguments", "name", "parent_id"], "is_call"))
+    results = staged(first_of(results, ["result_turn", "content"], "is_result"))
+    real, named = calls.where("is_call"), results.where("is_result")
     deep = depths(real).select(F.col("conv_id").alias("dc"), F.col("call_id").alias("di"), "depth")
     parents = real.select(F.col("conv_id").alias("pc"), F.col("call_id").alias("pi"))
     taken = named.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), "result_turn", "content")
@@ -101,13 +104,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     more = F.array_compact(F.array(F.when(F.col("parent_id").isNotNull() & F.col("pi").isNull(), F.lit("unknown_parent")), F.when(F.col("is_call") & F.col("depth").isNull(), F.lit("circle"))))
     linked = linked.withColumn("parsed", parsed).select(
         "conv_id", "call_id", "turn", "name", "depth", status.alias("status"), F.concat(argument_errors(F.col("name"), F.col("parsed"), schemas), more).alias("errors"),
-        F.to_json("parsed").alias("arguments"), "content", F.lit(0).alias("kind"),
+        F.to_json("parsed").alias("arguments"), F.when(F.col("parsed").isNull(), F.col("arguments")).alias("raw"), "content", F.lit(0).alias("kind"),
     )
     known = real.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"))
     orphans = results.join(known, pair("rc", "ri") & F.col("is_result"), "left").where("ri is null")
     none = F.lit(None)
-    orphans = orphans.select("conv_id", "call_id", F.col("result_turn").alias("turn"), none.cast("string").alias("name"), none.cast("long").alias("depth"), F.lit("orphan_result").alias("status"), F.array().cast("array<string>").alias("errors"), none.cast("string").alias("arguments"), "content", F.lit(1).alias("kind"))
-    order = [F.col("conv_id"), F.col("kind"), F.col("depth").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("call_id"), F.col("arguments"), F.col("content")]
+    orphans = orphans.select("conv_id", "call_id", F.col("result_turn").alias("turn"), none.cast("string").alias("name"), none.cast("long").alias("depth"), F.lit("orphan_result").alias("status"), F.array().cast("array<string>").alias("errors"), none.cast("string").alias("arguments"), none.cast("string").alias("raw"), "content", F.lit(1).alias("kind"))
+    order = [F.col("conv_id"), F.col("kind"), F.col("depth").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("call_id"), F.col("arguments"), F.col("raw"), F.col("content")]
     ranked = global_rank(linked.unionByName(orphans), order)
     starts = ranked.groupBy("conv_id").agg(F.min("rank").alias("start")).select(F.col("conv_id").alias("sc"), "start")
     placed = ranked.join(starts, F.col("conv_id").eqNullSafe(F.col("sc"))).withColumn("seq", F.col("rank") - F.col("start"))
@@ -126,6 +129,7 @@ def canonical() -> Column:
         "call_id": quoted("call_id"),
         "errors": F.when(F.size("errors") > 0, F.to_json("errors")),
         "name": quoted("name"),
+        "raw_arguments": quoted("raw"),
         "result": quoted("content"),
         "seq": F.col("seq").cast("string"),
         "status": quoted("status"),

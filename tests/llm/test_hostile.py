@@ -80,6 +80,7 @@ def test_tool_calls_with_clashing_columns(spark):
     calls = spark.createDataFrame([(1, "a", 0, "t", "{}", None), (1, None, 1, "t", "{", "a"), (None, "a", 2, None, None, None), (1, "a", 0, "t", "{}", None)], "conv_id long, call_id string, turn int, name string, arguments string, parent_id string")
     results = spark.createDataFrame([(1, "a", 3, LONG), (1, None, 4, "x"), (1, "a", 3, LONG)], "conv_id long, call_id string, turn int, content string")
     out = tool_calls.link_tool_calls(clashing(calls), clashing(results), {"t": {}}).collect()
+    assert [r["message"] for r in out if '"raw_arguments":"{"' in r["message"]] and all('"raw_arguments"' not in r["message"] for r in out if r["call_id"] == "a")
     assert sorted(r["status"] for r in out) == ["duplicate_call", "no_result", "no_result", "ok", "orphan_result", "orphan_result"]
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), {}).count() == 0
 
