@@ -233,9 +233,11 @@ def anchor_rows(kind: Kind, buckets: int) -> Callable:
 
 
 def find_shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: (tag, id, blob): tag 1, anchors of id that are shared; tag 2, a hot anchor and, as id, in how many documents it is."""
+    """Of one bucket: (tag, id, anchor, blob): tag 1, an anchor of id that is shared, or several packed; tag 2, a hot anchor and, as id, in how
+    many documents it is. A row for each shared anchor, not for each document and bucket, as there are as many whatever the buckets."""
     tags = table.column("tag").to_numpy()
     passed = table.select(["tag", "id", "blob"]).filter(pa.array(tags == 1))
+    passed = passed.add_column(2, "anchor", pa.nulls(passed.num_rows, pa.int64()))
     ids, counts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     for blob in table.column("blob").filter(pa.array(tags == 0)):
         blob = memoryview(blob.as_buffer())
@@ -254,22 +256,21 @@ def find_shared(table: pa.Table) -> pa.Table:
     documents = np.add.reduceat(c, head) if len(head) else batches
     x = np.flatnonzero(np.repeat(batches > 1, batches))
     x = x[np.argsort(i[x], kind="stable")]
-    edge = np.append(runs(i[x]), len(x))
-    out = pa.table({"tag": pa.array(np.full(len(edge) - 1, 1), pa.int32()), "id": pa.array(i[x[edge[:-1]]]), "blob": binary_column(bytes40(h[x]), 5 * edge)})
     hot = np.flatnonzero(documents >= HOT_LEAST)
-    hot = pa.table({"tag": pa.array(np.full(len(hot), 2), pa.int32()), "id": pa.array(documents[hot]), "blob": binary_column(bytes40(h[head[hot]]), 5 * np.arange(len(hot) + 1))})
+    out, hot = (pa.table({"tag": pa.array(np.full(len(n), tag), pa.int32()), "id": pa.array(n), "anchor": pa.array(at.view(np.int64)), "blob": pa.nulls(len(n), pa.binary())}) for tag, n, at in ((1, i[x], h[x]), (2, documents[hot], h[head[hot]])))
     return pa.concat_tables([passed, out, hot])
 
 
 def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
-    """mapInArrow over (uid, bytes, shared anchors array<binary>, id): (key, uid, id, spans, blob). With blob: fragments for bucket key. Without:
+    """mapInArrow over (uid, bytes, shared anchors array<long>, more of them packed array<binary>, id): (key, uid, id, spans, blob). With blob: fragments for bucket key. Without:
     windows of one document (starts and lengths of runs) that the slice itself has found repeated; the document chooses the bucket, which only
     passes them on."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, data, offsets = text_columns(batch)
-            known, own = np.unique(unpack_lists(batch.column(2).flatten())), batch.column(3).to_numpy(zero_copy_only=False)
+            single = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+            known, own = np.unique(np.concatenate([single, unpack_lists(batch.column(3).flatten())])), batch.column(4).to_numpy(zero_copy_only=False)
             parts = []
             for piece in pieces(data, offsets, kind):
                 start, document, at, h = anchors(piece, kind)
@@ -521,11 +522,11 @@ def repeated_windows(docs: DataFrame, kind: Kind, finder: Finder, id_column: str
     # Texts too short for a window have none; of words this tells only what is certain.
     narrow = narrow.where(F.length("text") >= (2 * kind.width - 1 if kind.words else kind.width))
     marked = narrow.select("uid", "text").mapInArrow(anchor_rows(kind, buckets), "key int, tag int, id long, blob binary")
-    shared = staged(marked.groupBy("key").applyInArrow(find_shared, "tag int, id long, blob binary"))
-    hottest = shared.where("tag = 2").orderBy(F.col("id").desc(), "blob").limit(HOT_MOST).select("blob").collect()
-    hot = np.unique(unpack40(b"".join(bytes(r["blob"]) for r in hottest)))
-    lists = shared.where("tag = 1").groupBy(F.col("id").alias("of")).agg(F.collect_list("blob").alias("shared"))
-    marked_docs = narrow.join(lists, F.col("uid") == F.col("of")).select("uid", "text", "shared", "id")
+    shared = staged(marked.groupBy("key").applyInArrow(find_shared, "tag int, id long, anchor long, blob binary"))
+    hottest = shared.where("tag = 2").orderBy(F.col("id").desc(), "anchor").limit(HOT_MOST).select("anchor").collect()
+    hot = np.unique(np.array([r["anchor"] for r in hottest], U64))
+    lists = shared.where("tag = 1").groupBy(F.col("id").alias("of")).agg(F.collect_list("anchor").alias("shared"), F.collect_list("blob").alias("packed"))
+    marked_docs = narrow.join(lists, F.col("uid") == F.col("of")).select("uid", "text", "shared", "packed", "id")
     moved = marked_docs.mapInArrow(fragment_rows(kind, buckets, hot), "key int, uid long, id long, spans binary, blob binary")
     spans = staged(moved.groupBy("key").applyInArrow(resolve_bucket(kind, finder), "uid long, id long, run long"))
     discard(shared)

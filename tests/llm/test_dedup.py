@@ -180,8 +180,8 @@ def test_what_a_batch_knows_of_copies_is_short_and_spread(kind):
     (marked,) = repeats.anchor_rows(kind, buckets)([pa.RecordBatch.from_arrays([pa.array(uids), texts], names=["uid", "text"])])
     rows = [r for r in marked.to_pylist() if r["tag"] == 1]
     assert {r["id"] for r in rows} == set(uids.tolist()) and pd.Series([r["key"] for r in rows]).value_counts().max() < 20
-    shared = pa.array([[r["blob"]] for r in rows[:1]] + [[]] * 199, pa.list_(pa.binary()))
-    moved = repeats.fragment_rows(kind, buckets, np.zeros(0, np.uint64))([pa.RecordBatch.from_arrays([pa.array(uids), texts, shared, ids], names=["uid", "text", "shared", "id"])])
+    packed, none = pa.array([[r["blob"]] for r in rows[:1]] + [[]] * 199, pa.list_(pa.binary())), pa.array([[]] * 200, pa.list_(pa.int64()))
+    moved = repeats.fragment_rows(kind, buckets, np.zeros(0, np.uint64))([pa.RecordBatch.from_arrays([pa.array(uids), texts, none, packed, ids], names=["uid", "text", "shared", "packed", "id"])])
     rows = [r for batch in moved for r in batch.to_pylist() if r["spans"] is not None]
     n = (400 if kind.words else len(text)) - kind.width + 1
     assert {r["id"] for r in rows} == set(range(kind.earlier, 200)) and pd.Series([r["key"] for r in rows]).value_counts().max() < 20
