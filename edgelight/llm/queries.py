@@ -72,5 +72,74 @@ SELECT conv_id, call_id, turn, name, depth::BIGINT AS depth, seq::BIGINT AS seq,
 FROM placed
 """
 
-#: The other operators hash, sample, pack or learn, or are exact but slow in SQL on whole tables: tests/llm hold them to brute force.
-ORACLE_SQL: dict[str, str] = {"op1_tool_call_links": TOOL_CALLS}
+#: What op3 does: each byte as two hexadecimal digits, cut into pieces so that a string of 50 bytes is taken from a short text.
+SUFFIX_ARRAY = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT doc_id, unnest(range(0, strlen(h) // 2, 512)) AS base, h FROM docs
+), cut AS (
+  SELECT doc_id, base, substring(h, 2 * base + 1, 2 * (512 + 49)) AS piece, least(512, strlen(h) // 2 - base) AS n FROM pieces
+), places AS (
+  SELECT doc_id, base, piece, unnest(range(n)) AS i FROM cut
+), bytes AS (
+  SELECT doc_id, base + i AS pos, substring(piece, 2 * i + 1, 2) AS byte, substring(piece, 2 * i + 1, 100) AS string FROM places
+), earlier AS (
+  SELECT doc_id, pos, byte, CASE WHEN strlen(string) = 100 AND min(doc_id) OVER (PARTITION BY string) < doc_id THEN 1 ELSE 0 END AS starts FROM bytes
+), covered AS (
+  SELECT doc_id, pos, byte, max(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM earlier
+), edges AS (
+  SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 THEN 1 ELSE 0 END AS opens FROM covered
+), counted AS (
+  SELECT doc_id, sum(gone) AS n_removed, sum(opens) AS n_spans, string_agg(byte, '' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM edges GROUP BY doc_id
+)
+SELECT d.doc_id, (strlen(d.h) // 2)::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(c.kept, ''))) AS kept_sha256
+FROM docs d LEFT JOIN counted c ON c.doc_id = d.doc_id
+"""
+
+#: What op4 does. Equal sets are linked through the smallest of them; the others by counting what they share.
+NEAR_DUP = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs
+), alike AS (
+  SELECT *, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS first FROM sets
+), shingles AS (
+  SELECT doc_id AS first, len(s) AS n, unnest(s) AS shingle FROM alike WHERE doc_id = first
+), near AS (
+  SELECT a.first AS a, b.first AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.first < b.first AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.first, b.first HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), links AS (
+  SELECT a, b FROM near UNION SELECT b, a FROM near
+), reach AS (
+  SELECT DISTINCT first AS a, first AS b FROM alike UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), components AS (
+  SELECT a, min(b) AS component FROM reach GROUP BY a
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component AS component_id, doc_id = component AS kept FROM alike JOIN components ON first = a
+"""
+
+#: What op5 does: each window as its words, joined by spaces.
+SUFFIX_TREE = """
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos, len(w) AS n FROM docs
+), windows AS (
+  SELECT doc_id, word, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS said FROM words
+), twice AS (
+  SELECT doc_id, word, pos, CASE WHEN pos + 35 <= n AND count(*) FILTER (WHERE pos + 35 <= n) OVER (PARTITION BY said) > 1 THEN 1 ELSE 0 END AS starts FROM windows
+), covered AS (
+  SELECT doc_id, word, pos, max(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM twice
+), counted AS (
+  SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN counted c ON c.doc_id = d.doc_id
+"""
+
+#: The other operators hash, sample, pack, learn or search approximately: tests/llm hold them to brute force, an exact round trip or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {"op1_tool_call_links": TOOL_CALLS, "op3_suffix_array_dedup": SUFFIX_ARRAY, "op4_odd_sketch_near_dup": NEAR_DUP, "op5_suffix_tree_dedup": SUFFIX_TREE}
