@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from typing import TYPE_CHECKING, Any
 
+from ..functions.text import read_number
 from ..operators import metrics, quality
 from ..operators.canonical import NUMERIC, SAMPLE
 from ..operators.charts import fixed, half_up
@@ -55,6 +56,40 @@ def number(x: float | None) -> Any:
     return int(x) if x == int(x) and abs(x) < 1e15 else x
 
 
+def _read(value: Any) -> float | None:
+    return None if value is None else read_number(value)
+
+
+def _or_zero(value: Any) -> float:
+    x = read_number(value)
+    return 0.0 if math.isnan(x) else x
+
+
+def figures(found: dict[str, Any] | None) -> dict[str, float | None] | None:
+    """The key figures of a report's JSON as numbers, as a reader that trusts no type takes them: what is missing is none, but requests are 0."""
+    if not found:
+        return None
+    return {"totalRequests": _or_zero(found.get("totalRequests")), **{n: _read(found.get(n)) for n in ("p95TtmsMs", "p99TtmsMs", "error5xxCount", "errorRatePct")}}
+
+
+def series(found: dict[str, Any] | None) -> dict[str, Any] | None:
+    """The series of a report's JSON in the same way; points without a time are left out."""
+    read = (found or {}).get("timeseries")
+    if not read:
+        return None
+    points = read.get("points")
+    counts, latencies = ("totalRequests", "error5xxCount", "errorRatePct"), ("p95TtmsMs", "p99TtmsMs")
+    return {
+        "bucketSeconds": _read(read.get("bucketSeconds")),
+        **{n: str(read[n]) if read.get(n) else None for n in ("startTs", "endTs")},
+        "points": [
+            {"ts": str(p["ts"]), **{n: _or_zero(p.get(n)) for n in counts}, **{n: _read(p.get(n)) for n in latencies}}
+            for p in (points if isinstance(points, list) else [])
+            if p.get("ts")
+        ],
+    }
+
+
 def filters_text(filters: tuple[Any, ...]) -> str:
     parts = []
     for item in filters:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions import text, times
 from .operators import charts, metrics, quality, window
+from .operators.canonical import canonicalize, normalized
 from .plans.request import TriageRequest, parse_chat, parse_command
 from .plans.triage import Triage
+from .sources.csv import read_text
 from .sources.events import raw_logs
 
 DAY, MONTH = 1440, 43200
@@ -209,15 +211,81 @@ def metrics_json(s, d):
     return _lines(s, json.dumps(triage(s, d, DAY).report().metrics, indent=1))
 
 
-@query("command_parse")
+def given(columns: str, *rows: str) -> str:
+    """SQL that returns rows worked out by hand."""
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})"
+
+
+@query(
+    "command_parse",
+    given(
+        "command, service, region, pop, minutes, filters, debug",
+        """('service=vod region=usw2 window=2h edge_status=5xx', 'vod', 'usw2', 'all', 120::DOUBLE, '[{"key": "edge_status", "type": "range", "min": 500, "max": 599}]', FALSE)""",
+        """('crc=TCP_HIT|TCP_MISS,pop=sjc debug', 'all', 'all', 'sjc', 60, '[{"key": "crc", "type": "in", "values": ["TCP_HIT", "TCP_MISS"]}]', TRUE)""",
+        """('window=9d edge_status=404x crc_class=Error', 'all', 'all', 'all', 240, '[{"key": "edge_status", "type": "eq", "value": 404}, {"key": "crc_class", "type": "eq", "value": "error"}]', FALSE)""",
+        """('delivery_service=LIVE service= window=x debug=off crc=,edge_status=x', 'all', 'all', 'all', 60, '[]', FALSE)""",
+    ),
+)
 def command_parse(s, d):
-    commands = ["service=vod region=usw2 window=2h edge_status=5xx", "crc=TCP_HIT|TCP_MISS,pop=sjc debug", "window=9d edge_status=404x crc_class=Error"]
+    commands = ["service=vod region=usw2 window=2h edge_status=5xx", "crc=TCP_HIT|TCP_MISS,pop=sjc debug", "window=9d edge_status=404x crc_class=Error", "delivery_service=LIVE service= window=x debug=off crc=,edge_status=x"]
     rows = [(c, r.service, r.region, r.pop, float(r.window_minutes), json.dumps(r.filters), r.debug) for c in commands for r in [parse_command(c)]]
     return s.createDataFrame(rows, "command string, service string, region string, pop string, minutes double, filters string, debug boolean")
 
 
-@query("chat_parse")
+TRY = "chr(10) || chr(10) || 'Try:' || chr(10) || 'service=vod region=usw2 pop=sjc win=60'"
+
+
+@query(
+    "chat_parse",
+    given(
+        "message, answer, service, minutes",
+        f"('hello there', 'Hey! 👋 I can triage CDN logs.' || {TRY}, NULL, NULL::DOUBLE)",
+        f"('what is this', 'I didn''t see filters yet.' || {TRY}, NULL, NULL)",
+        "('svc = vod win=30', '', 'vod', 30)",
+        f"('region=mars pop=sjc', 'I couldn’t run that because some values are invalid:' || chr(10) || '- region=mars (allowed: all|use1|usw2|usw1|euw1|apse1)' || {TRY}, NULL, NULL)",
+        f"('hi service=vod', 'Hey! 👋 I can triage CDN logs.' || {TRY}, NULL, NULL)",
+    ),
+)
 def chat_parse(s, d):
     said = ["hello there", "what is this", "svc = vod win=30", "region=mars pop=sjc", "hi service=vod"]
     rows = [(m, r.answer, r.request.service if r.request else None, float(r.request.window_minutes) if r.request else None) for m in said for r in [parse_chat(m)]]
     return s.createDataFrame(rows, "message string, answer string, service string, minutes double")
+
+
+#: Lines with quotes, commas in quotes, a blank line, short and long rows, an open quote, and several columns for status and latency.
+CSV = """ts,"delivery_service",url,crc,status,http_status,ttms,time_to_first_byte,note
+2024-01-01T00:00:00Z, Live ,https://edge-use1-iad.cdn.example.com/a,tcp_hit,,502,"12.5",99,"a, ""b"" c"
+
+2024-01-01T00:01:00Z,VOD,https://other.example.com/x,err_dns_fail,404,500,,7
+bad,,,,x,503,abc,8,"open, to the end
+2024-01-01T00:02:00Z,"li""ve",,TCP_MISS,0x10,,1e2,,z,more,cells"""
+
+
+@query(
+    "csv_rows",
+    given(
+        "row_id, ts_ms, service, region, pop, crc, crc_class, edge_status, ttms_ms, note",
+        """(1::BIGINT, 1704067200000::BIGINT, 'live', 'use1', 'iad', 'TCP_HIT', 'hit', '502.0', '12.5', 'a, "b" c')""",
+        "(3, 1704067260000, 'vod', 'unknown', 'unknown', 'ERR_DNS_FAIL', 'error', '404.0', '7.0', '')",
+        "(4, NULL, 'unknown', 'unknown', 'unknown', 'UNKNOWN', 'unknown', 'NaN', 'NaN', 'open, to the end')",
+        """(5, 1704067320000, 'li"ve', 'unknown', 'unknown', 'TCP_MISS', 'miss', '16.0', '100.0', 'z')""",
+    ),
+)
+def csv_rows(s, d):
+    logs = canonicalize(read_text(s, CSV))
+    numbers = [F.col(c).cast("string").alias(c) for c in ("edge_status", "ttms_ms")]
+    return logs.frame.select("row_id", "ts_ms", "service", "region", "pop", "crc", "crc_class", *numbers, F.col(logs.others["note"]).alias("note"))
+
+
+@query(
+    "csv_normalized",
+    given(
+        "row_id, ts, service, status, ttms, crc",
+        "(1::BIGINT, 1704067200000::BIGINT, 'unknown', '0.0', '12.5', 'tcp_hit')",
+        "(3, 1704067260000, 'unknown', '404.0', '0.0', 'err_dns_fail')",
+        "(4, NULL, 'unknown', 'NaN', 'NaN', '')",
+        "(5, 1704067320000, 'unknown', '16.0', '100.0', 'TCP_MISS')",
+    ),
+)
+def csv_normalized(s, d):
+    return normalized(read_text(s, CSV)).select("row_id", "ts", "service", F.col("status").cast("string").alias("status"), F.col("ttms").cast("string").alias("ttms"), "crc")

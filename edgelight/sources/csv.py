@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import SparkFiles
+import re
+from collections.abc import Iterator
+from itertools import islice
+from urllib.request import urlopen
+
+from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +19,12 @@ from ..operators.canonical import Raw
 CELL = r'((?:[^",]|"[^"]*(?:"|$))*)(?:,|$)'
 
 
+NO_ROWS = "Parsed 0 rows from CSV. Check delimiter/quotes/header line."
+#: Files whose names and places are sent to all executors; with more the lines are joined with them by a shuffle.
+MOST_BROADCAST_FILES = 100_000
+FETCH_SECONDS, LINES_AT_ONCE = 60, 10_000
+
+
 class InputError(ValueError):
     """An input that cannot be triaged; the message is for the user."""
 
@@ -29,33 +41,53 @@ def cells(line: Column) -> Column:
     return F.transform(raw, clean)
 
 
-def _rows(lines: DataFrame) -> Raw:
-    """lines: row_id and line. The first line that is not blank is the header; of columns with one name the last counts."""
-    lines = lines.withColumn("line", F.regexp_replace("line", "\r$", "")).where(text.filled(F.col("line")))
-    first = lines.orderBy("row_id").limit(1).select("row_id", cells(text.trim(F.col("line"))).alias("names")).first()
-    if first is None:
-        raise InputError("Parsed 0 rows from CSV. Check delimiter/quotes/header line.")
-    names = list(first["names"])
+def _tidy(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("line", F.regexp_replace("line", "\r$", ""))
+
+
+def _table(body: DataFrame, header: str) -> Raw:
+    """body: row_id and line, without the header. Blank lines are no rows; of columns with one name the last counts."""
+    names = list(body.sparkSession.range(1).select(cells(text.trim(F.lit(header))).alias("names")).first()["names"])
     if names and names[-1] == "":  # the pattern also matches the empty rest of a line
         names.pop()
     columns = {name: f"c{i}" for i, name in enumerate(names)}
-    body = lines.where(F.col("row_id") > first["row_id"]).select("row_id", cells(F.col("line")).alias("cells"))
+    body = body.where(text.filled(F.col("line"))).select("row_id", cells(F.col("line")).alias("cells"))
     used = sorted({int(c[1:]) for c in columns.values()})
     frame = body.select("row_id", *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in used])
     return Raw(frame, columns)
 
 
+def _rows(lines: DataFrame) -> Raw:
+    """lines: row_id and line, in order from partition to partition. The first that is not blank is the header; only the partitions up to it are read for that."""
+    lines = _tidy(lines)
+    first = lines.where(text.filled(F.col("line"))).select("row_id", "line").first()
+    if first is None:
+        raise InputError(NO_ROWS)
+    return _table(lines.where(F.col("row_id") > first["row_id"]), first["line"])
+
+
 def read_csv(spark: SparkSession, path: str) -> Raw:
-    """A CSV file or folder of any file system that Spark reads; row_id follows the order of lines (of files by name)."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"))
-    files = [r["file"] for r in lines.select("file").distinct().orderBy("file").collect()]
-    if len(files) > 1:  # a header per file is one too many: the later ones are dropped
-        rank = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("file")) - 1
-        lines = lines.withColumn("at", F.shiftleft(rank.cast("long"), 48).bitwiseOR(F.col("at")))
-        heads = lines.groupBy("file").agg(F.min("at").alias("head"))
-        later = heads.where(~F.col("file").endswith(files[0])).select(F.col("head").alias("dropped"))
-        lines = lines.join(F.broadcast(later), F.col("at") == F.col("dropped"), "left_anti")
-    return _rows(lines.select(F.col("at").alias("row_id"), "line"))
+    """A CSV file or folder of any file system that Spark reads; row_id follows the order of lines (of files by name).
+
+    Each file of a folder has a header, its first line that is not blank; the first file's names the columns.
+    """
+    found = spark.read.option("lineSep", "\n").text(path)
+    lines = _tidy(found.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file")))
+    if len(found.inputFiles()) < 2:
+        return _rows(lines.select(F.col("at").alias("row_id"), "line"))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    said = F.when(text.filled(F.col("line")), F.col("at"))
+    ends = lines.groupBy("file").agg(F.max(part).alias("part"), F.max(place).alias("place"), F.min(said).alias("head"), F.min_by("line", said).alias("header"))
+    files = sorted(ends.collect())  # a row for each file, as the driver's own list of files has
+    header = next((f["header"] for f in files if f["header"] is not None), None)
+    if header is None:
+        raise InputError(NO_ROWS)
+    parts, places = (max(f[c] for f in files) + 1 for c in ("part", "place"))
+    if len(files) * parts * places >= 1 << 63:
+        raise InputError("Too many files and lines to number; read fewer files at a time.")
+    ranks = spark.createDataFrame([(f["file"], i, f["head"]) for i, f in enumerate(files)], "file string, rank long, head long")
+    lines = lines.join(F.broadcast(ranks) if len(files) <= MOST_BROADCAST_FILES else ranks, "file").where("head is null or at <> head")
+    return _table(lines.select(((F.col("rank") * parts + part) * places + place).alias("row_id"), "line"), header)
 
 
 def read_text(spark: SparkSession, csv_text: str) -> Raw:
@@ -66,13 +98,31 @@ def read_text(spark: SparkSession, csv_text: str) -> Raw:
     return _rows(spark.createDataFrame(list(enumerate(lines)), "row_id long, line string"))
 
 
+def _fetched(batches: Iterator) -> Iterator:
+    """Lines of the addresses in a batch, a bounded number at a time, so that no task holds a whole answer."""
+    import pandas as pd
+
+    for batch in batches:
+        for url in batch["url"]:
+            with urlopen(url, timeout=FETCH_SECONDS) as answer:
+                lines = enumerate(line.decode("utf-8-sig" if i == 0 else "utf-8", "replace").rstrip("\n") for i, line in enumerate(answer))
+                while some := list(islice(lines, LINES_AT_ONCE)):
+                    yield pd.DataFrame(some, columns=["row_id", "line"])
+
+
 def read_url(spark: SparkSession, url: str) -> Raw:
-    """CSV over HTTP: the file is added to the session, so that executors get it as well."""
+    """CSV over HTTP, fetched by one task, as one answer comes in one stream, and kept in the executors' cache; a lost executor's part is fetched again.
+
+    The answer's lines pass neither the driver nor a local file.
+    """
+    lines = spark.createDataFrame([(url,)], "url string").coalesce(1).mapInPandas(_fetched, "row_id long, line string").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        spark.sparkContext.addFile(url)
-    except Exception as error:
-        raise InputError(f"Failed to fetch csvUrl ({error})") from error
-    return read_csv(spark, "file://" + SparkFiles.get(url.rsplit("/", 1)[-1].split("?")[0]))
+        lines.count()
+    except PySparkException as error:
+        lines.unpersist()
+        reason = re.search(r"(?:HTTPError|URLError|ValueError|TimeoutError|OSError): .*", str(error))
+        raise InputError(f"Failed to fetch csvUrl ({reason[0] if reason else type(error).__name__})") from error
+    return _rows(lines)
 
 
 def raw_table(frame: DataFrame, row_id: str) -> Raw:

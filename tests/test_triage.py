@@ -1,16 +1,19 @@
 import json
 import math
+from functools import partial
+from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import pytest
 
 from edgelight.operators import charts, metrics, quality
 from edgelight.operators.canonical import canonicalize, normalized
 from edgelight.operators.filters import restrict
-from edgelight.plans.report import failure
+from edgelight.plans.report import failure, figures, series
 from edgelight.plans.request import TriageRequest
 from edgelight.plans.triage import Triage
 from edgelight.sources import history
-from edgelight.sources.csv import InputError, read_csv, read_text
+from edgelight.sources.csv import InputError, read_csv, read_text, read_url
 
 HEAD = "ts,delivery_service,url,crc,edge_status,ttms_ms,edge_cache_hit\n"
 
@@ -120,6 +123,43 @@ def test_csv_shapes(spark, tmp_path):
     assert [tuple(r) for r in got] == [("2024-01-01T00:00:00Z", "vod", "2"), ("2024-01-01T00:00:01Z", "", "")]
 
 
+def test_csv_folder(spark, tmp_path):
+    for name, lines in {"a": "\n \nts,service\n1,x\n\n2,y\n", "b": "\n\nservice,ts\n3,z\n", "c": "\n", "d": "ts,service"}.items():
+        (tmp_path / f"{name}.csv").write_text(lines)
+    raw = read_csv(spark, str(tmp_path))
+    got = raw.frame.orderBy("row_id").select("row_id", raw.cell("ts"), raw.cell("service")).collect()
+    assert [tuple(r)[1:] for r in got] == [("1", "x"), ("2", "y"), ("3", "z")] and len({r["row_id"] for r in got}) == 3
+
+
+def test_csv_folder_of_blank_files(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("\n \n")
+    with pytest.raises(InputError, match="Parsed 0 rows"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_csv_over_http(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes("﻿ts,service\r\n2024-01-01T00:00:00Z,vod\r\n".encode())
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        raw = read_url(spark, f"{at}/x.csv")
+        assert [tuple(r) for r in raw.frame.select(raw.cell("ts"), raw.cell("service")).collect()] == [("2024-01-01T00:00:00Z", "vod")]
+        with pytest.raises(InputError, match="Failed to fetch csvUrl.*404"):
+            read_url(spark, f"{at}/none.csv")
+    finally:
+        server.shutdown()
+
+
+def test_figures_of_a_report():
+    assert figures(None) is None and series({"timeseries": None}) is None
+    assert figures({"totalRequests": "12", "p95TtmsMs": "7.5", "error5xxCount": 0}) == {"totalRequests": 12, "p95TtmsMs": 7.5, "p99TtmsMs": None, "error5xxCount": 0, "errorRatePct": None}
+    read = series({"timeseries": {"bucketSeconds": "60", "startTs": "", "points": [{"ts": "a", "totalRequests": "x", "p95TtmsMs": "3"}, {"ts": ""}]}})
+    assert read == {"bucketSeconds": 60, "startTs": None, "endTs": None, "points": [{"ts": "a", "totalRequests": 0, "error5xxCount": 0, "errorRatePct": 0, "p95TtmsMs": 3, "p99TtmsMs": None}]}
+    assert series({"timeseries": {"points": "no list"}})["points"] == []
+
+
 @pytest.mark.parametrize("csv,message", [("", "No CSV text"), ("ts,service", "Parsed 0 rows"), ("\n \n", "Parsed 0 rows"), ("ts,service\nx,vod", "No valid timestamps")])
 def test_inputs_that_cannot_be_triaged(spark, csv, message):
     with pytest.raises(InputError, match=message) as error:
