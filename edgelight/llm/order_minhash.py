@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import documents, free_column
 
-#: Words in a k-mer, tuples in a fingerprint, k-mers in a tuple, hexadecimal digits per tuple.
+#: Words in a k-mer, tuples in a fingerprint (one ordering each), k-mers in a tuple, hexadecimal digits per tuple.
 K, TUPLES, MEMBERS, DIGITS = 4, 64, 2, 6
-#: Low bits of a sorted k-mer that hold its position, so at most 2^28 words in a text; bits of a hash that choose among k-mers.
-POSITION_BITS, RANK_BITS = 28, 28
+#: Low bits of a ranked k-mer that hold its position, as many as an array can have; the other 33 are its rank.
+POSITION_BITS = 31
+#: High bits of a rank that say after which of the TUPLES starting points of the orderings it lies.
+ARC_BITS = 6
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,67 +37,59 @@ def kmers(text: Column, k: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), grams)
 
 
-def occurrences(ordered: Column) -> Column:
-    """For k-mers sorted by hash and position, (hash with its occurrence number mixed in) and position, packed for tuples.
+def where_new(array: Column, value: Callable[[Column], Column]) -> Column:
+    """The indices at which value differs from that of the element before, the first among them."""
+    indices = F.transform(array, lambda x, i: F.when((i == 0) | (value(x) != value(at(array, i - 1))), i))
+    return F.filter(indices, lambda i: i.isNotNull())
 
-    Pointers lead from each k-mer to the one before it if that is equal. Replacing each pointer by its target's doubles the
-    distance it spans, so a few rounds reach the first of its run, and the distance there is the occurrence number. Texts
-    without repeats take no round.
-    """
-    high = F.lit(-(1 << POSITION_BITS))
-    same = F.lit(1 << POSITION_BITS)
-
-    def pointers(s: Column) -> Column:
-        def before(x: Column, i: Column) -> Column:
-            apart = x.bitwiseXOR(at(s, i - 1))
-            return F.when((i > 0) & (apart >= 0) & (apart < same), i - 1).otherwise(i)
 
-        return F.transform(s, before)
+def ranked(hashes: Column) -> Column:
+    """For each k-mer a long: 33 bits that its hash and its occurrence number fix together, then its position.
 
-    def settle(p: Column) -> Column:
-        rounds = F.when(F.exists(F.transform(p, lambda x, i: x != i), lambda x: x), F.ceil(F.log2(F.size(p) + F.lit(1)))).otherwise(0).cast("int")
-        jumps = F.sequence(F.lit(0), rounds)  # the first is no jump
-        return F.aggregate(jumps, p, lambda q, n: F.when(n == 0, q).otherwise(F.transform(q, lambda x: at(q, x))))
+    Where k-mers repeat, equal ones stand together once sorted by hash and position, and the distance from the first of its
+    run is the occurrence number.
+    """
 
-    def numbered(s: Column, first: Column) -> Column:
-        subbins = MEMBERS * TUPLES
+    def one(h: Column, number: Column, position: Column) -> Column:
+        return F.xxhash64(h, number).bitwiseAND(F.lit(-(1 << POSITION_BITS)).cast("long")).bitwiseOR(position.cast("long"))
 
-        def entry(x: Column, i: Column) -> Column:
-            position = x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
-            return let(
-                F.xxhash64(x.bitwiseAND(high), i - at(first, i)),
-                lambda v: F.shiftleft(F.pmod(v, F.lit(subbins)), RANK_BITS + POSITION_BITS - 0)
-                .bitwiseOR(F.shiftleft(F.shiftright(v, 20).bitwiseAND(F.lit((1 << RANK_BITS) - 1)), POSITION_BITS))
-                .bitwiseOR(position),
-            )
+    def numbered(s: Column) -> Column:
+        def from_first(firsts: Column) -> Column:
+            runs = F.transform(firsts, lambda f, j: F.array_repeat(f, F.coalesce(at(firsts, j + 1), F.size(s)) - f))
+            return let(F.flatten(runs), lambda first: F.transform(s, lambda x, i: one(x["h"], i - at(first, i), x["p"])))
 
-        return F.transform(s, entry)
+        return let(where_new(s, lambda x: x["h"]), from_first)
 
-    return let(ordered, lambda s: let(settle(pointers(s)), lambda first: numbered(s, first)))
+    several = let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), numbered)
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.transform(hashes, lambda h, i: one(h, F.lit(0), i))).otherwise(several)
 
 
 def fingerprint(text: Column, k: int = K) -> Column:
-    """TUPLES hashes (long; null for a tuple without members) of the tuples that represent the word order of a text.
+    """TUPLES hashes (long; all null for a text without words) of the tuples that represent the word order of a text.
 
-    Each k-mer with its occurrence number has a hash, which says to which of TUPLES * MEMBERS groups it belongs and its rank
-    there. The least of each group is chosen; the MEMBERS chosen for one tuple are put in text order and hashed together. So
-    a tuple of two texts agrees if both choices and their order do.
+    An ordering of the occurrence-numbered k-mers follows their ranks around a circle from a starting point of its own, and
+    there are TUPLES such points at equal distances. In each the MEMBERS smallest k-mers are chosen (all, if there are fewer),
+    put in text order and hashed together. So a tuple of two texts agrees if they choose the same k-mers in the same order.
+    The ranks are sorted once, and what an ordering chooses stands side by side.
     """
-    packed = F.transform(kmers(text, k), lambda x, i: x.bitwiseAND(F.lit(-(1 << POSITION_BITS))).bitwiseOR(i.cast("long")))
-    tuple_shift = RANK_BITS + POSITION_BITS
 
-    def least(b: Column) -> Column:
-        return F.filter(b, lambda x, i: (i == 0) | (F.shiftright(x, tuple_shift) != F.shiftright(at(b, i - 1), tuple_shift)))
+    def arc(x: Column) -> Column:
+        return (F.shiftright(x, 64 - ARC_BITS) + F.lit(TUPLES // 2)).cast("int")
+
+    def tuples(hashes: Column, b: Column) -> Column:
+        def starts(heads: Column) -> Column:
+            up_to = F.transform(heads, lambda i, j: F.array_repeat(i, arc(at(b, i)) - F.coalesce(arc(at(b, at(heads, j - 1))), F.lit(-1))))
+            return F.concat(F.flatten(up_to), F.array_repeat(F.lit(0), F.lit(TUPLES - 1) - arc(at(b, F.size(b) - 1))))
 
-    def tuples(chosen: Column) -> Column:
-        def joined(j: Column) -> Column:
-            members = F.filter(chosen, lambda x: F.shiftright(x, tuple_shift + 1) == j)
-            in_order = F.array_sort(F.transform(members, lambda x: F.struct(x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).alias("p"), F.shiftright(x, POSITION_BITS).alias("v"))))
-            return let(in_order, lambda m: F.when(F.size(m) > 0, F.xxhash64(F.transform(m, lambda x: x["v"])).bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1))))
+        def joined(i: Column) -> Column:
+            steps = F.sequence(F.lit(0), F.least(F.lit(MEMBERS), F.size(b)) - 1)
+            places = F.transform(steps, lambda j: at(b, (i + j) % F.size(b)).bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int"))
+            return F.xxhash64(F.transform(F.sort_array(places), lambda p: at(hashes, p))).bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(TUPLES - 1)), joined)
+        return F.transform(let(where_new(b, arc), starts), joined)
 
-    return let(F.sort_array(occurrences(F.sort_array(packed))), lambda b: let(least(b), tuples))
+    none = F.array_repeat(F.lit(None).cast("long"), TUPLES)
+    return let(kmers(text, k), lambda hashes: F.when(F.size(hashes) == 0, none).otherwise(let(F.sort_array(ranked(hashes)), lambda b: tuples(hashes, b))))
 
 
 def as_text(print_: Column) -> Column:

@@ -258,23 +258,64 @@ def test_e8_decoding_is_nearest():
 # ---- Order MinHash ---------------------------------------------------------------------------------------------------
 
 
-def plain_occurrences(spark, hashes):
-    shift = order_minhash.POSITION_BITS
-    packed = sorted((h << shift) | i for i, h in enumerate(hashes))
-    # Two hashes that differ only where positions stand would be one k-mer; these do not.
-    got = spark.range(1).select(order_minhash.occurrences(F.array(*[F.lit(x).cast("long") for x in packed]))).first()[0]
-    return packed, got
-
-
-def test_occurrence_numbers(spark):
-    hashes = [5, 7, 5, 5, 9, 7, 5]
-    packed, got = plain_occurrences(spark, hashes)
-    singles = {}
-    for x, g in zip(packed, got, strict=True):
-        singles.setdefault(x >> order_minhash.POSITION_BITS, []).append(g >> order_minhash.POSITION_BITS)
-    assert all(len(set(v)) == len(v) for v in singles.values())  # each occurrence has a hash of its own
-    _, again = plain_occurrences(spark, [5, 9, 5, 7])
-    assert len({x >> order_minhash.POSITION_BITS for x in again} & {x >> order_minhash.POSITION_BITS for x in got}) == 4
+def plain_fingerprint(text):
+    """The same fingerprint the long way: each ordering sorts all k-mers anew."""
+    import re
+
+    import xxhash
+
+    def hashed(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed)
+        return seed
+
+    words = [hashed(w.encode()).to_bytes(8, "little") for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    k = order_minhash.K
+    grams = [hashed(*words[i : i + k]).to_bytes(8, "little") for i in range(max(1, len(words) - k + 1))] if words else []
+    seen, ranks = {}, []
+    for g in grams:
+        seen[g] = seen.get(g, -1) + 1
+        ranks.append((hashed(g, seen[g].to_bytes(4, "little")) ^ 1 << 63) >> order_minhash.POSITION_BITS)
+    bits = 64 - order_minhash.POSITION_BITS
+    out = []
+    for t in range(order_minhash.TUPLES):
+        begin = t << (bits - order_minhash.ARC_BITS)
+        smallest = sorted(range(len(grams)), key=lambda i: ((ranks[i] - begin) % (1 << bits), i))[: order_minhash.MEMBERS]
+        out.append(hashed(*[grams[i] for i in sorted(smallest)]) % 16**order_minhash.DIGITS if grams else None)
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    repeated = "a b c d a b c d a b c d e a b c d"
+    texts = [prose(400, 31), prose(30, 33), repeated, " ".join([repeated] * 40), "x " * 500, "one", "one two three four", "one two three four five", " \t\n", "", None, "üé 😀 z y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in order_minhash.order_minhash(docs).collect()}
+    assert got == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+
+
+def test_likeness_is_that_of_independent_orderings():
+    """Orderings that share one circle of ranks estimate what orderings of their own would: means over 40 pairs of texts."""
+    rng = np.random.default_rng(5)
+    shared, own = [], []
+    for n in (12, 60, 300, 2000):
+        for _ in range(10):
+            words = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+            other = list(words)
+            for at in rng.integers(0, n, max(1, n // 40)):
+                other[at] = f"v{at}"
+            cut = n // 3
+            other = other[cut:] + other[:cut]
+            a, b = plain_fingerprint(" ".join(words)), plain_fingerprint(" ".join(other))
+            shared.append(np.mean([x == y for x, y in zip(a, b, strict=True)]))
+            grams = [[tuple(w[i : i + 4]) for i in range(n - 3)] for w in (words, other)]
+            agree = 0
+            for _ in range(64):
+                rank = {g: rng.random() for g in sorted(set(grams[0]) | set(grams[1]))}
+                first, second = ([g[i] for i in sorted(sorted(range(len(g)), key=lambda i: rank[g[i]])[:2])] for g in grams)
+                agree += first == second
+            own.append(agree / 64)
+    assert abs(np.mean(shared) - np.mean(own)) < 0.06 and np.sqrt(np.mean((np.array(shared) - own) ** 2)) < 0.2
 
 
 def test_fingerprints(spark):
