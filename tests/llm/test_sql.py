@@ -4,10 +4,11 @@ import pytest
 from edgelight.llm import queries
 
 
-@pytest.mark.parametrize("name", ["op3_suffix_array_dedup", "op4_odd_sketch_near_dup", "op5_suffix_tree_dedup"])
+@pytest.mark.parametrize("name", ["op3_suffix_array_dedup", "op4_odd_sketch_near_dup", "op5_suffix_tree_dedup", "op7_lattice_near_dup"])
 def test_query_agrees_with_sql(spark, small, name):
     duck = duckdb.connect()
-    duck.sql(f"create view documents as select * from '{small}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        duck.sql(f"create view {table} as select * from '{small}/{table}.parquet'")
     relation = duck.sql(queries.ORACLE_SQL[name])
     frame = queries.QUERIES[name](spark, small)
     names = sorted(frame.columns)
