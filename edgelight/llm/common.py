@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -60,9 +60,42 @@ def staged(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    for tables in _scratch[-1:]:
+        tables.append(out)
     return out
 
 
+def _erase(*tables: DataFrame) -> None:
+    """Deletes staged tables whole, which takes no job."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: The staged tables of each open scratch(), the innermost last.
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Empties the tables that are staged inside when it ends, but for those that the function it gives is called with; for one thread of the driver."""
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table.staged_at)
+        return table
+
+    _scratch.append([])
+    try:
+        yield keep
+    finally:
+        tables = _scratch.pop()
+        _erase(*[t for t in tables if t.staged_at not in kept])
+        for outer in _scratch[-1:]:
+            outer.extend(t for t in tables if t.staged_at in kept)
+
+
 def discard(*tables: DataFrame) -> None:
     """Empties staged tables that nothing reads any more."""
     for t in tables:
@@ -138,4 +171,4 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-__all__ = ["WORD", "Window", "all_of", "bounded_batches", "connected_components", "discard", "documents", "free_column", "global_rank", "named", "shared_dir", "staged", "word_count"]
+__all__ = ["WORD", "Window", "all_of", "bounded_batches", "connected_components", "discard", "documents", "free_column", "global_rank", "named", "scratch", "shared_dir", "staged", "word_count"]

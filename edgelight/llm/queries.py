@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import lattice, mixing, near_dup, order_minhash, packing, sharding, suffix_array, suffix_tree, tool_calls, toxicity
+from . import filter_audit, lattice, mixing, near_dup, order_minhash, packing, prefix_trie, secret_ledger, sharding, suffix_array, suffix_tree, tool_calls, toxicity
 from .common import bounded_batches
 
 
@@ -30,6 +30,9 @@ QUERIES = {
     "op8_toxicity_chain": toxicity.op8_toxicity_chain,
     "op9_ordered_packing": packing.op9_ordered_packing,
     "op10_source_mix": mixing.op10_source_mix,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_blob_ledger": secret_ledger.op12_blob_ledger,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 QUERIES = {name: bounded(query) for name, query in QUERIES.items()}
 
@@ -162,5 +165,97 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component AS component_id, vec
 FROM vectors JOIN components c ON c.a = vec_id LEFT JOIN degrees d ON d.a = vec_id
 """
 
+#: What op11 does: documents by the filters they fail, then each order of the filters over these.
+FILTER_AUDIT = """
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, doc_id, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM docs
+), counted AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM judged j LEFT JOIN marks m ON m.doc_id = j.doc_id GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), failing AS (
+  SELECT *, coalesce(list_min(list_transform(list_filter(string_split(fails, ''), lambda x: x <> ''), lambda x: instr(o, x))), 6) AS place FROM counted, orders
+), steps AS (
+  SELECT part, o AS filter_order, step::INT AS step, substring(o, step, 1) AS filter, sum(CASE WHEN place > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN place = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN place < step AND contains(fails, substring(o, step, 1)) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = substring(o, step, 1) THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN place = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN place = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM failing, range(1, 6) s(step) GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM steps
+"""
+
+
+def _spans_sql() -> str:
+    """For each kind, the pieces of a text between matches and the matches themselves give the places of both."""
+    parts = []
+    for i, rule in enumerate(r for p in (secret_ledger.BASE, secret_ledger.FORMATS) for r in p.rules):
+        pattern = (("(?i)" if rule.folded else "") + rule.pattern).replace("'", "''")
+        whole, wanted = (f"regexp_extract_all(t, '{pattern}', {g})" for g in (0, rule.group))
+        parts.append(f"SELECT doc_id, t, {i} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, {whole} AS m, {wanted} AS g, regexp_split_to_array(t, '{pattern}') AS b FROM docs")
+    return " UNION ALL ".join(parts)
+
+
+#: What op12 does, without the ledger. A digit i of the list of matches and of the texts before them gives where a match starts.
+BLOB_LEDGER = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS nth, doc_id AS id, doc_id, coalesce(text, '') AS t FROM documents
+), found AS ({_spans_sql().replace("SELECT doc_id,", "SELECT nth,")}
+), matched AS (
+  SELECT nth, rank, kind, least, unnest(m) AS m, unnest(g) AS g, unnest(b[1:len(m)]) AS before, unnest(range(len(m))) AS i FROM found WHERE len(m) > 0
+), placed AS (
+  SELECT *, sum(length(before) + length(m)) OVER (PARTITION BY nth, rank ORDER BY i) AS stop FROM matched
+), spans AS (
+  SELECT nth, rank, kind, stop - length(m) AS start, kind || ':' || (stop - length(m))::VARCHAR || ':' || stop::VARCHAR AS said FROM placed WHERE length(g) >= least
+), joined AS (
+  SELECT nth, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(said, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(said, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY nth
+)
+SELECT id AS doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs d LEFT JOIN joined j ON j.nth = d.nth
+"""
+
+#: What op13 does: each prefix as the list of its turns. crc32 goes bit by bit over the digits of conv_id.
+PREFIX_TRIE = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, sha256(text)) AS own FROM turns GROUP BY conv_id
+), bits AS (
+  SELECT *, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda i: (ascii(c)::BIGINT >> i) & 1))) AS b FROM convs
+), heads AS (
+  SELECT conv_id, own, xor(list_reduce([4294967295::BIGINT] || b, lambda s, x: CASE WHEN xor(s, x) & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295) % 4 AS h FROM bits
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:h], c.own[h + 1:]) AS said FROM heads c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, unnest(range(len(said) + 1)) AS depth, said FROM rebuilt
+), nodes AS (
+  SELECT depth, said[1:depth] AS said, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(prefixes.said) = depth), '') AS ends
+  FROM prefixes GROUP BY depth, said[1:depth]
+), parents AS (
+  SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON n.depth = p.depth + 1 AND n.said[1:n.depth - 1] = p.said
+), counted AS (
+  SELECT p.*, coalesce(c.n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(said[depth].text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM parents p LEFT JOIN (SELECT parent_conv_id AS k, depth - 1 AS d, count(*) AS n FROM parents WHERE depth > 0 GROUP BY ALL) c ON c.k = p.conv_id AND c.d = p.depth
+), above AS (
+  SELECT unnest(range(depth + 1)) AS depth, said[1:unnest(range(depth + 1))] AS said, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, saved FROM counted
+), sums AS (
+  SELECT depth, said, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY ALL
+)
+SELECT c.conv_id, c.depth::BIGINT AS depth, c.parent_conv_id, c.n_convs::BIGINT AS n_convs, c.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved_tokens::BIGINT AS saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN sums s ON s.depth = c.depth AND s.said = c.said
+"""
+
 #: The other operators hash, sample, pack, learn or search approximately: tests/llm hold them to brute force, an exact round trip or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {"op1_tool_call_links": TOOL_CALLS, "op3_suffix_array_dedup": SUFFIX_ARRAY, "op4_odd_sketch_near_dup": NEAR_DUP, "op5_suffix_tree_dedup": SUFFIX_TREE, "op7_lattice_near_dup": LATTICE}
+ORACLE_SQL: dict[str, str] = {"op1_tool_call_links": TOOL_CALLS, "op3_suffix_array_dedup": SUFFIX_ARRAY, "op4_odd_sketch_near_dup": NEAR_DUP, "op5_suffix_tree_dedup": SUFFIX_TREE, "op7_lattice_near_dup": LATTICE,
+    "op11_filter_audit": FILTER_AUDIT, "op12_blob_ledger": BLOB_LEDGER, "op13_prefix_trie": PREFIX_TRIE}
