@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, times
 from .canonical import DIMENSIONS, Logs
+from .selection import percentiles
 from .window import span
 
 
@@ -19,10 +20,13 @@ def latency(logs: Logs) -> Column:
     return F.when(text.finite(value), value)
 
 
+SHARES = (0.95, 0.99)
+
+
 def kpis(logs: Logs) -> DataFrame:
-    """One row of key figures, in one pass over the rows.
+    """One row of key figures.
 
-    Percentiles are exact, with linear interpolation. Errors are all statuses from 500 on, also above 599.
+    Percentiles are exact, with linear interpolation. Errors are all statuses from 500 on, also above 599. Counters and latencies are read side by side.
     """
     cache, status = logs.value("edge_cache_hit"), F.col("edge_status")
     sums = logs.frame.agg(
@@ -31,10 +35,10 @@ def kpis(logs: Logs) -> DataFrame:
         F.count_if(cache == 0).alias("miss_count"),
         F.count_if(is_error(status)).alias("error_count"),
         F.count_if(~text.finite(status)).alias("missing_edge_status"),
-        F.percentile(latency(logs), F.array(F.lit(0.95), F.lit(0.99))).alias("p"),
     )
     total = F.col("total")
-    return sums.select(
+    both = sums.join(F.broadcast(percentiles(logs.frame, [], latency(logs), SHARES)), how="left")  # a row each, or none of percentiles
+    return both.select(
         "total",
         "hit_count",
         "miss_count",
@@ -81,28 +85,32 @@ def top_of_each(logs: Logs, limits: dict[str, int]) -> DataFrame:
     counts = rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("count"), F.min("row_id").alias("first_row"))
     place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("count"), "first_row"))
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("field"))
-    return counts.withColumn("place", place).where(F.col("place") <= limit).select("field", "place", "value", "count", "first_row").orderBy("field", "place")
+    # The largest limit is a literal, so that each task passes on no more than that of a field.
+    first = counts.withColumn("place", place).where(F.col("place") <= max(limits.values()))
+    return first.where(F.col("place") <= limit).select("field", "place", "value", "count", "first_row").orderBy("field", "place")
 
 
 def available_limits(limit: int, statuses: int) -> dict[str, int]:
     return {**dict.fromkeys(DIMENSIONS, limit), "edge_status": statuses}
 
 
-def timeseries(logs: Logs, bucket_seconds: int | None = None) -> DataFrame:
+def bucketed(logs: Logs, bucket_seconds: int | None = None) -> Logs:
+    """The rows with a time, with the bucket_ms that they are in."""
+    rows = logs.frame.where("ts_ms is not null")
+    width = F.lit(bucket_seconds) if bucket_seconds else span(logs).select("bucket_seconds").scalar()
+    return logs.with_frame(rows.withColumn("bucket_ms", times.bucket_ms(F.col("ts_ms"), width)))
+
+
+def timeseries(logs: Logs, bucket_seconds: int | None = None, few_buckets: bool = False) -> DataFrame:
     """(bucket_ms, total, errors_5xx, error_pct, p95_ms, p99_ms) by time; buckets without rows are left out.
 
-    The bucket's width follows the span of the rows themselves unless it is given. An error here is 500 to 599.
+    The bucket's width follows the span of the rows themselves unless it is given. An error here is 500 to 599. few_buckets: a window bounds their
+    number.
     """
-    rows = logs.frame.where("ts_ms is not null")
-    width = F.lit(bucket_seconds) if bucket_seconds else span(logs).select("bucket_seconds").scalar()
-    rows = rows.withColumn("bucket_ms", times.bucket_ms(F.col("ts_ms"), width))
-    status = F.col("edge_status")
-    sums = rows.groupBy("bucket_ms").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if((status >= 500) & (status < 600)).alias("errors_5xx"),
-        F.percentile(latency(logs), F.array(F.lit(0.95), F.lit(0.99))).alias("p"),
-    )
-    return sums.select(
+    rows, status = bucketed(logs, bucket_seconds).frame, F.col("edge_status")
+    sums = rows.groupBy("bucket_ms").agg(F.count(F.lit(1)).alias("total"), F.count_if((status >= 500) & (status < 600)).alias("errors_5xx"))
+    both = sums.join(percentiles(rows, ["bucket_ms"], latency(logs), SHARES, few_buckets), "bucket_ms", "left")
+    return both.select(
         "bucket_ms",
         "total",
         "errors_5xx",
