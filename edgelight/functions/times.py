@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +41,8 @@ def bucket_ms(ms: Column, seconds: Column) -> Column:
     """Start of the epoch-aligned bucket that ms lies in."""
     width = seconds.cast("long") * 1000
     return ms - F.pmod(ms, width)
+
+
+def day_of(ms: int) -> str:
+    """The UTC day of a time, as a date's text."""
+    return (datetime(1970, 1, 1) + timedelta(milliseconds=ms)).strftime("%Y-%m-%d")

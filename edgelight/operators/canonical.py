@@ -33,18 +33,20 @@ class Logs:
 
     present: canonical numeric columns that exist as such in the table, so that their blanks count as 0 in sums and ranges.
     others: header names of further columns, reachable by filters.
+    day: the column by which stored rows are partitioned (UTC dates as text), if they are.
     """
 
     frame: DataFrame
     present: frozenset[str]
     others: dict[str, str]
+    day: str | None = None
 
     def value(self, name: str) -> Column:
         """A numeric column as metrics see it: a blank counts as 0 where the column exists, and not at all where not."""
         return F.coalesce(F.col(name), F.lit(0.0)) if name in self.present else F.col(name)
 
     def with_frame(self, frame: DataFrame) -> Logs:
-        return Logs(frame, self.present, self.others)
+        return Logs(frame, self.present, self.others, self.day)
 
 
 def canonicalize(raw: Raw, legacy: bool = False) -> Logs:

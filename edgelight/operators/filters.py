@@ -111,10 +111,12 @@ def dimension(name: str, wanted: str | None) -> Column | None:
     return F.col(name) == wanted.strip().lower()
 
 
+def conditions(logs: Logs, service: str = "all", region: str = "all", pop: str = "all", filters=()) -> list[Column]:
+    """What a row must meet, one condition for each dimension and filter that does not let all rows pass."""
+    found = (dimension("service", service), dimension("region", region), dimension("pop", pop), *(predicate(logs, f) for f in filters))
+    return [c for c in found if c is not None]
+
+
 def restrict(logs: Logs, service: str = "all", region: str = "all", pop: str = "all", filters=()) -> Logs:
     """The rows that match all dimensions and filters."""
-    frame = logs.frame
-    for condition in (dimension("service", service), dimension("region", region), dimension("pop", pop), *(predicate(logs, f) for f in filters)):
-        if condition is not None:
-            frame = frame.where(condition)
-    return logs.with_frame(frame)
+    return logs.with_frame(reduce(lambda frame, c: frame.where(c), conditions(logs, service, region, pop, filters), logs.frame))

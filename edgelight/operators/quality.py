@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,8 +11,8 @@ from .canonical import Logs
 COUNTERS = ["invalid_ts", "missing_edge_status", "unknown_service", "unknown_crc", "unknown_region", "unknown_pop"]
 
 
-def counters(logs: Logs) -> DataFrame:
-    """One row: rows, and how many lack a valid time, a finite status, or a known service, code, region or point of presence."""
+def counters(logs: Logs, *more: Column) -> DataFrame:
+    """One row: rows, more aggregates, and how many lack a valid time, a finite status, or a known service, code, region or point of presence."""
     return logs.frame.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("ts_ms").isNull()).alias("invalid_ts"),
@@ -21,26 +21,24 @@ def counters(logs: Logs) -> DataFrame:
         F.count_if(F.col("crc") == "UNKNOWN").alias("unknown_crc"),
         F.count_if(F.col("region") == "unknown").alias("unknown_region"),
         F.count_if(F.col("pop") == "unknown").alias("unknown_pop"),
+        *more,
     )
 
 
-def warnings(windowed: int, filtered: int, quality: dict[str, int], service: str, region: str, pop: str) -> list[str]:
-    """What to warn of, in order. A filter that lets all rows pass is suspect, but only the filters together are compared."""
-    out = []
-    if windowed > 0 and filtered == windowed:
-        if service != "all":
-            out.append(f"Service filter '{service}' did not reduce dataset (possible schema mismatch).")
-        if region != "all":
-            out.append(f"Region filter '{region}' did not reduce dataset.")
-        if pop != "all":
-            out.append(f"POP filter '{pop}' did not reduce dataset.")
-    if windowed > 0 and filtered == 0:
-        out.append("Filters removed all rows. Check available values in DEBUG.")
-    if quality["missing_edge_status"] > 0:
-        out.append(f"Some rows missing edge_status ({quality['missing_edge_status']}). Response code totals may not sum perfectly.")
-    if quality["invalid_ts"] > 0:
-        out.append(f"Some rows have invalid ts in window ({quality['invalid_ts']}).")
-    return out
+def warning_texts(windowed: Column, filtered: Column, window: dict[str, Column], service: str, region: str, pop: str) -> Column:
+    """What to warn of, in order, as an array. A filter that lets all rows pass is suspect, but only the filters together are compared."""
+    # The sentences of the warnings.
+    idle = [
+        (service, f"Service filter '{service}' did not reduce dataset (possible schema mismatch)."),
+        (region, f"Region filter '{region}' did not reduce dataset."),
+        (pop, f"POP filter '{pop}' did not reduce dataset."),
+    ]
+    missing, invalid = window["missing_edge_status"], window["invalid_ts"]
+    said = [F.when((windowed > 0) & (filtered == windowed), F.lit(text)) for wanted, text in idle if wanted != "all"]
+    said.append(F.when((windowed > 0) & (filtered == 0), F.lit("Filters removed all rows. Check available values in DEBUG.")))
+    said.append(F.when(missing > 0, F.concat(F.lit("Some rows missing edge_status ("), missing, F.lit("). Response code totals may not sum perfectly."))))
+    said.append(F.when(invalid > 0, F.concat(F.lit("Some rows have invalid ts in window ("), invalid, F.lit(")."))))
+    return F.array_compact(F.array(*said))
 
 
 def warning_counts(windowed: Logs, filtered: Logs) -> DataFrame:

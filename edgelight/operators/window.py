@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..functions.times import day_of
 from .canonical import Logs
 
 
@@ -18,11 +19,13 @@ def anchor(logs: Logs, minutes: float) -> DataFrame:
 def in_window(logs: Logs, minutes: float, anchor_ms: int | None = None) -> Logs:
     """Rows whose time is in [anchor - minutes, anchor], both ends included; rows without a time are out.
 
-    With anchor_ms the bounds are literals, which reach the scan of a table that has ts_ms. Without, the start is a scalar subquery that reads
+    With anchor_ms the bounds are literals, which reach the scan of a table that has ts_ms; of rows stored by day only the days of the window are read. Without, the start is a scalar subquery that reads
     nothing but the times; it is a filter like any other, so that of rows outside the window no other cell is parsed.
     """
     if anchor_ms is not None:
-        return logs.with_frame(logs.frame.where(F.col("ts_ms").between(anchor_ms - int(minutes * 60_000), anchor_ms)))
+        start_ms = anchor_ms - int(minutes * 60_000)
+        frame = logs.frame.where(F.col(logs.day).between(day_of(start_ms), day_of(anchor_ms))) if logs.day else logs.frame
+        return logs.with_frame(frame.where(F.col("ts_ms").between(start_ms, anchor_ms)))
     return logs.with_frame(logs.frame.where(F.col("ts_ms") >= anchor(logs, minutes).select("start_ms").scalar()))
 
 

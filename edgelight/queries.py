@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, times
 from .operators import charts, metrics, quality, window
-from .operators.canonical import canonicalize, normalized
-from .plans.request import TriageRequest, parse_chat, parse_command
+from .operators.canonical import Raw, canonicalize
+from .plans.request import TriageRequest
 from .plans.triage import Triage
-from .sources.csv import read_text
+from .sources import store
+from .sources.csv import read_csv
 from .sources.events import raw_logs
 
 DAY, MONTH = 1440, 43200
@@ -89,12 +90,15 @@ POINTS = f"""SELECT ts_ms - ts_ms % (bucket_seconds * 1000) AS bucket_ms, count(
 SERIES = f", series AS ({POINTS}) "
 
 
+STATUS_VALUE = "CASE WHEN status IS NOT NULL THEN CAST(status AS BIGINT)::VARCHAR WHEN status_text <> '' THEN 'NaN' ELSE '' END"
+
+
 def top_sql(column: str, limit: int, source: str = "f") -> str:
     return f"SELECT {column} AS value, count(*)::BIGINT AS count, min(row_id) AS first_row FROM {source} WHERE {column} <> '' GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT {limit}"
 
 
 def available_sql(limits: dict[str, int]) -> str:
-    names = {"edge_status": "CASE WHEN status IS NOT NULL THEN CAST(status AS BIGINT)::VARCHAR WHEN status_text <> '' THEN 'NaN' ELSE '' END"}
+    names = {"edge_status": STATUS_VALUE}
     parts = [f"SELECT '{c}' AS field, row_number() OVER (ORDER BY count DESC, first_row)::INT AS place, value, count, first_row FROM (SELECT {names.get(c, c)} AS value, count(*)::BIGINT AS count, min(row_id) AS first_row FROM win GROUP BY 1) WHERE value <> '' QUALIFY place <= {n}" for c, n in limits.items()]
     return " UNION ALL ".join(parts)
 
@@ -197,95 +201,176 @@ def history_top10(s, d):
     return runs.orderBy(F.desc("timestamp"), F.desc("id")).limit(10)
 
 
-def _lines(s: SparkSession, text: str) -> DataFrame:
-    return s.createDataFrame(list(enumerate(text.split("\n"))), "line int, text string")
-
-
-@query("summary_text")
+def _values(column: str, limit: int, source: str) -> str:
+    """A report's list of top values as a scalar."""
+    value = STATUS_VALUE if column == "edge_status" else column
+    return f"(SELECT coalesce(string_agg(value || ' (' || count || ')', ', ' ORDER BY count DESC, first_row), 'n/a') FROM ({top_sql('value', limit, f'(SELECT *, {value} AS value FROM {source})')}))"
+
+
+def _pct(x: str) -> str:
+    """Two decimals of the exact value; only eighths can lie halfway, and are moved up."""
+    return f"(SELECT printf('%.2f', CASE WHEN x * 8 = floor(x * 8) THEN x + 0.001 ELSE x END) || '%' FROM (SELECT {x} AS x FROM f))"
+
+
+def _share(count: str) -> str:
+    return f"({count})::DOUBLE / count(*)::DOUBLE * 100"
+
+
+def _percentile(p: str) -> str:
+    at = f"({p}::DOUBLE * (len(l) - 1))"
+    low, high = (f"l[{g}({at})::BIGINT + 1]" for g in ("floor", "ceil"))
+    return f"({low} + ({high} - {low}) * ({at} - floor({at})))"
+
+
+def _number(x: str) -> str:
+    return f"(SELECT CASE WHEN x IS NULL THEN 'null' WHEN x = floor(x) THEN x::BIGINT::VARCHAR ELSE x::VARCHAR END FROM (SELECT ({x})::DOUBLE AS x))"
+
+
+def _iso(ms: str) -> str:
+    return f"(strftime(make_timestamp(({ms}) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z')"
+
+
+def _quality(source: str) -> str:
+    """Data quality as JSON."""
+    named = [("invalid_ts", "ts_ms IS NULL"), ("missing_edge_status", "status IS NULL"), ("unknown_service", "service = 'unknown'"), ("unknown_crc", "crc = 'UNKNOWN'"), ("unknown_region", "region = 'unknown'"), ("unknown_pop", "pop = 'unknown'")]
+    return "(SELECT '{' || " + " || ',' || ".join(f"'\"{n}\":' || count(*) FILTER (WHERE {c})" for n, c in named) + f" || '}}' FROM {source})"
+
+
+SORTED = "(SELECT coalesce(list_sort(list(ttms)), []) AS l FROM f WHERE ttms IS NOT NULL)"
+MS95, MS99 = (f"(SELECT floor({_percentile(p)} + 0.5)::BIGINT || ' ms' FROM {SORTED})" for p in ("0.95", "0.99"))
+BOUNDS = f"{_iso('anchor_ms - ' + str(DAY * 60_000))}", _iso("anchor_ms")
+MISSING = "(SELECT 'Some rows missing edge_status (' || count(*) || '). Response code totals may not sum perfectly.' FROM win WHERE status IS NULL)"
+
+
+def _summary_sql() -> str:
+    start, end = BOUNDS
+    lacking = [("missing edge_status", "status IS NULL"), ("unknown service", "service = 'unknown'"), ("unknown crc", "crc = 'UNKNOWN'"), ("unknown region", "region = 'unknown'"), ("unknown pop", "pop = 'unknown'")]
+    dq = "'{\"all\":' || " + _quality("rows") + " || ',\"window\":' || " + _quality("win") + " || '}'"
+    first = """(SELECT '{"ts":"' || raw_ts || '","service":"' || service || '","region":"' || region || '","pop":"' || pop || '","crc":"' || crc || '","crc_class":"' || crc_class || '","edge_status":'
+      || CASE WHEN status IS NULL THEN CASE WHEN status_text = '' THEN '""' ELSE 'null' END ELSE status::BIGINT::VARCHAR END || ',"ttms_ms":' || CASE WHEN ttms = floor(ttms) THEN ttms::BIGINT::VARCHAR ELSE ttms::VARCHAR END
+      || ',"url":"' || url || '"}' FROM f ORDER BY row_id LIMIT 1)"""
+    lines = [
+        "'🧭 *CDN TRIAGE SUMMARY*'",
+        "'• Scope: service=`live`  region=`all`  pop=`all`'",
+        f"'• Window: `{DAY}m`  • Time (UTC): `' || {start} || '` → `' || {end} || '`'",
+        "'• Filters: `none`'",
+        "'⚠️ *Warnings*'",
+        f"'• ' || {MISSING}",
+        "'⚠️ *Data Quality (window)*'",
+        *[f"(SELECT CASE WHEN count(*) > 0 THEN '• {n}: ' || count(*) END FROM win WHERE {c})" for n, c in lacking],
+        "'📊 *Traffic & Performance*'",
+        "(SELECT '• Requests: *' || count(*) || '*' FROM f)",
+        f"'• P95 TTMS: *' || {MS95} || '*'",
+        f"'• P99 TTMS: *' || {MS99} || '*'",
+        f"'• Cache Hit: *' || {_pct(_share(HIT))} || '*  (miss ' || {_pct(_share(MISS))} || ')'",
+        "'🧮 *Response Codes*'",
+        f"(SELECT string_agg('• ' || code::BIGINT || ': *' || count || '*', chr(10) ORDER BY code) FROM ({CODES} LIMIT 12))",
+        "'🧩 *Top breakdowns*'",
+        *[f"'• {c}: ' || {_values(c, 4, 'f')}" for c in ("service", "region", "pop", "crc_class")],
+        "'🧾 *Evidence*'",
+        f"(SELECT '• Error responses are dominated by `' || value || '` (' || count || ' of ' || (SELECT {BAD} FROM f) || ').' FROM ({top_sql('crc', 1, '(SELECT * FROM f WHERE status >= 500)')}))",
+        f"(SELECT '• Error responses: ' || {BAD} || '/' || count(*) FROM f) || ' (' || {_pct(_share(BAD))} || ').'",
+        f"'• Cache hit ratio ' || {_pct(_share(HIT))} || ' (miss ' || {_pct(_share(MISS))} || ').'",
+        f"'• Latency p95/p99 TTMS = ' || {MS95} || '/' || {MS99} || '.'",
+        "''",
+        "'```'",
+        "'--- DEBUG ---'",
+        *[f"(SELECT 'rows_{n}=' || count(*) FROM {t})" for n, t in (("total", "rows"), ("inWindow", "win"), ("filtered", "f"))],
+        f"'anchor=' || {end}",
+        f"'start=' || {start}",
+        f"'end=' || {end}",
+        *[f"'avail_{c}=' || {_values(c, 12 if c == 'edge_status' else 8, 'win')}" for c in ("service", "region", "pop", "crc_class", "crc", "edge_status")],
+        f"'data_quality=' || {dq}",
+        f"'warnings=' || {MISSING}",
+        f"'sample=' || {first}",
+        "'```'",
+    ]
+    stamps = within(DAY, "service = 'live'").replace("SELECT event_id AS row_id,", "SELECT event_id AS row_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS raw_ts,", 1)
+    return stamps + f"SELECT array_to_string(list_filter([{', '.join(lines)}], lambda x: x IS NOT NULL), chr(10)) AS summary FROM newest"
+
+
+def _metrics_sql() -> str:
+    start, end = BOUNDS
+
+    def share(count: str) -> str:
+        return _number(f"SELECT {_share(count)} FROM f")
+
+    def latency(p: str) -> str:
+        return _number(f"SELECT {_percentile(p)} FROM {SORTED}")
+
+    def counts(name: str, column: str, source: str) -> str:
+        return f"""(SELECT coalesce(string_agg('{{"{name}":"' || value || '","count":' || count || '}}', ',' ORDER BY count DESC, first_row), '') FROM ({top_sql(column, 4, source)}))"""
+
+    five = "count(*) FILTER (WHERE status >= 500 AND status < 600)"
+    points = f"""(SELECT string_agg('{{"ts":"' || {_iso("bucket_ms")} || '","totalRequests":' || n || ',"error5xxCount":' || bad || ',"errorRatePct":' || {_number("share")}
+      || ',"p95TtmsMs":' || {_number(f"CASE WHEN len(l) > 0 THEN {_percentile('0.95')} END")} || ',"p99TtmsMs":' || {_number(f"CASE WHEN len(l) > 0 THEN {_percentile('0.99')} END")} || '}}', ',' ORDER BY bucket_ms)
+      FROM (SELECT ts_ms - ts_ms % (bucket_seconds * 1000) AS bucket_ms, count(*) AS n, {five} AS bad, {_share(five)} AS share, coalesce(list_sort(list(ttms) FILTER (WHERE ttms IS NOT NULL)), []) AS l FROM f, b GROUP BY 1))"""
+    edge = "(SELECT {0}(ts_ms) - {0}(ts_ms) % (any_value(bucket_seconds) * 1000) FROM f, b)"
+    parts = [
+        f"""'{{"timeRangeUTC":{{"start":"' || {start} || '","end":"' || {end} || '"}}'""",
+        "',\"totalRequests\":' || (SELECT count(*) FROM f)",
+        f"',\"p95TtmsMs\":' || {latency('0.95')} || ',\"p99TtmsMs\":' || {latency('0.99')}",
+        f"',\"cacheHitPct\":' || {share(HIT)} || ',\"cacheMissPct\":' || {share(MISS)}",
+        f"""',"statusCounts":[' || (SELECT string_agg('{{"code":' || code::BIGINT || ',"count":' || count || '}}', ',' ORDER BY code) FROM ({CODES})) || ']'""",
+        f"',\"error5xxCount\":' || (SELECT {BAD} FROM f) || ',\"errorRatePct\":' || {share(BAD)}",
+        f"',\"topCrcClass\":[' || {counts('crc_class', 'crc_class', 'f')} || '],\"topErrorCrc\":[' || {counts('crc', 'crc', '(SELECT * FROM f WHERE status >= 500)')} || ']'",
+        f"""',"timeseries":{{"bucketSeconds":' || (SELECT bucket_seconds FROM b) || ',"startTs":"' || {_iso(edge.format("min"))} || '","endTs":"' || {_iso(edge.format("max"))} || '","points":[' || {points} || ']}}'""",
+        f"',\"warnings\":[\"' || {MISSING} || '\"]'",
+        f"',\"dataQuality\":{{\"all\":' || {_quality('rows')} || ',\"window\":' || {_quality('win')} || '}},\"debug\":null}}'",
+    ]
+    return within(DAY) + SPAN + f"SELECT {' || '.join(parts)} AS metrics FROM newest"
+
+
+def stored(s: SparkSession, d: str, minutes: float, **request) -> Triage:
+    """The log table written by day and read again."""
+    path = store.scratch_path(s, f"logs-{uuid.uuid4().hex}")
+    store.write(triage(s, d).logs, path)
+    return Triage.stored(store.read(s, path), TriageRequest(window_minutes=minutes, **request))
+
+
+def from_csv(s: SparkSession, d: str, minutes: float) -> Triage:
+    """The log table written as a folder of CSV files, each with a header, and read again."""
+    path = store.scratch_path(s, f"csv-{uuid.uuid4().hex}")
+    frame = raw_logs(s, d).frame
+    frame.repartitionByRange(5, "row_id").sortWithinPartitions("row_id").drop("row_id").write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
+    return Triage(read_csv(s, path), TriageRequest(window_minutes=minutes))
+
+
+query("stored_kpis_day", within(DAY, "service = 'live'") + KPIS)(lambda s, d: rounded(stored(s, d, DAY, service="live").kpis()))
+query("stored_timeseries", within(DAY) + SPAN + POINTS)(lambda s, d: rounded(stored(s, d, DAY).timeseries()))
+query("stored_top_crc", within(MONTH) + top_sql("crc", 6))(lambda s, d: metrics.top(stored(s, d, MONTH).filtered, "crc", 6))
+query("csv_folder_kpis", within(MONTH) + KPIS)(lambda s, d: rounded(from_csv(s, d, MONTH).kpis()))
+query("csv_folder_dq", LOGS + DQ + "rows")(lambda s, d: quality.counters(from_csv(s, d, MONTH).logs))
+query("csv_folder_top_crc", within(60) + f"SELECT value, count FROM ({top_sql('crc', 6)})")(lambda s, d: metrics.top(from_csv(s, d, 60).filtered, "crc", 6).select("value", "count"))
+
+#: Columns that may stand for another: three of latency, each blank where the one before it is needed, a service column beside none of delivery, and a region column.
+ALIASES = """SELECT event_id AS row_id, round(CASE WHEN event_id % 4 <> 0 THEN value WHEN event_id % 3 <> 0 THEN value + 1 WHEN event_id % 5 <> 0 THEN value + 2 ELSE 0.0 END, 6) AS ttms_ms,
+  CASE WHEN event_id % 7 = 0 THEN 'unknown' ELSE 'vod' END AS service, CASE WHEN event_id % 11 = 0 THEN 'unknown' ELSE 'use1' END AS region,
+  CASE WHEN event_id % 53 = 0 THEN 'unknown' ELSE ['iad', 'sjc', 'dfw', 'mia', 'ord', 'lhr'][user_id % 6 + 1] END AS pop,
+  CASE WHEN event_id % 6 <> 0 THEN 404.0 WHEN event_id % 9 <> 0 THEN 502.0 END AS edge_status FROM events"""
+
+
+@query("column_aliases", ALIASES)
+def column_aliases(s, d):
+    events = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("row_id"), "value")
+    raw = raw_logs(s, d).frame.select("row_id", "ts", "url").join(events, "row_id")
+
+    def blank(n: int, value: Column | str) -> Column:
+        return F.when(F.pmod("row_id", F.lit(n)) == 0, " ").otherwise(value)
+
+    cells = {
+        "ts": F.col("ts"), "url": F.col("url"), "service": blank(7, " VOD"), "region": blank(11, "USE1"), "http_status": blank(6, "404"), "response_code": blank(9, "502"),
+        "ttms_ms": blank(4, F.col("value").cast("string")), "ttms": blank(3, (F.col("value") + 1).cast("string")), "time_to_first_byte": blank(5, (F.col("value") + 2).cast("string")),
+    }
+    logs = canonicalize(Raw(raw.select("row_id", *[c.alias(n) for n, c in cells.items()]), {n: n for n in cells}))
+    return rounded(logs.frame.select("row_id", metrics.latency(logs).alias("ttms_ms"), "service", "region", "pop", "edge_status"))
+
+
+@query("summary_text", _summary_sql())
 def summary_text(s, d):
-    return _lines(s, triage(s, d, DAY, service="live", debug=True).report().summary)
+    return triage(s, d, DAY, service="live", debug=True).report_frame().select("summary")
 
 
-@query("metrics_json")
+@query("metrics_json", _metrics_sql())
 def metrics_json(s, d):
-    return _lines(s, json.dumps(triage(s, d, DAY).report().metrics, indent=1))
-
-
-def given(columns: str, *rows: str) -> str:
-    """SQL that returns rows worked out by hand."""
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})"
-
-
-@query(
-    "command_parse",
-    given(
-        "command, service, region, pop, minutes, filters, debug",
-        """('service=vod region=usw2 window=2h edge_status=5xx', 'vod', 'usw2', 'all', 120::DOUBLE, '[{"key": "edge_status", "type": "range", "min": 500, "max": 599}]', FALSE)""",
-        """('crc=TCP_HIT|TCP_MISS,pop=sjc debug', 'all', 'all', 'sjc', 60, '[{"key": "crc", "type": "in", "values": ["TCP_HIT", "TCP_MISS"]}]', TRUE)""",
-        """('window=9d edge_status=404x crc_class=Error', 'all', 'all', 'all', 240, '[{"key": "edge_status", "type": "eq", "value": 404}, {"key": "crc_class", "type": "eq", "value": "error"}]', FALSE)""",
-        """('delivery_service=LIVE service= window=x debug=off crc=,edge_status=x', 'all', 'all', 'all', 60, '[]', FALSE)""",
-    ),
-)
-def command_parse(s, d):
-    commands = ["service=vod region=usw2 window=2h edge_status=5xx", "crc=TCP_HIT|TCP_MISS,pop=sjc debug", "window=9d edge_status=404x crc_class=Error", "delivery_service=LIVE service= window=x debug=off crc=,edge_status=x"]
-    rows = [(c, r.service, r.region, r.pop, float(r.window_minutes), json.dumps(r.filters), r.debug) for c in commands for r in [parse_command(c)]]
-    return s.createDataFrame(rows, "command string, service string, region string, pop string, minutes double, filters string, debug boolean")
-
-
-TRY = "chr(10) || chr(10) || 'Try:' || chr(10) || 'service=vod region=usw2 pop=sjc win=60'"
-
-
-@query(
-    "chat_parse",
-    given(
-        "message, answer, service, minutes",
-        f"('hello there', 'Hey! 👋 I can triage CDN logs.' || {TRY}, NULL, NULL::DOUBLE)",
-        f"('what is this', 'I didn''t see filters yet.' || {TRY}, NULL, NULL)",
-        "('svc = vod win=30', '', 'vod', 30)",
-        f"('region=mars pop=sjc', 'I couldn’t run that because some values are invalid:' || chr(10) || '- region=mars (allowed: all|use1|usw2|usw1|euw1|apse1)' || {TRY}, NULL, NULL)",
-        f"('hi service=vod', 'Hey! 👋 I can triage CDN logs.' || {TRY}, NULL, NULL)",
-    ),
-)
-def chat_parse(s, d):
-    said = ["hello there", "what is this", "svc = vod win=30", "region=mars pop=sjc", "hi service=vod"]
-    rows = [(m, r.answer, r.request.service if r.request else None, float(r.request.window_minutes) if r.request else None) for m in said for r in [parse_chat(m)]]
-    return s.createDataFrame(rows, "message string, answer string, service string, minutes double")
-
-
-#: Lines with quotes, commas in quotes, a blank line, short and long rows, an open quote, and several columns for status and latency.
-CSV = """ts,"delivery_service",url,crc,status,http_status,ttms,time_to_first_byte,note
-2024-01-01T00:00:00Z, Live ,https://edge-use1-iad.cdn.example.com/a,tcp_hit,,502,"12.5",99,"a, ""b"" c"
-
-2024-01-01T00:01:00Z,VOD,https://other.example.com/x,err_dns_fail,404,500,,7
-bad,,,,x,503,abc,8,"open, to the end
-2024-01-01T00:02:00Z,"li""ve",,TCP_MISS,0x10,,1e2,,z,more,cells"""
-
-
-@query(
-    "csv_rows",
-    given(
-        "row_id, ts_ms, service, region, pop, crc, crc_class, edge_status, ttms_ms, note",
-        """(1::BIGINT, 1704067200000::BIGINT, 'live', 'use1', 'iad', 'TCP_HIT', 'hit', '502.0', '12.5', 'a, "b" c')""",
-        "(3, 1704067260000, 'vod', 'unknown', 'unknown', 'ERR_DNS_FAIL', 'error', '404.0', '7.0', '')",
-        "(4, NULL, 'unknown', 'unknown', 'unknown', 'UNKNOWN', 'unknown', 'NaN', 'NaN', 'open, to the end')",
-        """(5, 1704067320000, 'li"ve', 'unknown', 'unknown', 'TCP_MISS', 'miss', '16.0', '100.0', 'z')""",
-    ),
-)
-def csv_rows(s, d):
-    logs = canonicalize(read_text(s, CSV))
-    numbers = [F.col(c).cast("string").alias(c) for c in ("edge_status", "ttms_ms")]
-    return logs.frame.select("row_id", "ts_ms", "service", "region", "pop", "crc", "crc_class", *numbers, F.col(logs.others["note"]).alias("note"))
-
-
-@query(
-    "csv_normalized",
-    given(
-        "row_id, ts, service, status, ttms, crc",
-        "(1::BIGINT, 1704067200000::BIGINT, 'unknown', '0.0', '12.5', 'tcp_hit')",
-        "(3, 1704067260000, 'unknown', '404.0', '0.0', 'err_dns_fail')",
-        "(4, NULL, 'unknown', 'NaN', 'NaN', '')",
-        "(5, 1704067320000, 'unknown', '16.0', '100.0', 'TCP_MISS')",
-    ),
-)
-def csv_normalized(s, d):
-    return normalized(read_text(s, CSV)).select("row_id", "ts", "service", F.col("status").cast("string").alias("status"), F.col("ttms").cast("string").alias("ttms"), "crc")
+    return triage(s, d, DAY).report_frame().select("metrics")

@@ -22,6 +22,8 @@ CELL = r'((?:[^",]|"[^"]*(?:"|$))*)(?:,|$)'
 NO_ROWS = "Parsed 0 rows from CSV. Check delimiter/quotes/header line."
 #: Files whose names and places are sent to all executors; with more the lines are joined with them by a shuffle.
 MOST_BROADCAST_FILES = 100_000
+#: A packed file is one split, but may hold so many times the lines of a plain one of its size.
+SPLITS_FOR_PACKED = 32
 FETCH_SECONDS, LINES_AT_ONCE = 60, 10_000
 
 
@@ -69,25 +71,40 @@ def _rows(lines: DataFrame) -> Raw:
 def read_csv(spark: SparkSession, path: str) -> Raw:
     """A CSV file or folder of any file system that Spark reads; row_id follows the order of lines (of files by name).
 
-    Each file of a folder has a header, its first line that is not blank; the first file's names the columns.
+    Each file of a folder has a header, its first line that is not blank; the first file's names the columns. Lines are numbered without being counted: the
+    number of a line's split, by the sizes of the files before it and its start in its file, times more lines than a task reads, plus its place in its task.
     """
     found = spark.read.option("lineSep", "\n").text(path)
-    lines = _tidy(found.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file")))
+    meta = F.col("_metadata")
+    columns = [meta["file_path"].alias("file"), meta["file_size"].alias("size"), meta["file_block_start"].alias("start")]
+    lines = _tidy(found.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"), *columns))
     if len(found.inputFiles()) < 2:
         return _rows(lines.select(F.col("at").alias("row_id"), "line"))
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     said = F.when(text.filled(F.col("line")), F.col("at"))
-    ends = lines.groupBy("file").agg(F.max(part).alias("part"), F.max(place).alias("place"), F.min(said).alias("head"), F.min_by("line", said).alias("header"))
-    files = sorted(ends.collect())  # a row for each file, as the driver's own list of files has
+    heads = lines.groupBy("file").agg(F.max("size").alias("size"), F.min(said).alias("head"), F.min_by("line", said).alias("header"))
+    files = sorted(heads.collect())  # a row for each file, as the driver's own list of files has
     header = next((f["header"] for f in files if f["header"] is not None), None)
     if header is None:
         raise InputError(NO_ROWS)
-    parts, places = (max(f[c] for f in files) + 1 for c in ("part", "place"))
-    if len(files) * parts * places >= 1 << 63:
-        raise InputError("Too many files and lines to number; read fewer files at a time.")
-    ranks = spark.createDataFrame([(f["file"], i, f["head"]) for i, f in enumerate(files)], "file string, rank long, head long")
+    most, least = (_bytes(spark, f"spark.sql.files.{key}") for key in ("maxPartitionBytes", "openCostInBytes"))
+    split = max(1, min(most, least))  # Spark cuts files into equal splits, none smaller
+    places = 2 * most + 2  # a task reads splits of no more than most bytes, and a line has a byte at least
+    base, ranks = 0, []
+    for f in files:
+        ranks.append((f["file"], base, f["head"]))
+        base += SPLITS_FOR_PACKED * (f["size"] // split + 1)
+    if base * places >= 1 << 63:
+        raise InputError("Too many bytes to number their lines; read fewer files at a time.")
+    ranks = spark.createDataFrame(ranks, "file string, base long, head long")
     lines = lines.join(F.broadcast(ranks) if len(files) <= MOST_BROADCAST_FILES else ranks, "file").where("head is null or at <> head")
-    return _table(lines.select(((F.col("rank") * parts + part) * places + place).alias("row_id"), "line"), header)
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return _table(lines.select(((F.col("base") + F.floor(F.col("start") / split)) * places + place).alias("row_id"), "line"), header)
+
+
+def _bytes(spark: SparkSession, key: str) -> int:
+    """A setting in bytes, such as 128MB or 4194304b."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", spark.conf.get(key).lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit.removesuffix("b") if len(unit) > 1 else unit]
 
 
 def read_text(spark: SparkSession, csv_text: str) -> Raw:

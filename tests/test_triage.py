@@ -5,11 +5,12 @@ from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 from threading import Thread
 
 import pytest
+from pyspark.sql import functions as F
 
 from edgelight.operators import charts, metrics, quality
 from edgelight.operators.canonical import canonicalize, normalized
 from edgelight.operators.filters import restrict
-from edgelight.plans.report import failure, figures, series
+from edgelight.plans.report import failure, figures, fixed_text, series
 from edgelight.plans.request import TriageRequest
 from edgelight.plans.triage import Triage
 from edgelight.sources import history
@@ -217,10 +218,19 @@ def test_empty_window(spark):
     assert report(spark, ONE, window_minutes=-5).summary.split("\n")[1] == "No data found in requested time window."
 
 
-def test_warnings_compare_all_filters_together():
-    dq = {"missing_edge_status": 2, "invalid_ts": 0}
-    assert [w.split()[0] for w in quality.warnings(5, 5, dq, "vod", "all", "iad")] == ["Service", "POP", "Some"]
-    assert quality.warnings(5, 4, {**dq, "missing_edge_status": 0}, "vod", "all", "iad") == []
+def test_warnings_compare_all_filters_together(spark):
+    def warned(windowed, filtered, missing, *dims):
+        counts = {"missing_edge_status": F.lit(missing), "invalid_ts": F.lit(0)}
+        return spark.range(1).select(quality.warning_texts(F.lit(windowed), F.lit(filtered), counts, *dims)).first()[0]
+
+    assert [w.split()[0] for w in warned(5, 5, 2, "vod", "all", "iad")] == ["Service", "POP", "Some"]
+    assert warned(5, 4, 0, "vod", "all", "iad") == [] and warned(0, 0, 0, "vod", "a", "b") == []
+
+
+def test_decimals_in_the_plan_are_those_of_the_exact_value(spark):
+    values = [0.0, 1.005, 0.125, 0.375, 2.0, 100.0, 99.995, 0.005, 1e-9, 33.333333333333336, *[n / 799 * 100 for n in range(0, 800, 7)], *[n / 8 for n in range(50)]]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed_text(F.col("v"))).collect()
+    assert [r[1] for r in rows] == [charts.fixed(r[0]) for r in rows]
 
 
 def test_numbers_as_text():
@@ -240,3 +250,18 @@ def test_history(spark, tmp_path):
     assert history.load(spark, path).count() == 10
     history.clear(spark, path)
     assert history.load(spark, path).count() == 0
+
+
+def test_a_failure_loses_no_run(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    ids = [history.append(spark, path, {"n": i}, "text", {"a": 1}, f"2024-01-01T00:00:0{i}.000Z") for i in range(3)]
+    before = sorted(history.load(spark, path).collect())
+    broken = history.load(spark, path).select(F.when(F.col("id") == ids[1], F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        history.bury(path, broken)  # fails between reading and the end of writing
+    assert sorted(history.load(spark, path).collect()) == before
+    history.delete(spark, path, "no such run")
+    assert sorted(history.load(spark, path).collect()) == before
+    history.delete(spark, path, ids[0])
+    history.delete(spark, path, ids[0])
+    assert sorted(history.load(spark, path).collect()) == [r for r in before if r["id"] != ids[0]]
