@@ -13,10 +13,19 @@ from pyspark.sql.types import BooleanType
 from .common import connected_components, staged
 from .hashing import U64, mix64
 
-#: Tables, E8 blocks in each, cells that a vector looks into per table, edge of the lattice. For cosine 0.9 a pair meets in a
+#: Tables, E8 blocks in each, cells that a vector looks into per table, edge of the lattice for 64 dimensions. For cosine 0.9 a pair meets in a
 #: table with probability 0.33 (measured for 64 dimensions), so it is missed by all 14 with probability 0.004.
 TABLES, BLOCKS, PROBES, SCALE = 14, 2, 8, 0.24
 
+
+def edge(dimensions: int, scale: float = SCALE) -> float:
+    """The edge of the lattice for vectors of so many dimensions.
+
+    A projection of a unit vector shrinks with the square root of the dimensions, and so does the edge, so that pairs meet as often whatever their
+    length. Below 8 * BLOCKS dimensions the lattice has no more directions than the vectors, and the edge stays.
+    """
+    return scale * (64 / max(dimensions, 8 * BLOCKS)) ** 0.5
+
 #: The 240 shortest vectors of E8: two entries of +-1, or all entries +-1/2 with an even number of minus signs.
 NEIGHBOURS = np.array(
     [v for v in itertools.product((-1, 0, 1), repeat=8) if sum(map(abs, v)) == 2] + [tuple(x / 2 for x in v) for v in itertools.product((-1, 1), repeat=8) if v.count(-1) % 2 == 0],
@@ -99,7 +108,7 @@ def hashed(vectors: DataFrame, tables: int, probes: int, scale: float) -> DataFr
                 x = np.stack(column.iloc[r].to_list()).astype(float)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found = [cells(x, direction[t], shift[t], scale, probes, t + int(d) * tables) for t in range(tables)]
+                found = [cells(x, direction[t], shift[t], edge(int(d), scale), probes, t + int(d) * tables) for t in range(tables)]
                 for j, row in enumerate(r):
                     out[row] = [f[j] for f in found]
         return pd.Series(out)

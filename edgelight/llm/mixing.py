@@ -33,6 +33,8 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float, rounds: int
             break
         level, n_clamped = now, row["n"]
         clamped = F.col("weight") * F.lit(level) >= cap
+    else:
+        raise RuntimeError(f"targets have not settled in {rounds} rounds")
     return sources.withColumn("target", F.when(clamped | F.lit(level == float("inf")), cap).otherwise(F.col("weight") * F.lit(level)))
 
 

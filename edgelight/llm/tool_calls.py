@@ -45,6 +45,14 @@ def depths(calls: DataFrame) -> DataFrame:
     return linked.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
+def path_of(argument: str) -> str:
+    """The path of a member of any name, dots and brackets included; a name with both kinds of quotes has none."""
+    quote = "'" if "'" not in argument else '"'
+    if quote in argument:
+        raise ValueError(f"an argument's name may not hold both kinds of quotes: {argument}")
+    return f"$[{quote}{argument}{quote}]"
+
+
 def argument_errors(name: Column, parsed: Column, schemas: Schemas) -> Column:
     """array<string>, in order: not_json, unknown_tool, then per argument by name missing:x, type:x, extra:x."""
     kind = F.schema_of_variant(parsed)
@@ -56,7 +64,7 @@ def argument_errors(name: Column, parsed: Column, schemas: Schemas) -> Column:
     given = F.array_sort(F.map_keys(F.from_json(F.to_json(parsed), "map<string,string>")))
     for n, arguments in schemas.items():
         for a, (wanted, required) in sorted(arguments.items()):
-            value = F.try_variant_get(parsed, f"$.{a}", "variant")
+            value = F.try_variant_get(parsed, path_of(a), "variant")
             there = value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(False))
             fits = F.lit(False)
             for t in TYPES[wanted]:

@@ -185,6 +185,27 @@ def test_chain_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none, toxicity.categories())).count() == 0
 
 
+def test_a_later_category_learns_from_what_the_earlier_says_of_unseen_rows(monkeypatch):
+    """The second model is fitted beside the out-of-fold probabilities of the first, not those of the rows it was fitted on, and scores with its probabilities."""
+    rng, seen = np.random.default_rng(8), []
+    lists = [np.unique(rng.integers(0, 60, 12)).astype(np.uint32) for _ in range(300)]
+    y0 = np.array([float((x < 8).sum() >= 2) for x in lists])
+    y1 = np.where(rng.random(300) < 0.97, y0, 1 - y0)
+    fit = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda x, y, w: seen.append((len(y), np.array(x.dense))) or fit(x, y, w))
+    chain = toxicity.fit_chain(lists, {"first": y0, "second": y1}, np.ones(300))
+    whole = [dense for n, dense in seen if n == 300]
+    assert whole[0].shape == (300, 1) and whole[1].shape == (300, 2)
+    assert np.array_equal(whole[1][:, 0], chain.out_of_fold[0])
+    x = toxicity.Rows.of(lists, chain.vocabulary, np.ones((300, 1)))
+    fitted = toxicity.sigmoid(x.times(chain.coefficients[0]))
+    assert np.abs(fitted - chain.out_of_fold[0]).max() > 0.01  # not what the first model says of its own rows
+    x.dense = np.column_stack([fitted, np.ones(300)])
+    with_first = toxicity.sigmoid(x.times(chain.coefficients[1]))
+    x.dense = np.column_stack([1 - fitted, np.ones(300)])
+    assert np.corrcoef(fitted, with_first)[0, 1] > 0.5 and np.abs(toxicity.sigmoid(x.times(chain.coefficients[1])) - with_first).max() > 0.1
+
+
 def test_out_of_fold_rows_are_not_seen_by_their_model():
     # The label of a text is chance, and each text comes thirty times: only a model that has seen a copy of it can tell its label.
     rng = np.random.default_rng(8)
@@ -230,20 +251,44 @@ def test_vectors(spark):
     assert lattice.vector_components(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(4)
-    n = 3000
-    x, z = rng.normal(size=(n, 64)), rng.normal(size=(n, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
+def turned(rng, x, cosine):
+    z = rng.normal(size=x.shape)
     z -= (z * x).sum(axis=1)[:, None] * x
     z /= np.linalg.norm(z, axis=1)[:, None]
-    y = 0.9 * x + np.sqrt(1 - 0.81) * z
-    direction, shift = lattice.projections(64, lattice.TABLES)
-    met = np.zeros(n, bool)
+    return cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+def meet(x, y, dimensions, pairs):
+    """Whether one looks into the other's cell in any table: row by row, or each row of x with each of y."""
+    direction, shift = lattice.projections(dimensions, lattice.TABLES)
+    met = np.zeros(len(x) if pairs else (len(x), len(y)), bool)
     for t in range(lattice.TABLES):
-        a, b = (lattice.cells(v, direction[t], shift[t], lattice.SCALE, lattice.PROBES, t) for v in (x, y))
-        met |= (a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)
-    assert met.mean() > 0.98
+        a, b = (lattice.cells(v, direction[t], shift[t], lattice.edge(dimensions), lattice.PROBES, t) for v in (x, y))
+        for p in range(lattice.PROBES):
+            met |= (a[:, p] == b[:, 0]) | (a[:, 0] == b[:, p]) if pairs else (a[:, p][:, None] == b[:, 0][None]) | (a[:, 0][:, None] == b[:, p][None])
+    return met
+
+
+@pytest.mark.parametrize("dimensions", [2, 4, 8, 12, 16, 32, 64, 128, 384, 768, 1536])
+def test_recall_at_the_threshold_and_unrelated_pairs(dimensions):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(800, dimensions))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert meet(x, turned(rng, x, 0.9), dimensions, True).mean() > 0.98
+    if dimensions >= 8:  # below, a good part of all pairs is near
+        far = meet(x[:400], x[400:], dimensions, False)[x[:400] @ x[400:].T < 0.9]
+        assert far.mean() < (0.01 if dimensions > 8 else 0.02)
+
+
+@pytest.mark.parametrize("dimensions", [16, 384])
+def test_links_in_other_dimensions(spark, dimensions):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, dimensions))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    both = np.concatenate([x, turned(rng, x, 0.92)])
+    links = ((both @ both.T) >= 0.9).sum() - len(both)
+    got = lattice.vector_components(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>"))
+    assert links * 0.98 <= got.agg({"n_links": "sum"}).first()[0] <= links
 
 
 def test_e8_decoding_is_nearest():
@@ -381,6 +426,17 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(none, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), SCHEMAS).count() == 0
 
 
+def test_arguments_of_any_name(spark):
+    schemas = {"t": {"a.b": ("integer", True), "c d": ("string", True), "it's": ("string", True), "x[0]": ("boolean", False)}}
+    calls = [(1, "p", 0, "t", '{"a.b":1,"c d":"x","it\'s":"y","x[0]":true}', None), (1, "q", 1, "t", '{"a":{"b":1},"c d":2,"x[0]":0}', None)]
+    frame = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, parent_id string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r["call_id"]: r["errors"] for r in tool_calls.link_tool_calls(frame, none, schemas).collect()}
+    assert got["p"] == [] and got["q"] == ["missing:a.b", "type:c d", "missing:it's", "type:x[0]", "extra:a"]
+    with pytest.raises(ValueError, match="quotes"):
+        tool_calls.path_of("a'b\"c")
+
+
 def test_long_chains_take_few_rounds(spark):
     calls = [(1, str(i), i, "add", '{"x":1}', str(i - 1) if i else None) for i in range(150)]
     frame = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, parent_id string")

@@ -34,6 +34,14 @@ def test_stages(spark, small):
     assert packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
 
 
+def test_run_is_its_stages_one_after_the_other(spark, small):
+    docs = documents(spark, small)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, small))
+    out = corpus_pipeline.run(spark, small)
+    assert out.columns == docs.columns and sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+
+
 def test_empty_documents(spark, small):
     docs = documents(spark, small).limit(0)
     for _, stage in corpus_pipeline.STAGES:
