@@ -21,7 +21,8 @@ def distinct_names(rows: DataFrame, keys: list[str], name: str = "name") -> Data
 
     Numbers are dealt by bucket, so that the look-up joins two plain exchanges and Spark can split a value that very many rows have.
     """
-    return staged(rows.join(numbered(rows.select(*keys).distinct(), [F.col(k) for k in keys], name), keys))
+    found = staged(rows.select(*keys).distinct())
+    return staged(rows.join(numbered(found, [F.col(k) for k in keys], name), keys))
 
 
 def ordered_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,20 +82,21 @@ def _blocks(turns: DataFrame, longest: int) -> list[DataFrame]:
     return out
 
 
-def _prefixes(blocks: list[DataFrame]) -> list[DataFrame]:
-    """(conv_id, depth, name) for each prefix, whose names are equal where depth and turns are.
+def _prefixes(blocks: list[DataFrame]) -> DataFrame:
+    """(conv_id, depth, name) for each prefix, whose names are equal where depth and turns are; staged.
 
     A prefix is what is left of it without its last block, which is as long as the lowest bit of depth, and that block: prefixes of one
     block have its name, those of m blocks are named in round m by the prefix of m - 1 blocks and the last block.
     """
-    out = [reduce(DataFrame.unionByName, [b.where("j = 0").select("conv_id", F.lit(1 << k).cast("long").alias("depth"), "name") for k, b in enumerate(blocks)])]
-    last = reduce(DataFrame.unionByName, [b.where("j > 0 and j % 2 = 0").select("conv_id", (F.col("j") * (1 << k)).alias("head"), F.lit(1 << k).cast("long").alias("size"), F.col("name").alias("block")) for k, b in enumerate(blocks)])
+    last = [b.where("j % 2 = 0").select("conv_id", (F.col("j") * (1 << k)).alias("head"), F.lit(1 << k).cast("long").alias("size"), "name") for k, b in enumerate(blocks)]
+    last = staged(reduce(DataFrame.unionByName, last))  # read in each round
+    out = [last.where("head = 0").select("conv_id", F.col("size").alias("depth"), "name")]
     for m in range(1, len(blocks)):
-        ends = last.where(F.bit_count("head") == m)
+        ends = last.where(F.bit_count("head") == m).withColumnRenamed("name", "block")
         before = out[-1].select("conv_id", F.col("depth").alias("head"), F.col("name").alias("before"))
         named_rows = distinct_names(ends.join(before, ["conv_id", "head"]).select("conv_id", (F.col("head") + F.col("size")).alias("depth"), "before", "block"), ["depth", "before", "block"])
         out.append(named_rows.select("conv_id", "depth", "name"))
-    return out
+    return staged(reduce(DataFrame.unionByName, out))
 
 
 def _runs(batches: Iterator) -> Iterator:
@@ -159,7 +161,7 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame) -> Trie:
         empty = lengths.select(F.col("conv_id").alias("member"), F.lit(0).cast("long").alias("depth"), root.alias("conv_id"))
         if longest:
             blocks = _blocks(turns, longest)
-            named_rows = reduce(DataFrame.unionByName, _prefixes(blocks))
+            named_rows = _prefixes(blocks)
             smallest = staged(named_rows.groupBy("depth", "name").agg(F.min("conv_id").alias("node"), F.count(F.lit(1)).alias("n_convs")))
             members = named_rows.join(smallest, ["depth", "name"]).select(F.col("conv_id").alias("member"), "depth", F.col("node").alias("conv_id"))
             members = keep(staged(members.unionByName(empty)))
