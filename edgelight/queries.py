@@ -239,7 +239,7 @@ def _quality(source: str) -> str:
 SORTED = "(SELECT coalesce(list_sort(list(ttms)), []) AS l FROM f WHERE ttms IS NOT NULL)"
 MS95, MS99 = (f"(SELECT floor({_percentile(p)} + 0.5)::BIGINT || ' ms' FROM {SORTED})" for p in ("0.95", "0.99"))
 BOUNDS = f"{_iso('anchor_ms - ' + str(DAY * 60_000))}", _iso("anchor_ms")
-MISSING = "(SELECT 'Some rows missing edge_status (' || count(*) || '). Response code totals may not sum perfectly.' FROM win WHERE status IS NULL)"
+MISSING = "(SELECT 'Some rows missing edge_status (' || count(*) || '). Response code totals may not sum perfectly.' FROM win WHERE status IS NULL HAVING count(*) > 0)"
 
 
 def _summary_sql() -> str:
@@ -254,9 +254,8 @@ def _summary_sql() -> str:
         "'• Scope: service=`live`  region=`all`  pop=`all`'",
         f"'• Window: `{DAY}m`  • Time (UTC): `' || {start} || '` → `' || {end} || '`'",
         "'• Filters: `none`'",
-        "'⚠️ *Warnings*'",
-        f"'• ' || {MISSING}",
-        "'⚠️ *Data Quality (window)*'",
+        f"'⚠️ *Warnings*' || chr(10) || '• ' || {MISSING}",
+        "(SELECT '⚠️ *Data Quality (window)*' FROM win WHERE status IS NULL OR 'unknown' IN (service, lower(crc), region, pop) LIMIT 1)",
         *[f"(SELECT CASE WHEN count(*) > 0 THEN '• {n}: ' || count(*) END FROM win WHERE {c})" for n, c in lacking],
         "'📊 *Traffic & Performance*'",
         "(SELECT '• Requests: *' || count(*) || '*' FROM f)",
@@ -281,7 +280,7 @@ def _summary_sql() -> str:
         f"'end=' || {end}",
         *[f"'avail_{c}=' || {_values(c, 12 if c == 'edge_status' else 8, 'win')}" for c in ("service", "region", "pop", "crc_class", "crc", "edge_status")],
         f"'data_quality=' || {dq}",
-        f"'warnings=' || {MISSING}",
+        f"'warnings=' || coalesce({MISSING}, 'none')",
         f"'sample=' || {first}",
         "'```'",
     ]
@@ -315,7 +314,7 @@ def _metrics_sql() -> str:
         f"',\"error5xxCount\":' || (SELECT {BAD} FROM f) || ',\"errorRatePct\":' || {share(BAD)}",
         f"',\"topCrcClass\":[' || {counts('crc_class', 'crc_class', 'f')} || '],\"topErrorCrc\":[' || {counts('crc', 'crc', '(SELECT * FROM f WHERE status >= 500)')} || ']'",
         f"""',"timeseries":{{"bucketSeconds":' || (SELECT bucket_seconds FROM b) || ',"startTs":"' || {_iso(edge.format("min"))} || '","endTs":"' || {_iso(edge.format("max"))} || '","points":[' || {points} || ']}}'""",
-        f"',\"warnings\":[\"' || {MISSING} || '\"]'",
+        f"""',"warnings":[' || coalesce('"' || {MISSING} || '"', '') || ']'""",
         f"',\"dataQuality\":{{\"all\":' || {_quality('rows')} || ',\"window\":' || {_quality('win')} || '}},\"debug\":null}}'",
     ]
     return within(DAY) + SPAN + f"SELECT {' || '.join(parts)} AS metrics FROM newest"
@@ -344,10 +343,10 @@ query("csv_folder_dq", LOGS + DQ + "rows")(lambda s, d: quality.counters(from_cs
 query("csv_folder_top_crc", within(60) + f"SELECT value, count FROM ({top_sql('crc', 6)})")(lambda s, d: metrics.top(from_csv(s, d, 60).filtered, "crc", 6).select("value", "count"))
 
 #: Columns that may stand for another: three of latency, each blank where the one before it is needed, a service column beside none of delivery, and a region column.
-ALIASES = """SELECT event_id AS row_id, round(CASE WHEN event_id % 4 <> 0 THEN value WHEN event_id % 3 <> 0 THEN value + 1 WHEN event_id % 5 <> 0 THEN value + 2 ELSE 0.0 END, 6) AS ttms_ms,
+ALIASES = """SELECT event_id AS row_id, round(CASE WHEN event_id % 4 <> 0 THEN value WHEN event_id % 3 <> 0 THEN value + 1 WHEN event_id % 5 <> 0 THEN value + 2 ELSE 0.0::DOUBLE END, 6) AS ttms_ms,
   CASE WHEN event_id % 7 = 0 THEN 'unknown' ELSE 'vod' END AS service, CASE WHEN event_id % 11 = 0 THEN 'unknown' ELSE 'use1' END AS region,
   CASE WHEN event_id % 53 = 0 THEN 'unknown' ELSE ['iad', 'sjc', 'dfw', 'mia', 'ord', 'lhr'][user_id % 6 + 1] END AS pop,
-  CASE WHEN event_id % 6 <> 0 THEN 404.0 WHEN event_id % 9 <> 0 THEN 502.0 END AS edge_status FROM events"""
+  CASE WHEN event_id % 6 <> 0 THEN 404.0::DOUBLE WHEN event_id % 9 <> 0 THEN 502.0::DOUBLE END AS edge_status FROM events"""
 
 
 @query("column_aliases", ALIASES)
