@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, named, staged
+from .common import documents, named, scratch, staged
 
 LETTERS = "ABCDE"
 #: Limits of filters A to C (words, per cent of words, per cent of code points) and the characters of D.
@@ -154,4 +154,5 @@ def labelled(masks: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op11_filter_audit(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return audit(labelled(filter_masks(documents(spark, sf_dir)), labels))
+    with scratch() as keep:
+        return keep(staged(audit(labelled(filter_masks(documents(spark, sf_dir)), labels))))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, short_lived_shuffles, staged
+from .common import documents, scratch, shared_dir, short_lived_shuffles, staged
 
 
 @dataclass(frozen=True)
@@ -189,10 +189,10 @@ def new_ledger(spark: SparkSession) -> Ledger:
 
 
 def op12_blob_ledger(spark, sf_dir):
-    found = scan_history(documents(spark, sf_dir), new_ledger(spark))
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE.rules))
-
     def number(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *[number(r.kind) for r in BASE.rules], F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE.rules))
+    columns = ["doc_id", *[number(r.kind) for r in BASE.rules], F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans")]
+    with scratch() as keep:
+        return keep(staged(scan_history(documents(spark, sf_dir), new_ledger(spark)).select(*columns)))
