@@ -13,8 +13,9 @@ windows mostly share theirs, so about one unit in (width - gram) / 2 is an ancho
    map-side. At most the HOT_MOST most frequent anchors are hot, so that their table has a fixed size; any choice of hot
    anchors gives the same result. Which anchors of a document are shared reaches it by a join on its key.
 
-In a bucket, fragments of equal bytes are one entry with several owners. A finder (suffix array or suffix tree) goes over
-all entries and says which windows are equal; the owners then tell which occurrences are repeats.
+Fragments of equal bytes are one entry with several owners, in a slice and in a bucket; that is storage and decides nothing. A
+finder (suffix array or suffix tree) goes over the entries and says which windows are repeated for which of their owners: in a
+slice over the entries that have several, in a bucket over all. Of what a slice has decided only the spans travel on.
 """
 
 from __future__ import annotations
@@ -261,9 +262,9 @@ def find_shared(table: pa.Table) -> pa.Table:
     return pa.concat_tables([passed, out, hot])
 
 
-def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
+def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray, finder: Finder) -> Callable:
     """mapInArrow over (uid, bytes, shared anchors array<long>, more of them packed array<binary>, id): (key, uid, id, spans, blob). With blob: fragments for bucket key. Without:
-    windows of one document (starts and lengths of runs) that the slice itself has found repeated; the document chooses the bucket, which only
+    windows of one document (starts and lengths of runs) that the finder says are repeated within the slice; the document chooses the bucket, which only
     passes them on."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +298,12 @@ def fragment_rows(kind: Kind, buckets: int, hot: np.ndarray) -> Callable:
                     low, high = s + piece.origin, s + piece.origin + windows + kind.width - 1
                 parts.append((piece.rows[d], s - piece.bounds[d] + piece.base, windows, content, key, low, high))
             if parts:
-                yield from packed_fragments(kind, buckets, ids, own, data, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                yield from packed_fragments(kind, buckets, finder, ids, own, data, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return emit
 
 
-def packed_fragments(kind: Kind, buckets: int, ids, own, data, row, first, windows, content, key, low, high) -> Iterator[pa.RecordBatch]:
+def packed_fragments(kind: Kind, buckets: int, finder: Finder, ids, own, data, row, first, windows, content, key, low, high) -> Iterator[pa.RecordBatch]:
     """The rows of fragment_rows for one slice: row by row of it, where fragments begin (units), their windows, hashes, and bytes [low, high)."""
     order = np.lexsort((first, own[row], content))
     row, first, windows, content, key, low, high = (x[order] for x in (row, first, windows, content, key, low, high))
@@ -316,17 +317,22 @@ def packed_fragments(kind: Kind, buckets: int, ids, own, data, row, first, windo
     edges = (x.tolist() for x in (low[at[pairs]], high[at[pairs]], low[pairs], high[pairs]))
     same[pairs] = [text[a:b] == text[c:d] for a, b, c, d in zip(*edges, strict=True)]
     later = same & (np.arange(len(at)) != at)
-    if kind.earlier:  # ids rise within equal content: all but the smallest id's are repeats
-        sure = later & (own[row] != own[row[at]])
-        sent = ~sure
-    else:
-        sure = later.copy()
-        sure[at[later]] = True
-        sent = ~later
-    del edges, same
-    x = np.flatnonzero(sure)
-    uid, own_ids, edge, spans = merged_runs(ids[row[x]], own[row[x]], first[x], windows[x])
-    yield fragment_batch(uid % buckets, uid, own_ids, binary_column(spans.astype("<i8").view(np.uint8).ravel(), 16 * edge), None)
+    del edges
+    # Ids rise within equal content. With smaller ids asked for, fragments of the smallest id all go on, else the first of each content does.
+    sent = ~(later & (own[row] != own[row[at]])) if kind.earlier else ~later
+    some = np.unique(at[later])
+    same[np.setdiff1d(head, some, assume_unique=True)] = False
+    x = np.flatnonzero(same)
+    if len(x):
+        entry = np.searchsorted(some, at[x])
+        content = np.frombuffer(b"".join([text[a:b] for a, b in zip(low[some].tolist(), high[some].tolist(), strict=True)]), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(high[some] - low[some])])
+        if kind.words:
+            content, bounds, _, _ = numbered_words(content, bounds)
+        entries = Entries((key[some] >> U64(56)).astype(np.uint8), windows[some], *owners_of(own[row[x]], entry, len(some)), content, bounds)
+        f, place, count = owned_runs(entries, entry, own[row[x]], finder)
+        uid, own_ids, edge, spans = merged_runs(ids[row[x[f]]], own[row[x[f]]], first[x[f]] + place, count)
+        yield fragment_batch(uid % buckets, uid, own_ids, binary_column(spans.astype("<i8").view(np.uint8).ravel(), 16 * edge), None)
     x = np.flatnonzero(sent)
     bucket = (key[x] % U64(buckets)).astype(np.int64)
     order = np.lexsort((row[x], bucket))
@@ -407,13 +413,46 @@ class Entries:
     part: np.ndarray  # of its key: equal windows are in one part
     windows: np.ndarray
     least: np.ndarray  # the smallest id of its owners
+    most: np.ndarray  # the largest
     owners: np.ndarray  # how many there are
     text: np.ndarray  # bytes, or numbers of words
     bounds: np.ndarray  # where each begins in text, one more than entries
 
 
-#: Says of each entry's windows which are repeated for the owners with the entry's smallest id: (entry, place).
-Finder = Callable[[Entries], tuple[np.ndarray, np.ndarray]]
+#: Says which windows are repeated, as runs: (entry, place, windows, whether for all owners or only for those with more than the least id).
+Finder = Callable[[Entries], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def owners_of(ids: np.ndarray, entry: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least and the largest id of the owners of each of n entries, and how many there are."""
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(least, entry, ids)
+    np.maximum.at(most, entry, ids)
+    return least, most, np.bincount(entry, minlength=n)
+
+
+def window_runs(entry: np.ndarray, place: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, each once, as the runs that a finder returns: neighbours in an entry that are repeated for the same owners are one."""
+    order = np.lexsort((place, entry))
+    entry, place, every = entry[order], place[order], every[order]
+    new = np.ones(len(entry), bool)
+    new[1:] = (entry[1:] != entry[:-1]) | (place[1:] != place[:-1] + 1) | (every[1:] != every[:-1])
+    head = np.flatnonzero(new)
+    return entry[head], place[head], np.diff(np.append(head, len(entry))), every[head]
+
+
+def owned_runs(entries: Entries, entry: np.ndarray, ids: np.ndarray, finder: Finder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the finder says of the entries, for fragments of which it gives each one's entry and id: (fragment, place, windows)."""
+    at, place, count, every = finder(entries)
+    beyond = ids > entries.least[entry]
+    out = []
+    for f, use in ((np.flatnonzero(beyond), np.arange(len(at))), (np.flatnonzero(~beyond), np.flatnonzero(every))):
+        use = use[np.argsort(at[use], kind="stable")]
+        times = np.bincount(at[use], minlength=len(entries.part))
+        begin, each = np.cumsum(times) - times, times[entry[f]]
+        run = use[np.repeat(begin[entry[f]] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        out.append((np.repeat(f, each), place[run], count[run]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def numbered_words(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -449,14 +488,12 @@ def collapse(kind: Kind, ids: np.ndarray, part: np.ndarray, windows: np.ndarray,
     n = int(entry.max()) + 1 if len(entry) else 0
     some = np.zeros(n, np.int64)
     some[entry[::-1]] = np.arange(len(entry))[::-1]  # the first fragment of each entry
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, entry, ids)
     source, bounds = (codes, words) if kind.words else (text, bounds)
     lengths = np.diff(bounds)[some]
     # First fragments rise, so that their units can be picked by a mask.
     picked = np.zeros(len(bounds) - 1, bool)
     picked[some] = True
-    return Entries(part[some], windows[some], least, np.bincount(entry, minlength=n), source[np.repeat(picked, np.diff(bounds))], np.concatenate([[0], np.cumsum(lengths)])), entry
+    return Entries(part[some], windows[some], *owners_of(ids, entry, n), source[np.repeat(picked, np.diff(bounds))], np.concatenate([[0], np.cumsum(lengths)])), entry
 
 
 #: A run of windows as one number: where it starts, and in the low bits how many there are; longer ones come in parts.
@@ -473,7 +510,7 @@ def run_rows(uid: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> pa.Table:
 
 
 def resolve_bucket(kind: Kind, finder: Finder) -> Callable[[pa.Table], pa.Table]:
-    """Of one bucket: (uid, id, run) with the windows that are repeated."""
+    """Of one bucket: (uid, id, run) with the windows that the finder says are repeated, and those that slices have passed on."""
 
     def resolve(table: pa.Table) -> pa.Table:
         decided = table.column("blob").is_null()
@@ -488,20 +525,8 @@ def resolve_bucket(kind: Kind, finder: Finder) -> Callable[[pa.Table], pa.Table]
         del heads
         entries, entry = collapse(kind, ids, part, windows, size, text)
         del text, size, part
-        # Owners beside the first repeat all that the entry holds.
-        more = ids > entries.least[entry] if kind.earlier else entries.owners[entry] > 1
-        at, place = finder(entries)
-        times = np.bincount(at, minlength=len(entries.part))
-        begin = np.cumsum(times) - times
-        others = np.flatnonzero(~more & (times[entry] > 0))
-        each = times[entry[others]]
-        step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        places = place[np.argsort(at, kind="stable")][np.repeat(begin[entry[others]], each) + step]
-        others = np.repeat(others, each)
-        f = np.concatenate([np.flatnonzero(more), others])
-        start = first[f] + np.concatenate([np.zeros(more.sum(), np.int64), places])
-        count = np.concatenate([windows[more], np.ones(len(others), np.int32)])
-        uid, ids, edge, spans = merged_runs(uid[f], ids[f], start, count)
+        f, place, count = owned_runs(entries, entry, ids, finder)
+        uid, ids, edge, spans = merged_runs(uid[f], ids[f], first[f] + place, count)
         times = np.diff(edge)
         return pa.concat_tables([passed, run_rows(np.repeat(uid, times), np.repeat(ids, times), spans)])
 
@@ -527,7 +552,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, finder: Finder, id_column: str
     hot = np.unique(np.array([r["anchor"] for r in hottest], U64))
     lists = shared.where("tag = 1").groupBy(F.col("id").alias("of")).agg(F.collect_list("anchor").alias("shared"), F.collect_list("blob").alias("packed"))
     marked_docs = narrow.join(lists, F.col("uid") == F.col("of")).select("uid", "text", "shared", "packed", "id")
-    moved = marked_docs.mapInArrow(fragment_rows(kind, buckets, hot), "key int, uid long, id long, spans binary, blob binary")
+    moved = marked_docs.mapInArrow(fragment_rows(kind, buckets, hot, finder), "key int, uid long, id long, spans binary, blob binary")
     spans = staged(moved.groupBy("key").applyInArrow(resolve_bucket(kind, finder), "uid long, id long, run long"))
     discard(shared)
     return spans.groupBy("uid", "id").agg(F.collect_list("run").alias("spans"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, free_column
-from .repeats import Entries, Kind, merged, repeated_windows, runs, with_spans
+from .repeats import Entries, Kind, merged, repeated_windows, runs, window_runs, with_spans
 
 #: Bytes whose suffixes are sorted at once (more only where the fragments of one anchor have more), and suffixes of the buckets
 #: that are refined together.
@@ -126,9 +126,12 @@ def equal_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np
 
 
 def earlier_elsewhere(width: int):
-    """A finder: windows that also start in a document with a smaller id."""
+    """A finder: windows that also start in a document with a smaller id.
 
-    def find(entries: Entries) -> tuple[np.ndarray, np.ndarray]:
+    Equal windows stand together in the suffix array. The least id of all owners of their entries is the one that keeps them.
+    """
+
+    def find(entries: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(entries.part, kind="stable")
         size = np.diff(entries.bounds)
         total = np.cumsum(size[order] + 1)
@@ -139,7 +142,7 @@ def earlier_elsewhere(width: int):
                 limit = total[b - 1] + SORTED_BYTES
         cuts.append(len(order))
         text, begin, end = entries.text.tobytes(), entries.bounds[:-1].tolist(), entries.bounds[1:].tolist()
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        found = [(*(np.zeros(0, np.int64),) * 3, np.zeros(0, bool))]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             x = order[a:b]
             data = np.frombuffer(b"\n".join([*[text[begin[i] : end[i]] for i in x.tolist()], b""]), np.uint8)
@@ -150,8 +153,8 @@ def earlier_elsewhere(width: int):
             entry = np.repeat(np.arange(len(x)), size[x] + 1)[starts]
             own = entries.least[x][entry]
             smallest = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
-            repeated = np.flatnonzero(own > smallest)
-            found.append((x[entry[repeated]], starts[repeated] - offsets[entry[repeated]]))
+            repeated = np.flatnonzero(entries.most[x][entry] > smallest)
+            found.append(window_runs(x[entry[repeated]], starts[repeated] - offsets[entry[repeated]], (own > smallest)[repeated]))
         return tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
     return find

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, free_column
-from .repeats import Entries, Kind, merged, repeated_windows, runs, with_spans
+from .repeats import Entries, Kind, merged, repeated_windows, runs, window_runs, with_spans
 
 #: Words of an anchor (see repeats), and suffixes of a prefix group, whose subtree is built at once.
 ANCHOR, GROUP = 8, 1 << 16
@@ -42,16 +42,17 @@ def prefix_groups(words: np.ndarray, suffix: np.ndarray, depth: int = 0, width:
         low = high
 
 
-def subtree(words: np.ndarray, room: np.ndarray, suffix: np.ndarray, prefix: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def subtree(words: np.ndarray, room: np.ndarray, weight: np.ndarray, suffix: np.ndarray, prefix: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The deep internal nodes of the suffix tree below some prefixes: those at a depth of width words or more with none such above.
 
     Returns the suffixes below them, node by node, where each node's begin, and each node's depth. A node's suffixes part by
     the next words, as many as fit into a number; one left alone is a leaf and done. What is together at depth width is below one
-    deep node, and its edge goes on for as long as all its suffixes agree: the node's string is a maximal repeat.
+    deep node, and its edge goes on for as long as all its suffixes agree: the node's string is a maximal repeat. A string that
+    stands for several equal ones has that many leaves for each suffix (weight), so that one such suffix makes a node.
     """
     each = max(1, 62 // max(1, int(words.max(initial=0)).bit_length()))
-    size = np.bincount(prefix, minlength=1)
-    suffix, prefix = suffix[size[prefix] > 1], prefix[size[prefix] > 1]
+    inner = np.bincount(prefix, weight[suffix], 1)[prefix] > 1
+    suffix, prefix = suffix[inner], prefix[inner]
     while depth < width and len(suffix):
         step = min(each, width - depth)
         label = np.zeros(len(suffix), np.int64)
@@ -63,7 +64,7 @@ def subtree(words: np.ndarray, room: np.ndarray, suffix: np.ndarray, prefix: np.
         new[1:] = (prefix[1:] != prefix[:-1]) | (label[1:] != label[:-1])
         head = np.flatnonzero(new)
         size = np.diff(np.append(head, len(suffix)))
-        inner = np.repeat(size > 1, size)
+        inner = np.repeat(np.add.reduceat(weight[suffix], head) > 1, size)
         suffix, prefix = suffix[inner], np.repeat(np.arange(len(head)), size)[inner]
         depth += step
     first = runs(prefix)
@@ -82,20 +83,23 @@ def subtree(words: np.ndarray, room: np.ndarray, suffix: np.ndarray, prefix: np.
     return suffix, first, depths
 
 
-def deep_nodes(words: np.ndarray, bounds: np.ndarray, width: int, limit: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """What subtree() returns for each group of prefixes of some strings of words (as numbers), which bounds part."""
+def deep_nodes(words: np.ndarray, bounds: np.ndarray, width: int, limit: int = GROUP, owners: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What subtree() returns for each group of prefixes of some strings of words (as numbers), which bounds part; owners: how many equal
+    strings each stands for, one if not given."""
     room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(words))
+    weight = np.ones(len(words), np.int64) if owners is None else np.repeat(owners, np.diff(bounds))
     for group in prefix_groups(words, np.flatnonzero(room >= width), 0, width, limit):
-        yield subtree(words, room, *group, width)
+        yield subtree(words, room, weight, *group, width)
 
 
 def repeated_anywhere(width: int):
-    """A finder: windows that start anywhere else as well."""
+    """A finder: windows that start anywhere else as well, which are those below the deep nodes."""
 
-    def find(entries: Entries) -> tuple[np.ndarray, np.ndarray]:
-        suffix = np.concatenate([np.zeros(0, np.int64), *[s for s, _, _ in deep_nodes(entries.text.astype(np.int64), entries.bounds, width)]])
+    def find(entries: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        nodes = deep_nodes(entries.text.astype(np.int64), entries.bounds, width, owners=entries.owners)
+        suffix = np.concatenate([np.zeros(0, np.int64), *[s for s, _, _ in nodes]])
         entry = np.searchsorted(entries.bounds, suffix, "right") - 1
-        return entry, suffix - entries.bounds[entry]
+        return window_runs(entry, suffix - entries.bounds[entry], np.ones(len(entry), bool))
 
     return find
 

@@ -172,6 +172,23 @@ def test_hot_passages_are_spread_and_still_found(spark, monkeypatch, kind):
         assert [sum(s["end"] - s["begin"] for s in r["removed"]) for r in out] == [sum(g) for _, g in covered_bytes(known(rows))]
 
 
+@pytest.mark.parametrize("kind", [repeats.Kind(False, 50, 16, True), repeats.Kind(True, 35, 8, False)])
+def test_only_the_array_and_the_tree_decide(spark, kind):
+    none = (*(np.zeros(0, np.int64),) * 3, np.zeros(0, bool))
+    assert repeats.repeated_windows(frame(spark), kind, lambda entries: none, "doc_id", "text").count() == 0
+
+
+def test_equal_strings_are_told_by_their_owners():
+    words, bounds = np.tile(np.arange(1, 41), 2), np.array([0, 40, 80])
+    words[40:] += np.where(np.arange(40) < 3, 100, 0)  # the second string shares all but the first three words
+    entries = repeats.Entries(np.zeros(2, np.uint8), np.full(2, 6), np.array([5, 3]), np.array([9, 3]), np.array([2, 1]), words, bounds)
+    runs = sorted(zip(*(c.tolist() for c in suffix_tree.repeated_anywhere(35)(entries)), strict=True))
+    assert runs == [(0, 0, 6, True), (1, 3, 3, True)]
+    text = np.frombuffer((words + 30).astype(np.uint8).tobytes(), np.uint8)
+    runs = sorted(zip(*(c.tolist() for c in suffix_array.earlier_elsewhere(35)(repeats.Entries(entries.part, entries.windows, entries.least, entries.most, entries.owners, text, bounds))), strict=True))
+    assert runs == [(0, 0, 3, False), (0, 3, 3, True)]
+
+
 @pytest.mark.parametrize("kind", [repeats.Kind(False, 50, 16, True), repeats.Kind(True, 35, 8, False)])
 def test_what_a_batch_knows_of_copies_is_short_and_spread(kind):
     text, buckets = prose(400, 22).encode(), 64
@@ -181,7 +198,8 @@ def test_what_a_batch_knows_of_copies_is_short_and_spread(kind):
     rows = [r for r in marked.to_pylist() if r["tag"] == 1]
     assert {r["id"] for r in rows} == set(uids.tolist()) and pd.Series([r["key"] for r in rows]).value_counts().max() < 20
     packed, none = pa.array([[r["blob"]] for r in rows[:1]] + [[]] * 199, pa.list_(pa.binary())), pa.array([[]] * 200, pa.list_(pa.int64()))
-    moved = repeats.fragment_rows(kind, buckets, np.zeros(0, np.uint64))([pa.RecordBatch.from_arrays([pa.array(uids), texts, none, packed, ids], names=["uid", "text", "shared", "packed", "id"])])
+    finder = suffix_tree.repeated_anywhere(kind.width) if kind.words else suffix_array.earlier_elsewhere(kind.width)
+    moved = repeats.fragment_rows(kind, buckets, np.zeros(0, np.uint64), finder)([pa.RecordBatch.from_arrays([pa.array(uids), texts, none, packed, ids], names=["uid", "text", "shared", "packed", "id"])])
     rows = [r for batch in moved for r in batch.to_pylist() if r["spans"] is not None]
     n = (400 if kind.words else len(text)) - kind.width + 1
     assert {r["id"] for r in rows} == set(range(kind.earlier, 200)) and pd.Series([r["key"] for r in rows]).value_counts().max() < 20
