@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import documents, free_column
 
-#: Words in a k-mer, tuples in a fingerprint (one ordering each), k-mers in a tuple, hexadecimal digits per tuple.
-K, TUPLES, MEMBERS, DIGITS = 4, 64, 2, 6
+#: Words in a k-mer, tuples in a fingerprint (one ordering each), circles of ranks that the orderings follow, k-mers in a tuple,
+#: hexadecimal digits per tuple.
+K, TUPLES, CIRCLES, MEMBERS, DIGITS = 4, 64, 4, 2, 6
 #: Low bits of a ranked k-mer that hold its position, as many as an array can have; the other 33 are its rank.
 POSITION_BITS = 31
-#: High bits of a rank that say after which of the TUPLES starting points of the orderings it lies.
-ARC_BITS = 6
+#: Orderings of a circle, and the high bits of a rank that say after which of their starting points it lies.
+POINTS = TUPLES // CIRCLES
+ARC_BITS = POINTS.bit_length() - 1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,22 +66,29 @@ def ranked(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.transform(hashes, lambda h, i: one(h, F.lit(0), i))).otherwise(several)
 
 
+def ranked_anew(ranks: Column, circle: int) -> Column:
+    """Ranks of another circle for the same k-mers, each with its position."""
+    low = F.lit((1 << POSITION_BITS) - 1)
+    return F.transform(ranks, lambda x: F.xxhash64(F.shiftright(x, POSITION_BITS), F.lit(circle)).bitwiseAND(F.lit(-(1 << POSITION_BITS)).cast("long")).bitwiseOR(x.bitwiseAND(low)))
+
+
 def fingerprint(text: Column, k: int = K) -> Column:
     """TUPLES hashes (long; all null for a text without words) of the tuples that represent the word order of a text.
 
-    An ordering of the occurrence-numbered k-mers follows their ranks around a circle from a starting point of its own, and
-    there are TUPLES such points at equal distances. In each the MEMBERS smallest k-mers are chosen (all, if there are fewer),
-    put in text order and hashed together. So a tuple of two texts agrees if they choose the same k-mers in the same order.
-    The ranks are sorted once, and what an ordering chooses stands side by side.
+    An ordering of the occurrence-numbered k-mers follows ranks around a circle from a starting point of its own; there are CIRCLES
+    circles with ranks of their own, and POINTS such points at equal distances on each. In each ordering the MEMBERS smallest k-mers
+    are chosen (all, if there are fewer), put in text order and hashed together. So a tuple of two texts agrees if they choose the same
+    k-mers in the same order. The ranks of a circle are sorted once, and what an ordering chooses stands side by side. Texts of any
+    length have the same orderings, so that all fingerprints can be compared.
     """
 
     def arc(x: Column) -> Column:
-        return (F.shiftright(x, 64 - ARC_BITS) + F.lit(TUPLES // 2)).cast("int")
+        return (F.shiftright(x, 64 - ARC_BITS) + F.lit(POINTS // 2)).cast("int")
 
     def tuples(hashes: Column, b: Column) -> Column:
         def starts(heads: Column) -> Column:
             up_to = F.transform(heads, lambda i, j: F.array_repeat(i, arc(at(b, i)) - F.coalesce(arc(at(b, at(heads, j - 1))), F.lit(-1))))
-            return F.concat(F.flatten(up_to), F.array_repeat(F.lit(0), F.lit(TUPLES - 1) - arc(at(b, F.size(b) - 1))))
+            return F.concat(F.flatten(up_to), F.array_repeat(F.lit(0), F.lit(POINTS - 1) - arc(at(b, F.size(b) - 1))))
 
         def joined(i: Column) -> Column:
             steps = F.sequence(F.lit(0), F.least(F.lit(MEMBERS), F.size(b)) - 1)
@@ -89,7 +98,11 @@ def fingerprint(text: Column, k: int = K) -> Column:
         return F.transform(let(where_new(b, arc), starts), joined)
 
     none = F.array_repeat(F.lit(None).cast("long"), TUPLES)
-    return let(kmers(text, k), lambda hashes: F.when(F.size(hashes) == 0, none).otherwise(let(F.sort_array(ranked(hashes)), lambda b: tuples(hashes, b))))
+
+    def of_all_circles(hashes: Column, ranks: Column) -> Column:
+        return F.concat(*[let(F.sort_array(ranked_anew(ranks, c) if c else ranks), lambda b: tuples(hashes, b)) for c in range(CIRCLES)])
+
+    return let(kmers(text, k), lambda hashes: F.when(F.size(hashes) == 0, none).otherwise(let(ranked(hashes), lambda ranks: of_all_circles(hashes, ranks))))
 
 
 def as_text(print_: Column) -> Column:
@@ -107,7 +120,9 @@ def with_next(docs: DataFrame, id_column: str, text_column: str, buckets: int) -
     """(bucket, ghost, key, doc_id, text, next_text): each document with the next one's text, by descending id, the last with the first's.
 
     Ranges of ids are buckets, and each gets a copy of the first document of the next one as a ghost at its end. So every
-    look at the next row stays in a bucket. The driver sees one id per bucket.
+    look at the next row stays in a bucket. The driver sees one id per bucket. A null text is an empty one, a null id comes last,
+    rows that share an id follow each other by a hash of their texts; the next of a single document is itself, and an empty table
+    gives an empty result.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
