@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,54 @@ from .common import global_rank, staged
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
 
 #: How the types of parsed JSON are called: fixed names of the engine's own types, by JSON type.
-TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
+TYPES = {"string": ["STRING"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
+
+#: Tokens of JSON: a string and a number. The possessive repeat takes strings of any length and of any number of escapes.
+STRING, NUMBER = r'"(?:[^"\\]|\\.)*+"', r"-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+
+
+def plain_number(token: Column) -> Column:
+    """A JSON number in decimal digits: no exponent, no zeros that change nothing, no sign of zero. Equal values have equal texts."""
+    whole, fraction = (F.regexp_extract(token, r"^-?([0-9]+)(?:\.([0-9]+))?", i) for i in (1, 2))
+    exponent = F.coalesce(F.regexp_extract(token, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+
+    def placed(x: Column) -> Column:
+        """The digits x.d with the point behind the first x.p of them."""
+        d, p = x["d"], x["p"]
+        whole = F.when(p <= 0, "0").when(p >= F.length(d), F.rpad(d, F.greatest(p, F.lit(0)), "0")).otherwise(F.left(d, p))
+        fraction = F.when(p <= 0, F.concat(F.repeat(F.lit("0"), -p), d)).when(p >= F.length(d), "").otherwise(F.substr(d, p + 1))
+        fraction = F.regexp_replace(fraction, "0++$", "")
+        return F.concat(F.regexp_replace(whole, "^0+(?=[0-9])", ""), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""))
+
+    digits = F.struct(F.concat(whole, fraction).alias("d"), (F.length(whole) + exponent).alias("p"))
+    unsigned = F.get(F.transform(F.array(digits), placed), F.lit(0))
+    return F.concat(F.when(token.startswith("-") & (unsigned != "0"), "-").otherwise(""), unsigned)
+
+
+def plain_numbers(json: Column) -> Column:
+    """JSON as Spark writes it, with each number as plain_number() writes it; strings stay."""
+    tokens = F.regexp_extract_all(json, F.lit(f'(?s){STRING}|{NUMBER}|[^"0-9-]++'), F.lit(0))
+    written = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), plain_number(t)).otherwise(t)), "")
+    return F.when(json.rlike(r"[0-9][.E]"), written).otherwise(json)  # whole numbers are plain already
+
+
+def beyond_double(json: Column) -> Column:
+    """Whether a number of a JSON text is too large for a double, or not zero and too small for one."""
+    numbers = F.regexp_extract_all(F.regexp_replace(json, f"(?s){STRING}", '""'), F.lit(NUMBER), F.lit(0))
+
+    def lost(n: Column) -> Column:
+        value = n.try_cast("double")
+        return (F.abs(value) == float("inf")) | ((value == 0) & n.rlike("^-?[0.]*[1-9]"))
+
+    return F.coalesce(F.exists(numbers, lost), F.lit(False))
+
+
+def of_type(value: Column, wanted: str) -> Column:
+    """Whether a variant has a type as JSON names it. A whole number is an integer however it is written: 100, 100.0 and 1e2 are one value."""
+    kind = F.schema_of_variant(value)
+    if wanted == "integer":
+        return of_type(value, "number") & ~plain_number(F.to_json(value)).contains(".")
+    return reduce(lambda a, b: a | b, [kind.startswith(t) for t in TYPES[wanted]])
 
 
 def first_of(rows: DataFrame, order: list[str], flag: str) -> DataFrame:
@@ -66,10 +114,7 @@ def argument_errors(name: Column, parsed: Column, schemas: Schemas) -> Column:
         for a, (wanted, required) in sorted(arguments.items()):
             value = F.try_variant_get(parsed, path_of(a), "variant")
             there = value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(False))
-            fits = F.lit(False)
-            for t in TYPES[wanted]:
-                fits |= F.schema_of_variant(value).startswith(t)
-            wrong = F.when(there & ~fits, F.lit(f"type:{a}"))
+            wrong = F.when(there & ~of_type(value, wanted), F.lit(f"type:{a}"))
             if required:
                 wrong = F.when(~there, F.lit(f"missing:{a}")).otherwise(wrong)
             errors.append(F.when((name == n) & parsed.isNotNull() & kind.startswith("OBJECT"), wrong))
@@ -88,8 +133,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
 
     status: ok; no_result; early_result (its turn is not after the call's); duplicate_call (not the first of its identifier by
     turn, arguments and name; takes no result); orphan_result (no such call, or not the first result of its call). Errors are those
-    of argument_errors, and unknown_parent and circle. Arguments that are not JSON stand in the message as they are, under
-    raw_arguments. A null identifier links with nothing: its call has no result, its
+    of argument_errors, and unknown_parent and circle; number_range in place of not_json where a number is beyond a double. Arguments with such
+    a number or that are not JSON stand in the message as they are, under raw_arguments. Numbers are written in decimal digits, equal ones alike: those of
+    up to 38 digits without an exponent as they are, others as the nearest double. A null identifier links with nothing: its call has no result, its
     result is an orphan. A null conversation is one like others; null arguments, names or contents are checked or kept as
     such. Equal rows are duplicates of each other. Empty tables give an empty result; other columns are left out. No
     conversation is gathered in a task: ranks come from a range partitioning of all rows.
@@ -107,12 +153,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
         return F.col("conv_id").eqNullSafe(F.col(c)) & (F.col(other) == F.col(i))
 
     linked = calls.join(deep, pair("dc", "di") & F.col("is_call"), "left").join(parents, pair("pc", "pi", "parent_id"), "left").join(taken, pair("rc", "ri") & F.col("is_call"), "left")
-    parsed = F.try_parse_json("arguments")
+    beyond = beyond_double(F.col("arguments"))
+    parsed = F.when(~F.col("beyond"), F.try_parse_json("arguments"))
     status = F.when(~F.col("is_call"), F.when(F.col("call_id").isNull(), "no_result").otherwise("duplicate_call")).when(F.col("ri").isNull(), "no_result").when(F.col("result_turn") <= F.col("turn"), "early_result").otherwise("ok")
     more = F.array_compact(F.array(F.when(F.col("parent_id").isNotNull() & F.col("pi").isNull(), F.lit("unknown_parent")), F.when(F.col("is_call") & F.col("depth").isNull(), F.lit("circle"))))
-    linked = linked.withColumn("parsed", parsed).select(
-        "conv_id", "call_id", "turn", "name", "depth", status.alias("status"), F.concat(argument_errors(F.col("name"), F.col("parsed"), schemas), more).alias("errors"),
-        F.to_json("parsed").alias("arguments"), F.when(F.col("parsed").isNull(), F.col("arguments")).alias("raw"), "content", F.lit(0).alias("kind"),
+    errors = F.transform(argument_errors(F.col("name"), F.col("parsed"), schemas), lambda e: F.when(F.col("beyond") & (e == "not_json"), "number_range").otherwise(e))
+    linked = linked.withColumn("beyond", beyond).withColumn("parsed", parsed).select(
+        "conv_id", "call_id", "turn", "name", "depth", status.alias("status"), F.concat(errors, more).alias("errors"),
+        plain_numbers(F.to_json("parsed")).alias("arguments"), F.when(F.col("parsed").isNull(), F.col("arguments")).alias("raw"), "content", F.lit(0).alias("kind"),
     )
     known = real.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"))
     orphans = results.join(known, pair("rc", "ri") & F.col("is_result"), "left").where("ri is null")

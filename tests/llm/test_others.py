@@ -1,5 +1,6 @@
 import json
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -444,6 +445,29 @@ def test_arguments_of_any_name(spark):
         tool_calls.path_of("a'b\"c")
 
 
+def test_numbers_of_arguments_by_one_rule(spark):
+    """Equal values are written alike, whatever their text; what a double cannot hold is an error and stays as it is."""
+    schemas = {"t": {"x": ("integer", True), "s": ("string", False)}}
+    tokens = ["100", "1e2", "100.0", "1.00E+2", "-0.0", "0", "1.50", "15e-1", "1e22", "123456789012345678901234567890", "1.0000000000000000001", "-2.5e-7", "1e-320", "9007199254740993", "0e5", "1e308"]
+    texts = [f'{{"x":{x},"s":"1e2 \\"1.0\\" {x}"}}' for x in tokens]
+    lost = ["1e400", "-1e400", "1e-400", "9" * 400, "0." + "0" * 400 + "1"]
+    texts += [f'{{"x":{x}}}' for x in lost] + ['{"x":1,"s":"1e400"}', '{"x":[1.0,{"y":1e1}]}', '{"x":1,"s":"' + "\\n1e2\\\"" * 100_000 + '"}']
+    frame = spark.createDataFrame([(1, str(i), i, "t", x, None) for i, x in enumerate(texts)], "conv_id long, call_id string, turn long, name string, arguments string, parent_id string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {int(r["call_id"]): (r["errors"], json.loads(r["message"]), r["message"]) for r in tool_calls.link_tool_calls(frame, none, schemas).collect()}
+    for i, x in enumerate(tokens):
+        exact = Decimal(x) if len(x) < 38 and "e" not in x.lower() else Decimal(repr(float(x)))
+        written = format(exact if exact else Decimal(0), "f")
+        written = written.rstrip("0").rstrip(".") if "." in written else written
+        assert f'"x":{written}}}' in got[i][2], (x, got[i][2])
+        assert got[i][0] == ([] if exact == exact.to_integral_value() else ["type:x"]) and got[i][1]["arguments"]["s"] == f'1e2 "1.0" {x}'
+    for i, x in enumerate(lost, len(tokens)):
+        assert got[i][0] == ["number_range"] and got[i][1]["raw_arguments"] == f'{{"x":{x}}}' and "arguments" not in got[i][1]
+    after = len(tokens) + len(lost)
+    assert got[after][0] == [] and got[after + 1][0] == ["type:x"] and '{"x":[1,{"y":10}]}' in got[after + 1][2]
+    assert got[after + 2][0] == [] and got[after + 2][1]["arguments"]["s"] == '\n1e2"' * 100_000
+
+
 def test_long_chains_take_few_rounds(spark):
     calls = [(1, str(i), i, "add", '{"x":1}', str(i - 1) if i else None) for i in range(150)]
     frame = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, parent_id string")
